@@ -1 +1,10 @@
+"""All registered queries."""
 
+import importlib
+
+from pathloom.catalog.base import ORACLES, QUERIES
+
+for _part in ("sources", "columns", "filters", "text"):
+    importlib.import_module(f"pathloom.catalog.{_part}")
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -96,12 +96,15 @@ def schema_to_table(df: DataFrame) -> DataFrame:
 EDITOR_TYPES = {"int64": "bigint", "float": "double", "float64": "double", "string": "string"}
 
 # Rows of a new schema table.
-DEFAULT_SCHEMA_ROWS = [("column1", "int64"), ("column2", "float"), ("column3", "string")]
+DEFAULT_SCHEMA_ROWS = [
+    ("field1", "int64", "NONE", "None"),
+    ("field2", "float", "SNAPPY", "None"),
+    ("field3", "string", "GZIP", "AES-GCM-V1"),
+]
 
 
 def default_schema_table(spark: SparkSession) -> DataFrame:
-    rows = [(n, t, "None", "None") for n, t in DEFAULT_SCHEMA_ROWS]
-    return spark.createDataFrame(rows, "Field string, `Data Type` string, Compression string, Encryption string")
+    return spark.createDataFrame(DEFAULT_SCHEMA_ROWS, "Field string, `Data Type` string, Compression string, Encryption string")
 
 
 def table_to_schema(rows: Sequence[tuple[str, str]]) -> T.StructType:

@@ -24,6 +24,7 @@ def local_session(cores: str = "8", name: str = "pathloom", **extra: str) -> Spa
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
     )

@@ -78,12 +78,8 @@ def parse_listing_table(lines: DataFrame) -> DataFrame:
         F.min(F.when(heading, F.col("LINE_NO"))).alias("__start")
     )
     inside = lines.join(starts, F.col("FILE_NAME") == F.col("__f")).where(F.col("LINE_NO") > F.col("__start"))
-    # the heading may repeat inside the table, so the end is the first blank line that follows rows
-    first_row = inside.where((text != "") & ~heading).groupBy(F.col("FILE_NAME").alias("__g")).agg(F.min("LINE_NO").alias("__first"))
     blanks = inside.where(text == "").groupBy(F.col("FILE_NAME").alias("__h")).agg(F.min("LINE_NO").alias("__end"))
-    rows = inside.join(first_row, F.col("FILE_NAME") == F.col("__g")).join(
-        blanks, F.col("FILE_NAME") == F.col("__h"), "left"
-    )
+    rows = inside.join(blanks, F.col("FILE_NAME") == F.col("__h"), "left")
     kept = rows.where((text != "") & ~heading & (F.col("__end").isNull() | (F.col("LINE_NO") < F.col("__end"))))
     return kept.select(
         "FILE_NAME", "LINE_NO", F.get(F.split(text, r"\s+"), 0).alias("NAME"), text.alias("ROW_TEXT"),
