@@ -70,8 +70,10 @@ def normalize_path(path: Column) -> Column:
         )
 
     joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    # most paths are normal already and skip the walk over their parts
+    needs_work = text.rlike(r"(^|/)\.{1,2}(/|$)|//|.+/$")
     return (
-        F.when(path == "", path)
+        F.when((path == "") | ~needs_work, text)
         .when(rooted, F.concat(F.lit("/"), joined))
         .when(joined == "", F.lit("."))
         .otherwise(joined)

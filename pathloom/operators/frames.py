@@ -8,7 +8,7 @@ holds a third of all rows spreads over as many tasks as it has blocks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,9 +113,13 @@ def sequence_ranges(df: DataFrame, keys: Sequence[str], frame: Column) -> DataFr
     return edges.select(*keys, F.inline("__runs").alias("FIRSTFRAME", "LASTFRAME", "NEXTFRAME"))
 
 
-def frame_ranges(df: DataFrame, keys: Sequence[str], frame: Column) -> DataFrame:
-    """Range text, gap text and frame counts per key."""
-    blocks = _blocks_of_frames(df.where(frame.isNotNull()), keys, frame)
+def frame_ranges(
+    df: DataFrame, keys: Sequence[str], frame: Column, sums: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Range text, gap text and frame counts per key, with sums of further columns."""
+    sums = sums or {}
+    partial = [F.sum(c).alias(f"__sum_{name}") for name, c in sums.items()]
+    blocks = _blocks_of_frames(df.where(frame.isNotNull()), keys, frame, partial)
     blocks = blocks.withColumn("__count", F.size("__frames"))
     return (
         _texts(_block_edges(blocks, keys))
@@ -127,6 +131,7 @@ def frame_ranges(df: DataFrame, keys: Sequence[str], frame: Column) -> DataFrame
             F.sum("__gapsize").alias("MISSING"),
             _joined("__span").alias("FRAMERANGE"),
             _joined("__gap").alias("MISSINGFRAMES"),
+            *[F.sum(f"__sum_{name}").alias(name) for name in sums],
         )
     )
 
