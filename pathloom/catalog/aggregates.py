@@ -76,7 +76,7 @@ def highest_version(spark, sf):
 
 @query(
     "next_suffix",
-    "SELECT concat('pkg7-', lpad(cast(max(o_orderkey % 1000) + 1 AS string), 3, '0')) AS NAME FROM orders WHERE o_custkey % 10 = 7 AND o_orderkey % 3 > 0",
+    "SELECT concat('pkg7-', lpad(cast(max(o_orderkey % 1000) + 1 AS string), greatest(3, length(cast(max(o_orderkey % 1000) + 1 AS string)))::int, '0')) AS NAME FROM orders WHERE o_custkey % 10 = 7 AND o_orderkey % 3 > 0",
 )
 def next_suffix(spark, sf):
     tail = F.when(F.col("o_orderkey") % 3 == 0, "bad").otherwise((F.col("o_orderkey") % 1000).cast("string"))
@@ -97,7 +97,7 @@ def next_suffixes(spark, sf):
 
 @query(
     "total_size",
-    with_views("dirs") + f""", p AS ({_INGEST}), d AS (SELECT page_id, PATH, EXISTS (SELECT 1 FROM p q WHERE starts_with(p.PATH, concat(rtrim(q.PATH, '/'), '/')) AND q.PATH <> p.PATH) AS dup FROM p)
+    with_views("dirs") + f""", p AS ({_INGEST}), d AS (SELECT page_id, PATH, EXISTS (SELECT 1 FROM p q WHERE starts_with(p.PATH, concat(rtrim(q.PATH, '/'), '/')) AND (q.page_id, q.PATH) <> (p.page_id, p.PATH)) AS dup FROM p)
 SELECT cast(sum(page_id * 10) AS bigint) AS TOTALSIZE, cast(sum(CASE WHEN page_id % 2 = 0 THEN page_id * 10 ELSE 0 END) AS bigint) AS CROSSSIZE FROM d WHERE NOT dup""",
 )
 def total_size(spark, sf):

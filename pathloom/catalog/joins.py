@@ -85,16 +85,14 @@ def assign_shot(spark, sf):
 @query(
     "assign_alt_shot",
     with_views("inv", "shots") + """
-, alt AS (SELECT SHOTNAME, concat('/ord', cast(row_number() OVER (ORDER BY SHOTNAME) * 11 AS string)) AS ALT FROM shots),
+, alt AS (SELECT SHOTNAME, concat('/ord', cast((cast(substr(SHOTNAME, 3) AS int) + 1) * 11 AS string)) AS ALT FROM shots),
 b AS (SELECT FILE, max(SHOTNAME) AS S FROM (SELECT DISTINCT FILE FROM inv WHERE OID % 2 = 0) f JOIN alt ON contains(FILE, ALT) GROUP BY FILE)
 SELECT inv.FILE, PK, CASE WHEN OID % 2 = 1 THEN 'has' ELSE coalesce(S, '') END AS SHOTNAME, CASE WHEN OID % 2 = 0 AND S IS NOT NULL THEN 'yes' ELSE '' END AS ALTSHOTNAME
 FROM inv LEFT JOIN b ON inv.FILE = b.FILE""",
 )
 def assign_alt_shot(spark, sf):
-    from pyspark.sql import Window
-
     rows = inv(spark, sf).select("FILE", "PK", "PROJECT", F.when(F.col("OID") % 2 == 1, "has").otherwise("").alias("SHOTNAME"))
-    number = F.row_number().over(Window.orderBy("SHOTNAME")) * 11
+    number = (F.substring("SHOTNAME", 3, 3).cast("int") + 1) * 11
     alt = shots(spark, sf).withColumn("ALTSHOTNAME", F.concat(F.lit("/ORD"), number.cast("string")))
     return joins.assign_alt_shot(rows, alt).drop("PROJECT")
 
@@ -224,7 +222,7 @@ def ingest_paths(spark, sf):
 
 @query(
     "prefix_duplicates",
-    with_views("dirs") + f", p AS ({_INGEST}) SELECT page_id, PATH, EXISTS (SELECT 1 FROM p q WHERE starts_with(p.PATH, concat(rtrim(q.PATH, '/'), '/')) AND q.PATH <> p.PATH) AS ISDUPLICATE FROM p",
+    with_views("dirs") + f", p AS ({_INGEST}) SELECT page_id, PATH, EXISTS (SELECT 1 FROM p q WHERE starts_with(p.PATH, concat(rtrim(q.PATH, '/'), '/')) AND (q.page_id, q.PATH) <> (p.page_id, p.PATH)) AS ISDUPLICATE FROM p",
 )
 def prefix_duplicates(spark, sf):
     return joins.prefix_duplicates(ingest_paths(spark, sf))

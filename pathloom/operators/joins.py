@@ -158,14 +158,14 @@ def destination_options(templates: DataFrame, extensions: DataFrame, leaf: str =
         "__name", F.lower(base_name(F.col("OPTION")))
     )
     size = F.length("__name")
-    longest = extensions.agg(F.max(F.length("EXT"))).scalar()
+    leaves = leaves.withColumn("__longest", extensions.agg(F.max(F.length("EXT"))).scalar())
     at = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
     dots = F.filter(at, lambda i: F.substring(F.col("__name"), i, F.lit(1)) == ".")
     parts = F.flatten(
         F.transform(
             dots,
             lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(size - i + 1, F.coalesce(longest, F.lit(1)))),
+                F.sequence(F.lit(1), F.least(size - i + 1, F.coalesce("__longest", F.lit(1)))),
                 lambda n: F.substring(F.col("__name"), i, n),
             ),
         )
@@ -263,18 +263,25 @@ def prefix_duplicates(paths: DataFrame, column: str = "PATH", name: str = "ISDUP
     other one.
     """
     parts = F.split(F.col("__dir"), "/")
-    listed = paths.select(F.regexp_replace(F.col(column), "/+$", "").alias("__p")).distinct()
+    listed = paths.groupBy(F.regexp_replace(F.col(column), "/+$", "").alias("__p")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
     folders = paths.select(_parent(F.col(column)).alias("__dir")).distinct()
     up = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
     )
-    below = (
+    own = F.col("__up") == F.col("__dir")
+    above = (
         folders.withColumn("__up", F.explode(up))
-        .join(listed, F.col("__up") == F.col("__p"), "left_semi")
-        .select("__dir").distinct().withColumn("__hit", F.lit(True))
+        .join(listed, F.col("__up") == F.col("__p"))
+        .groupBy(F.col("__dir").alias("__d"))
+        .agg(F.sum(F.when(own, 0).otherwise(1)).alias("__over"), F.sum(F.when(own, F.col("__n"))).alias("__same"))
     )
-    joined = paths.join(below.withColumnRenamed("__dir", "__d"), _parent(F.col(column)) == F.col("__d"), "left")
-    return joined.withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__d", "__hit")
+    joined = paths.join(above, _parent(F.col(column)) == F.col("__d"), "left")
+    # a path with a trailing slash counts as its own folder and must not find itself
+    itself = F.when(F.endswith(F.col(column), F.lit("/")), 1).otherwise(0)
+    hit = (F.col("__over") > 0) | (F.coalesce("__same", F.lit(0)) > itself)
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__d", "__over", "__same")
 
 
 def _parent(path: Column) -> Column:

@@ -50,13 +50,15 @@ def matches(
     fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
     known = terms.where(F.coalesce(F.col(term), F.lit("")) != "").withColumn("__term", fold(F.col(term)))
     facts = known.agg(
-        F.collect_set(F.length("__term")).alias("lengths"),
-        F.collect_set(F.substring("__term", 1, 1)).alias("firsts"),
+        F.struct(
+            F.collect_set(F.length("__term")).alias("lengths"),
+            F.collect_set(F.substring("__term", 1, 1)).alias("firsts"),
+        ).alias("__facts")
     )
-    lengths = facts.select("lengths").scalar()
-    firsts = facts.select("firsts").scalar()
     texts = df.select(F.col(text).alias("__text")).where("__text is not null").distinct()
-    cut = texts.withColumn("__part", F.explode(_candidates(fold(F.col("__text")), lengths, firsts)))
+    texts = texts.withColumn("__facts", facts.scalar())
+    parts = _candidates(fold(F.col("__text")), F.col("__facts.lengths"), F.col("__facts.firsts"))
+    cut = texts.select("__text", F.explode(parts).alias("__part"))
     found = cut.join(known, F.col("__part") == F.col("__term"))
     if whole_word:
         found = found.where(_bounded(fold(F.col("__text")), F.col("__term")))
