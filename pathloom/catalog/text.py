@@ -461,7 +461,7 @@ def fill_tokens(spark, sf):
     f"""WITH l AS ({LINKS}) SELECT o_orderkey, unnest(list_concat(CASE WHEN CLIENT = ' ' THEN [] ELSE ['CLIENT=' || CLIENT] END, ['PROJECT=' || PROJECT])) AS ENTRY FROM l""",
 )
 def map_values(spark, sf):
-    values = F.map_entries(tokens.row_values(["CLIENT", "PROJECT"]))
+    values = F.map_entries(tokens.value_map(tokens.row_values(["CLIENT", "PROJECT"])))
     entry = F.transform(values, lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return links(spark, sf).select("o_orderkey", F.explode(entry).alias("ENTRY"))
 

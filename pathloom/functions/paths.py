@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,51 +54,66 @@ def swap_root(path: Column, roots: Mapping[str, str], system: str) -> Column:
     return path
 
 
-def normalize_path(path: Column) -> Column:
-    """``.`` and ``..`` and doubled slashes worked out; ``/`` as the only separator."""
-    text = conform_slashes(path)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _walk(text: Column) -> Column:
     rooted = F.startswith(text, F.lit("/"))
     parts = F.filter(F.split(text, "/"), lambda p: ~p.isin("", "."))
 
     def step(done: Column, part: Column) -> Column:
-        can_go_up = (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(".."))
         return (
             F.when(part != "..", F.concat(done, F.array(part)))
-            .when(can_go_up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(last != "..", F.slice(done, F.lit(1), F.size(done) - 1))
             .when(rooted, done)
             .otherwise(F.concat(done, F.array(part)))
         )
 
     joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    # most paths are normal already and skip the walk over their parts
-    needs_work = text.rlike(r"(^|/)\.{1,2}(/|$)|//|.+/$")
-    return (
-        F.when((path == "") | ~needs_work, text)
-        .when(rooted, F.concat(F.lit("/"), joined))
-        .when(joined == "", F.lit("."))
-        .otherwise(joined)
-    )
+    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
 
 
-def relative_path(source: Column, dest: Column) -> Column:
-    """Path of ``source`` seen from the folder of ``dest``."""
-    src, dst = F.split(source, "/"), F.split(dest, "/")
+def normalize_path(path: Column) -> Column:
+    """``.`` and ``..`` and doubled slashes worked out; ``/`` as the only separator.
+
+    Most paths are in normal form already and skip the walk over their parts.
+    """
+    messy = r"(^|/)\.{1,2}(/|$)|//|.+/$"
+    return let(conform_slashes(path), lambda t: F.when(t.rlike(messy), let(t, _walk)).otherwise(t))
+
+
+def _relative(pair: Column) -> Column:
+    src, dst = pair["src"], pair["dst"]
     same = F.zip_with(src, dst, lambda a, b: F.coalesce(a == b, F.lit(False)))
     shorter = F.least(F.size(src), F.size(dst))
-    found = F.array_position(same, F.lit(False)).cast("int")
-    fork = F.when((found == 0) | (found > shorter), shorter).otherwise(found - 1)
-    ups = F.array_repeat(F.lit(".."), F.greatest(F.size(dst) - fork - 1, F.lit(0)))
-    rest = F.slice(src, fork + 1, F.greatest(F.size(src) - fork, F.lit(0)))
-    text = F.array_join(F.concat(ups, rest), "/")
-    return F.when(text == "", F.lit(".")).otherwise(text)
+    at = F.array_position(same, F.lit(False)).cast("int")
+    fork = F.when((at == 0) | (at > shorter), shorter).otherwise(at - 1)
+
+    def build(n: Column) -> Column:
+        ups = F.array_repeat(F.lit(".."), F.greatest(F.size(dst) - n - 1, F.lit(0)))
+        rest = F.slice(src, n + 1, F.greatest(F.size(src) - n, F.lit(0)))
+        return F.array_join(F.concat(ups, rest), "/")
+
+    return let(let(fork, build), lambda text: F.when(text == "", F.lit(".")).otherwise(text))
+
+
+def relative_path(source: Column, dest: Column) -> Column:
+    """Path of ``source`` seen from the folder of ``dest``."""
+    pair = F.struct(F.split(source, "/").alias("src"), F.split(dest, "/").alias("dst"))
+    return F.when(source.isNotNull() & dest.isNotNull(), let(pair, _relative))
 
 
 def link_in_package(link: Column, root: str) -> Column:
     """Normal form of a link relative to the package root."""
     base = root.rstrip("/") + "/"
-    return F.when(
-        F.startswith(link, F.lit("/")), relative_path(normalize_path(link), F.lit(base + "-"))
-    ).otherwise(normalize_path(link))
+    here = F.lit(base + "-")
+    return let(
+        normalize_path(link),
+        lambda p: F.when(F.startswith(p, F.lit("/")), relative_path(p, here)).otherwise(p),
+    )
 
 
 def move_root(path: Column, root: str, new_root: str) -> Column:

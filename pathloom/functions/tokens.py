@@ -54,34 +54,42 @@ def drive_paths(line: Column, extensions: Sequence[str]) -> Column:
     return F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
 
 
-def fill_tokens(text: Column, values: Column, delimiters: Sequence[str] = TOKEN_DELIMITERS) -> Column:
-    """Whole placeholders replaced by their value in the map ``values``; others stay."""
-    filled = F.transform(
-        pieces(text, delimiters),
-        lambda p: F.when(
-            is_placeholder(p), F.coalesce(F.try_element_at(values, p), p)
-        ).otherwise(p),
-    )
-    return F.when(values.isNull(), text).otherwise(F.array_join(filled, ""))
+def fill_tokens(text: Column, values: Mapping[str, Column], delimiters: Sequence[str] = TOKEN_DELIMITERS) -> Column:
+    """Whole placeholders replaced by their value; null values and unknown names stay.
+
+    Names are compared one by one, so a value is only computed for rows that use it and no map
+    is built per row.
+    """
+    def fill(piece: Column) -> Column:
+        out = None
+        for name, value in values.items():
+            test = piece == name
+            out = F.when(test, F.coalesce(value, piece)) if out is None else out.when(test, F.coalesce(value, piece))
+        return piece if out is None else out.otherwise(piece)
+
+    return F.array_join(F.transform(pieces(text, delimiters), fill), "")
 
 
 def row_values(
     columns: Sequence[str], padding: Column | None = None, ext: Column | None = None,
     exclude: Sequence[str] = (), extra: Mapping[str, Column] | None = None,
-) -> Column:
-    """Map of usable column values of a row; nulls, NaN and blanks are left out."""
-    entries: dict[str, Column] = {c: F.col(f"`{c}`").cast("string") for c in columns if c not in exclude}
+) -> dict[str, Column]:
+    """Values of a row by placeholder name; blanks and NaN are null."""
+    entries: dict[str, Column] = {c: F.col(f"`{c}`").cast("string") for c in columns}
     if padding is not None and "PADDING" in entries:
         entries["PADDING"] = padding
     if ext is not None and "DOTEXTENSION" in entries:
         entries["DOTEXTENSION"] = ext
-    entries.update({k: v for k, v in (extra or {}).items() if k not in exclude})
-    if not entries:
+    entries.update(extra or {})
+    return {k: F.when((F.trim(v) != "") & (v != "NaN"), v) for k, v in entries.items() if k not in exclude}
+
+
+def value_map(values: Mapping[str, Column]) -> Column:
+    """The same as a map column without the null values."""
+    if not values:
         return F.create_map().cast("map<string,string>")
-    flat = [x for k, v in entries.items() for x in (F.lit(k), v)]
-    return F.map_filter(
-        F.create_map(*flat), lambda _, v: v.isNotNull() & (F.trim(v) != "") & (v != "NaN")
-    )
+    flat = [x for k, v in values.items() for x in (F.lit(k), v)]
+    return F.map_filter(F.create_map(*flat), lambda _, v: v.isNotNull())
 
 
 def java_quote(term: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.names import base_name, split_extension
 from pathloom.functions.paths import glob_to_regex
+from pathloom.operators.grouping import spread_blank
 
 
 def drop_equal(df: DataFrame, column: str, value: object) -> DataFrame:
@@ -101,27 +102,30 @@ def delete_by_keys(
     Blank and null keys delete nothing.
     """
     for column in (file, sequence):
-        keys = (
-            deletions.select(F.col(column).alias("__k"))
-            .where("coalesce(__k, '') <> ''").distinct()
-        )
-        df = df.join(keys, F.col(column) == F.col("__k"), "left_anti")
+        df = _drop_keys(df, column, _keys(deletions, column))
     return df
 
 
+def _keys(deletions: DataFrame, column: str) -> DataFrame:
+    return deletions.select(F.col(column).alias("__k")).where("coalesce(__k, '') <> ''").distinct()
+
+
+def _drop_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Anti join in which the many rows with a blank key do not meet in one task."""
+    marked = keys.select(F.concat(F.lit("="), F.col("__k").cast("string")).alias("__k"))
+    keyed = df.withColumn("__asked", spread_blank(F.col(column)))
+    return keyed.join(marked, F.col("__asked") == F.col("__k"), "left_anti").drop("__asked")
+
+
 def delete_by_keys_fallback(
     df: DataFrame, deletions: DataFrame, file: str = "FILE", sequence: str = "SEQUENCENAME"
 ) -> DataFrame:
     """Rows deleted by file; by sequence only if no file matched at all."""
-    def keys(column: str) -> DataFrame:
-        return deletions.select(F.col(column).alias("__k")).where("coalesce(__k, '') <> ''").distinct()
-
-    files = keys(file)
+    files = _keys(deletions, file)
     matched = df.join(files, F.col(file) == F.col("__k"), "left_semi").limit(1)
     any_match = matched.agg((F.count(F.lit(1)) > 0).alias("__m"))
-    open_sequences = keys(sequence).where(~any_match.scalar())
-    by_file = df.join(files, F.col(file) == F.col("__k"), "left_anti")
-    return by_file.join(open_sequences, F.col(sequence) == F.col("__k"), "left_anti")
+    open_sequences = _keys(deletions, sequence).where(~any_match.scalar())
+    return _drop_keys(_drop_keys(df, file, files), sequence, open_sequences)
 
 
 def lookup_first(

@@ -76,3 +76,29 @@ def chunked_lists(
         F.array_sort(F.collect_list(F.struct("__no", "__v"))).alias("__l")
     )
     return listed.select(*keys, "CHUNK", F.transform("__l", lambda x: x["__v"]).alias(name))
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", salts: int = 32
+) -> DataFrame:
+    """Equality join for keys with few values, such as file extensions.
+
+    Rows of the left side get a salt from their partition and rows of the right side appear
+    once per salt, so a key that holds most rows spreads over ``salts`` tasks. When Spark finds
+    the right side small enough to broadcast, the salt costs nothing.
+    """
+    salted = left.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    copies = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__copy"))
+    return salted.join(copies, same, how).drop("__salt", "__copy")
+
+
+def spread_blank(key: Column) -> Column:
+    """A join key whose blanks and nulls match nothing and do not meet in one task.
+
+    Both sides of the join have to use it; blanks get the number of their partition.
+    """
+    blank = F.coalesce(key.cast("string"), F.lit("")) == ""
+    return F.when(blank, F.concat(F.lit("!"), F.spark_partition_id().cast("string"))).otherwise(
+        F.concat(F.lit("="), key.cast("string"))
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.names import base_name, extension_group
-from pathloom.operators.grouping import chunked_lists, spread
+from pathloom.operators.grouping import chunked_lists, salted_join, spread
 from pathloom.operators.matching import best_match
 
 
@@ -132,9 +132,9 @@ def thumb_lookup(df: DataFrame, defaults: DataFrame) -> DataFrame:
         F.when(F.col("__type") == "thumb", made)
         .when(F.col("__type") == "icon", F.col("__icon")).otherwise(F.lit(""))
     )
-    return df.join(known, ext == F.col("__ext"), "left").withColumn("THUMBNAME", name).drop(
-        "__ext", "__type", "__icon"
-    )
+    keyed = df.withColumn("__own", ext)
+    joined = salted_join(keyed, known, "__own", "__ext", "left")
+    return joined.withColumn("THUMBNAME", name).drop("__own", "__ext", "__type", "__icon")
 
 
 def fixed_thumbs(item: Column, ext: Column) -> Column:
@@ -191,7 +191,7 @@ def match_destinations(sources: DataFrame, templates: DataFrame, leaf: str = "DE
         F.count(F.lit(1)).alias("__n"), F.min("OPTION").alias("__only")
     )
     known = lists.join(counts, F.col("EXT") == F.col("__e")).drop("__e")
-    joined = rows.join(known, F.col("__ext") == F.col("EXT"), "left")
+    joined = salted_join(rows, known, "__ext", "EXT", "left")
     current = F.col("DEST") if "DEST" in sources.columns else F.lit(None).cast("string")
     return joined.withColumns(
         {

@@ -10,17 +10,28 @@ from pyspark.sql import types as T
 
 from pathloom.functions import names, tokens
 from pathloom.operators.aggregates import highest_version
+from pathloom.operators.grouping import salted_join, spread_blank
 from pathloom.schemas import SESSION_PLACEHOLDERS, TOKEN_DELIMITERS
 
 
+# variables that may be written into an expression
+FEW_VARIABLES = 100
+
+
+def few_rows(df: DataFrame, most: int) -> list | None:
+    """The rows of a table if there are at most ``most``, else nothing. Never reads more."""
+    rows = df.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
 def _texts(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
-def row_map(
+def row_fill(
     columns: Sequence[str], exclude: Sequence[str] = (), padding_style: str | Column = "standard",
     ext_case: str | Column = "default", extra: Mapping[str, Column] | None = None,
-) -> Column:
+) -> dict[str, Column]:
     """Usable values of a row by column name, with padding and extension in the chosen form."""
     padding = names.padding_form(F.col("PADDING"), padding_style) if "PADDING" in columns else None
     ext = names.extension_case(F.col("DOTEXTENSION"), ext_case) if "DOTEXTENSION" in columns else None
@@ -41,13 +52,14 @@ def expand_templates(
     ``prepend`` and the source column for ``append``.
     """
     t_cols = templates.columns
+    text = set(_texts(templates))
     renamed = templates.select(*[F.col(f"`{c}`").alias(f"__t_{c}") for c in t_cols])
-    values = row_map(rows.columns, (), padding_style, ext_case, extra)
-    if filter_mode == "exclude" and filter_list:
-        values = F.map_filter(values, lambda k, _: ~k.isin(list(filter_list)))
+    values = row_fill(rows.columns, (), padding_style, ext_case, extra)
+    if filter_mode == "exclude":
+        values = {k: v for k, v in values.items() if k not in filter_list}
     elif filter_mode == "include":
-        values = F.map_filter(values, lambda k, _: k.isin(list(filter_list)))
-    keyed = rows.withColumn("__values", values)
+        values = {k: v for k, v in values.items() if k in filter_list}
+    keyed = rows
     if "DOTEXTENSION" in t_cols and "DOTEXTENSION" in rows.columns:
         ext = F.coalesce(F.col("__t_DOTEXTENSION"), F.lit(""))
         keys = F.array_distinct(F.array(ext, F.lit(""))) if all_if_no_extension else F.array(ext)
@@ -56,10 +68,9 @@ def expand_templates(
     else:
         renamed = renamed.withColumn("__key", F.lit(""))
         keyed = keyed.withColumn("__rkey", F.lit(""))
-    joined = keyed.join(renamed, F.col("__rkey") == F.col("__key"))
-    text = set(_texts(templates))
+    joined = salted_join(keyed, renamed, "__rkey", "__key")
     filled = {
-        c: tokens.fill_tokens(F.col(f"`__t_{c}`"), F.col("__values")) if c in text else F.col(f"`__t_{c}`")
+        c: tokens.fill_tokens(F.col(f"`__t_{c}`"), values) if c in text else F.col(f"`__t_{c}`")
         for c in t_cols
     }
     source = [c for c in (source_columns or rows.columns) if c in rows.columns]
@@ -106,9 +117,18 @@ def remap_actions(mapping: DataFrame) -> DataFrame:
 
 
 def resolve_variables(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Placeholders still in a text filled from the mapping table; ``ignore`` leaves them."""
+    """Placeholders still in a text filled from the mapping table; ``ignore`` leaves them.
+
+    A table of few variables becomes part of the expression, so no shuffle is needed; a larger
+    one is joined.
+    """
+    known = remap_actions(mapping)
+    few = few_rows(known, FEW_VARIABLES)
+    if few is not None:
+        values = {r["Variable"]: F.lit(r["Value"]) for r in reversed(few) if r["Variable"]}
+        return df.withColumn(column, tokens.fill_tokens(F.col(f"`{column}`"), values)) if values else df
     cut = tokens.pieces(F.col("TEXT"))
-    return _refill(df, column, cut, remap_actions(mapping), "Variable", "Value")
+    return _refill(df, column, cut, known, "Variable", "Value")
 
 
 def unknown_variables(
@@ -127,12 +147,11 @@ def fill_session(
     extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Placeholders in every text column filled from the row itself, then from the mapping."""
-    values = row_map(df.columns, (), padding_style, ext_case, extra)
+    values = row_fill(df.columns, (), padding_style, ext_case, extra)
     columns = _texts(df)
-    keyed = df.withColumn("__values", values)
-    out = keyed.select(
+    out = df.select(
         *[
-            tokens.fill_tokens(F.col(f"`{c}`"), F.col("__values")).alias(c) if c in columns else F.col(f"`{c}`")
+            tokens.fill_tokens(F.col(f"`{c}`"), values).alias(c) if c in columns else F.col(f"`{c}`")
             for c in df.columns
         ]
     )
@@ -157,8 +176,11 @@ def add_virtual_columns(
     """``VERSION`` of the row's item, ``YYYYMMDD`` and ``PKGVERSION3PADDED`` as columns."""
     stamp = F.lit(day).cast("timestamp") if isinstance(day, str) else day
     date = F.date_format(stamp, "yyyyMMdd")
-    known = highest_version(log).select(F.col("item").alias("__item"), (F.col("HIGHEST") + 1).alias("__next"))
-    joined = rows.join(known, F.col(item) == F.col("__item"), "left")
+    known = highest_version(log).where("coalesce(item, '') <> ''").select(
+        F.concat(F.lit("="), F.col("item")).alias("__item"), (F.col("HIGHEST") + 1).alias("__next")
+    )
+    keyed = rows.withColumn("__asked", spread_blank(F.trim(F.col(item))))
+    joined = keyed.join(known, F.col("__asked") == F.col("__item"), "left").drop("__asked")
     usable = F.coalesce(F.trim(F.col(item)), F.lit("")) != ""
     version = F.when(usable, tokens.version_text(F.coalesce("__next", F.lit(1)), "v", 4))
     package = log.where((F.col("item") == package_item) & (F.col("date") == date)).agg(

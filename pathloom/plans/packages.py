@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.paths import link_in_package, relative_path
+from pathloom.functions.tokens import fill_tokens
 from pathloom.operators import dedup, frames, templates
 
 
@@ -18,14 +19,13 @@ def provision_links(
     """Requested links with every placeholder filled and one row per link and source.
 
     Templates are expanded per row, then the session placeholders (item version, date,
-    package version) and the mapping table fill what is left.
+    package version) and the mapping table fill what is left. Later steps read the result more
+    than once, so store it before the review.
     """
     requested = templates.expand_templates(rows, template, padding_style=padding_style, ext_case=ext_case)
     dated = templates.add_virtual_columns(requested, log, day)
     extra = {c: F.col(c) for c in ("VERSION", "YYYYMMDD", "PKGVERSION3PADDED")}
-    values = templates.row_map(dated.columns, (), padding_style, ext_case, extra)
-    from pathloom.functions.tokens import fill_tokens
-
+    values = templates.row_fill(dated.columns, (), padding_style, ext_case, extra)
     filled = dated.withColumn("PROVISIONEDLINK", fill_tokens(F.col("PROVISIONEDLINK"), values))
     mapped = templates.resolve_variables(filled, "PROVISIONEDLINK", mapping).drop(*extra)
     return dedup.drop_double_dupes(mapped, "PROVISIONEDLINK", "FILE", order_by)
@@ -45,9 +45,8 @@ def package_links(reviewed: DataFrame, root: str) -> DataFrame:
     ``TARGET`` is the source as seen from the link. The links themselves are not created.
     """
     valid = reviewed.where("STATUS = 'valid'")
-    frames_out = frames.expand_ranges(valid)
-    link = link_in_package(F.col("PROVISIONEDLINK"), root)
-    placed = F.concat(F.lit(root.rstrip("/") + "/"), link)
-    return frames_out.select(
-        "FILE", link.alias("PROVISIONEDLINK"), relative_path(F.col("FILE"), placed).alias("TARGET"), "FRAME"
+    rows = frames.expand_ranges(valid).withColumn("__link", link_in_package(F.col("PROVISIONEDLINK"), root))
+    placed = F.concat(F.lit(root.rstrip("/") + "/"), "__link")
+    return rows.select(
+        "FILE", F.col("__link").alias("PROVISIONEDLINK"), relative_path(F.col("FILE"), placed).alias("TARGET"), "FRAME"
     )
