@@ -27,14 +27,14 @@ def sequence_columns(
     allows ``_`` and ``-`` before the number but at most two dots in the name, and
     ``last_sep`` (the default) wants two digits or more and lower-cases the extension.
     """
-    pattern = SEQUENCE_PATTERNS[style]
-    prefix, number, suffix = (F.regexp_extract(file, pattern, i) for i in (1, 2, 3))
-    member = F.length(number) > 0
+    # one match per path: its three groups come back on lines of their own, two characters longer
+    marked = F.regexp_replace(file, SEQUENCE_PATTERNS[style], "$1\n$2\n$3")
+    prefix, number, suffix = (F.get(F.split(marked, "\n", 3), i) for i in range(3))
+    member = F.length(marked) == F.length(file) + 2
     if style != "dot":
-        wanted = [e.lower() for e in (extensions or IMAGE_EXTENSIONS)]
-        member &= F.lower(F.regexp_extract(file, r"\.[^.]*$", 0)).isin(wanted)
+        member &= F.lower(suffix).isin([e.lower() for e in (extensions or IMAGE_EXTENSIONS)])
     if style == "any_sep":
-        name = F.regexp_extract(file, r"[^/]*$", 0)
+        name = F.substring_index(file, "/", -1)
         member &= F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) <= 2
     if style == "last_sep":
         suffix = F.lower(suffix)
@@ -62,9 +62,9 @@ def parse_sequence_path(path: Column) -> Column:
 
 def extension(file: Column) -> Column:
     """Text after the last dot; blank for temporary or odd extensions."""
-    ext = F.when(F.contains(file, F.lit(".")), F.element_at(F.split(file, r"\."), -1)).otherwise("")
-    unwanted = ext.rlike("[~#_-]") | ext.isin("part", "autosave", "tmp")
-    return F.when(unwanted, F.lit("")).otherwise(ext)
+    ext = F.when(F.contains(file, F.lit(".")), F.substring_index(file, ".", -1)).otherwise("")
+    odd = F.length(F.translate(ext, "~#_-", "")) < F.length(ext)
+    return F.when(odd | ext.isin("part", "autosave", "tmp"), F.lit("")).otherwise(ext)
 
 
 def split_extension(name: Column) -> tuple[Column, Column]:
@@ -76,7 +76,7 @@ def split_extension(name: Column) -> tuple[Column, Column]:
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def directory(path: Column) -> Column:
@@ -86,7 +86,7 @@ def directory(path: Column) -> Column:
 
 def extension_group(file: Column) -> Column:
     """``.ext`` in lower case, with jpeg read as jpg and tiff as tif."""
-    ext = F.concat(F.lit("."), F.lower(F.element_at(F.split(file, r"\."), -1)))
+    ext = F.concat(F.lit("."), F.lower(F.substring_index(file, ".", -1)))
     return (
         F.when(F.contains(file, F.lit("%")), ext)
         .when(ext == ".jpeg", F.lit(".jpg"))

@@ -55,7 +55,12 @@ def drive_paths(line: Column, extensions: Sequence[str]) -> Column:
 
 
 def fill_tokens(text: Column, values: Mapping[str, Column], delimiters: Sequence[str] = TOKEN_DELIMITERS) -> Column:
-    """Whole placeholders replaced by their value; null values and unknown names stay.
+    """Whole placeholders replaced by their value; null values and unknown names stay."""
+    return fill_pieces(pieces(text, delimiters), values)
+
+
+def fill_pieces(parts: Column, values: Mapping[str, Column]) -> Column:
+    """The same for a text that is cut into pieces already.
 
     Names are compared one by one, so a value is only computed for rows that use it and no map
     is built per row.
@@ -67,7 +72,7 @@ def fill_tokens(text: Column, values: Mapping[str, Column], delimiters: Sequence
             out = F.when(test, F.coalesce(value, piece)) if out is None else out.when(test, F.coalesce(value, piece))
         return piece if out is None else out.otherwise(piece)
 
-    return F.array_join(F.transform(pieces(text, delimiters), fill), "")
+    return F.array_join(F.transform(parts, fill), "")
 
 
 def row_values(

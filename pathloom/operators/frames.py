@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import ranges
 from pathloom.functions.names import base_name
+from pathloom.operators.grouping import split_rows
 
 BLOCK = 4096
 
@@ -218,8 +219,7 @@ def summarize_sequences(
     added = ["FIRSTFRAME", "LASTFRAME", "FRAMERANGE", "MISSINGFRAMES"]
     folded = [key, "SEQUENCEPOSITION", "FILESIZE", "CREATION_TIME"]
     rest = [c for c in df.columns if c not in folded and c not in added]
-    in_sequence = F.coalesce(F.col(key), F.lit("")) != ""
-    plain = df.where(~in_sequence)
+    members, plain = split_rows(df, F.coalesce(F.col(key), F.lit("")) != "")
     plain = plain.withColumns({c: F.lit(None).cast("string") for c in added}).withColumns(
         {
             "FILESIZE": F.col("FILESIZE").cast("string").try_cast("bigint"),
@@ -231,8 +231,7 @@ def summarize_sequences(
     positions = F.split(F.col("SEQUENCEPOSITION").cast("string"), ",")
     first_file = F.struct(*order_by)
     rows = (
-        df.where(in_sequence)
-        .select(
+        members.select(
             key, "CREATION_TIME", F.col("FILESIZE").cast("string").try_cast("bigint").alias("FILESIZE"),
             F.struct(*rest).alias("__rest"), first_file.alias("__order"),
             F.posexplode_outer(positions).alias("__at", "__text"),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # rows per list cell; a group below this size gives exactly one list
 CHUNK_ROWS = 10_000
@@ -83,11 +84,14 @@ def salted_join(
 ) -> DataFrame:
     """Equality join for keys with few values, such as file extensions.
 
-    Rows of the left side get a salt from their partition and rows of the right side appear
-    once per salt, so a key that holds most rows spreads over ``salts`` tasks. When Spark finds
-    the right side small enough to broadcast, the salt costs nothing.
+    Rows of the left side get a salt from their values and their partition, and rows of the
+    right side appear once per salt, so a key that holds most rows spreads over ``salts`` tasks,
+    also if those rows are copies of each other. When Spark finds the right side small enough
+    to broadcast, the salt costs nothing.
     """
-    salted = left.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    plain = [f.name for f in left.schema if isinstance(f.dataType, T.AtomicType)]
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in plain]) + F.spark_partition_id()
+    salted = left.withColumn("__salt", F.pmod(row, F.lit(salts)))
     copies = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     same = (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__copy"))
     return salted.join(copies, same, how).drop("__salt", "__copy")
@@ -102,3 +106,13 @@ def spread_blank(key: Column) -> Column:
     return F.when(blank, F.concat(F.lit("!"), F.spark_partition_id().cast("string"))).otherwise(
         F.concat(F.lit("="), key.cast("string"))
     )
+
+
+def split_rows(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet a condition, and the others.
+
+    The condition is a column of its own that Spark does not move below the columns it is made
+    from, so costly text columns are not computed a second time just to filter on them.
+    """
+    flagged = df.withColumn("__meets", F.coalesce(condition, F.lit(False)) & (F.spark_partition_id() >= 0))
+    return flagged.where("__meets").drop("__meets"), flagged.where("NOT __meets").drop("__meets")

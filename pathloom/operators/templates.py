@@ -53,7 +53,11 @@ def expand_templates(
     """
     t_cols = templates.columns
     text = set(_texts(templates))
-    renamed = templates.select(*[F.col(f"`{c}`").alias(f"__t_{c}") for c in t_cols])
+    # template texts are few: they are cut here, once, and not again for every row
+    renamed = templates.select(
+        *[F.col(f"`{c}`").alias(f"__t_{c}") for c in t_cols],
+        *[tokens.pieces(F.col(f"`{c}`")).alias(f"__p_{c}") for c in t_cols if c in text],
+    )
     values = row_fill(rows.columns, (), padding_style, ext_case, extra)
     if filter_mode == "exclude":
         values = {k: v for k, v in values.items() if k not in filter_list}
@@ -70,7 +74,7 @@ def expand_templates(
         keyed = keyed.withColumn("__rkey", F.lit(""))
     joined = salted_join(keyed, renamed, "__rkey", "__key")
     filled = {
-        c: tokens.fill_tokens(F.col(f"`__t_{c}`"), values) if c in text else F.col(f"`__t_{c}`")
+        c: tokens.fill_pieces(F.col(f"`__p_{c}`"), values) if c in text else F.col(f"`__t_{c}`")
         for c in t_cols
     }
     source = [c for c in (source_columns or rows.columns) if c in rows.columns]
