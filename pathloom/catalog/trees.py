@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.catalog.base import query
-from pathloom.catalog.views import dirs, instances, statuses, table, with_views
+from pathloom.catalog.views import dirs, instances, spread, statuses, table, with_views
 from pathloom.functions import nested
 from pathloom.operators import tables, trees
 from pathloom.plans.instances import group_configs as flatten_groups
@@ -162,8 +162,8 @@ SELECT event_id, '(root)[''a''][1][''b'']', 'str', '"x"' FROM e""",
 def nested_paths(spark, sf):
     k = F.get_json_object("props", "$.k")
     cell = F.concat(F.lit('{"k": '), k, F.lit(', "a": ['), k, F.lit(', {"b": "x"}]}'))
-    rows = table(spark, sf, "events").select("event_id", F.inline(nested.json_nodes(cell, 3)).alias("path", "data_type", "value"))
-    return rows
+    rows = spread(table(spark, sf, "events"), "event_id")
+    return rows.select("event_id", F.inline(nested.json_nodes(cell, 3)).alias("path", "data_type", "value"))
 
 
 @query("get_by_path", "SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k, NULL::varchar AS none FROM events")

@@ -108,11 +108,16 @@ def spread_blank(key: Column) -> Column:
     )
 
 
+def computed_once(col: Column) -> Column:
+    """A costly column that Spark does not copy into the filters and joins above it."""
+    return F.when(F.spark_partition_id() >= 0, col)
+
+
 def split_rows(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that meet a condition, and the others.
 
     The condition is a column of its own that Spark does not move below the columns it is made
     from, so costly text columns are not computed a second time just to filter on them.
     """
-    flagged = df.withColumn("__meets", F.coalesce(condition, F.lit(False)) & (F.spark_partition_id() >= 0))
+    flagged = df.withColumn("__meets", computed_once(F.coalesce(condition, F.lit(False))))
     return flagged.where("__meets").drop("__meets"), flagged.where("NOT __meets").drop("__meets")
