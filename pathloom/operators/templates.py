@@ -86,7 +86,16 @@ def expand_templates(
         pick = {**filled, **{c: F.col(f"`{c}`") for c in source}}
     else:
         names_out, pick = t_cols, filled
-    return joined.select(*[pick[c].alias(c) for c in names_out])
+    return _named(joined, [pick[c] for c in names_out], names_out)
+
+
+def _named(df: DataFrame, values: Sequence[Column], names_out: Sequence[str]) -> DataFrame:
+    """Columns named only after all are computed.
+
+    Inside the functions that fill placeholders, Spark would read a name as the new column of
+    that name when both are in one select.
+    """
+    return df.select(*[v.alias(f"__out{i}") for i, v in enumerate(values)]).toDF(*names_out)
 
 
 def _mapped_pieces(df: DataFrame, column: str, cut: Column, mapping: DataFrame, key: str, value: str) -> DataFrame:
@@ -153,12 +162,10 @@ def fill_session(
     """Placeholders in every text column filled from the row itself, then from the mapping."""
     values = row_fill(df.columns, (), padding_style, ext_case, extra)
     columns = _texts(df)
-    out = df.select(
-        *[
-            tokens.fill_tokens(F.col(f"`{c}`"), values).alias(c) if c in columns else F.col(f"`{c}`")
-            for c in df.columns
-        ]
-    )
+    filled = [
+        tokens.fill_tokens(F.col(f"`{c}`"), values) if c in columns else F.col(f"`{c}`") for c in df.columns
+    ]
+    out = _named(df, filled, df.columns)
     for c in columns:
         out = resolve_variables(out, c, mapping)
     return out
