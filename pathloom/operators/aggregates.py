@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.similarity import edit_distance
 from pathloom.operators.grouping import CHUNK_ROWS, chunked_lists, number_rows, spread
 
 
@@ -161,11 +162,12 @@ def deepest_common_parent(df: DataFrame, column: str = "FILE") -> DataFrame:
 
 
 def collapse_choices(
-    df: DataFrame, key: str, choice: str, status: str = "STATUS", chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, key: str, choice: str, status: str = "STATUS", chunk_rows: int = CHUNK_ROWS,
+    distance: Callable[[Column, Column], Column] = edit_distance,
 ) -> DataFrame:
     """Choices of a key in one text, valid ones first, the others by likeness to the key.
 
-    Likeness is the edit distance in lower case. ``CHUNK`` is above 0 only for keys with more
+    Likeness is the edit distance unless another one is given. ``CHUNK`` is above 0 only for keys with more
     choices than one text holds.
     """
     rows = df.withColumns(
@@ -174,9 +176,8 @@ def collapse_choices(
             "__text": F.col(choice).cast("string"),
         }
     )
-    far = F.when(
-        F.col("__open") == 1, F.levenshtein(F.lower(F.col(key).cast("string")), F.lower(F.col("__text")))
-    ).otherwise(0)
+    rows = rows.withColumn("__far", distance(F.col(key).cast("string"), F.col("__text")))
+    far = F.when(F.col("__open") == 1, F.col("__far")).otherwise(0)
     lists = chunked_lists(
         rows, [key], F.col("__text"), "__l", [F.col("__open"), far, spread(F.col("__text"))],
         [F.col("__text")], chunk_rows,

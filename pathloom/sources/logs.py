@@ -53,7 +53,14 @@ def task_fields(block: Column) -> Column:
             F.trim(F.substring(s, F.instr(s, F.lit("=")) + 1, F.length(s))).alias("value"),
         ),
     )
-    return F.map_from_entries(pairs)
+    # a key that is given twice keeps its last value
+    last = F.filter(
+        pairs,
+        lambda p, i: ~F.exists(
+            F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]
+        ),
+    )
+    return F.map_from_entries(last)
 
 
 def parse_task_blocks(blocks: DataFrame, column: str = "value") -> DataFrame:

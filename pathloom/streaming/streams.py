@@ -77,8 +77,11 @@ def stream_diff(df: DataFrame, base: str, changes: str, checkpoint: str, key: st
         else:
             old, state = newest.limit(0), newest
         state.write.mode("overwrite").parquet(f"{base}/snapshot={stamp}")
+        # only keys of the batch can have changed
         stored = spark.read.parquet(f"{base}/snapshot={stamp}")
-        snapshot_diff(old, stored, [key]).write.mode("overwrite").parquet(f"{changes}/batch={stamp}")
+        touched = newest.select(key)
+        before, after = (t.join(touched, key, "left_semi") for t in (old, stored))
+        snapshot_diff(before, after, [key]).write.mode("overwrite").parquet(f"{changes}/batch={stamp}")
 
     return (
         df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -50,7 +50,7 @@ def test_text_and_lines(spark, tmp_path):
     assert tables.read_text(spark, path).count() == 1
     jobs = {r.JobId: r.FIELDS for r in logs.parse_farm_jobs(tables.read_lines(spark, path)).collect()}
     assert jobs == {"j1": {"JobStatus": "Queued", "A": "1 = 2"}, "j2": {"JobStatus": "Done"}}
-    tasks = put(tmp_path, "tasks.txt", "TaskId=1\nTaskFrameList=5\n\nTaskId=2\nTaskFrameList=6=7\n")
+    tasks = put(tmp_path, "tasks.txt", "TaskId=0\nTaskFrameList=5\nTaskId=1\n\nTaskId=2\nTaskFrameList=6=7\n")
     assert [r.TASK for r in logs.read_task_blocks(spark, tasks).collect()] == [{"TaskId": "1", "TaskFrameList": "5"}, {"TaskId": "2", "TaskFrameList": "6=7"}]
     listing = put(tmp_path, "list.txt", "hello\n\nNAME KIND SNAP\n s1 x 2024T10\ns2 y z\n\ns3 after\n")
     assert [r.NAME for r in logs.parse_listing_table(tables.read_lines(spark, listing)).orderBy("LINE_NO").collect()] == ["s1", "s2"]
@@ -188,7 +188,31 @@ def test_freshness(spark):
     assert [r.k for r in stale.collect()] == ["b"]
 
 
-def test_similarity_and_checkpoint(spark):
+def test_refresh_links_and_roots(spark, tmp_path):
+    shots = spark.createDataFrame([("SH01",)], "SHOTNAME string")
+    rows = [("/p/IN/d/who/SH01.mov", "file", "/x/OUT/d/them/a"), ("/p/IN/d/no/b.mov", "no", "")]
+    links = spark.createDataFrame(rows, "FILE string, ISLINK string, TARGET string")
+    none = spark.createDataFrame([], "FILE string")
+    got = inventory.refresh_links(none, links.unionAll(links), "c", "p", shots, ["WHOTO"])
+    assert got.columns[0] == "WHOTO" and [(r.WHOTO, r.WHOFROM, r.SHOTNAME) for r in got.collect()] == [("who", "them", "SH01")]
+    for n in (1, 2, 4):
+        put(tmp_path, f"proj/SH01/a_v02.{n:04d}.exr", "x" * n)
+    put(tmp_path, "proj/SH01/Thumbs.db", "x")
+    now = F.lit("2024-01-01").cast("timestamp")
+    out = inventory.inventory_of_roots(spark, [str(tmp_path / "proj")], "c", "proj", shots, now).collect()
+    assert [(r.FRAMERANGE, r.MISSINGFRAMES, r.FILESIZE, r.SHOTNAME, r.ITEMVERSION) for r in out] == [("1-2, 4", "3", "7.0 B", "SH01", "v02")]
+
+
+def test_similarity(spark):
+    from pathloom.functions.similarity import partial_distance
+    from pathloom.operators.aggregates import collapse_choices
+
+    df = spark.createDataFrame([("abc", "xabcx", None), ("abc", "qqq", None), ("abc", "abd", None)], "k string, v string, STATUS string")
+    assert collapse_choices(df, "k", "v", distance=partial_distance).first().v == "xabcx, abd, qqq"
+    assert collapse_choices(df, "k", "v").first().v.startswith("abd")
+
+
+def test_checkpoint(spark):
     from pathloom.session import cut_lineage
 
     df = cut_lineage(spark.range(3))
