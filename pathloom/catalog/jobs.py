@@ -8,7 +8,7 @@ from pathloom.catalog.views import enriched, instances, inv, shots, statuses, ta
 from pathloom.operators import aggregates, filters, templates
 from pathloom.plans import instances as instance_jobs
 from pathloom.plans import inventory, packages
-from pathloom.session import cut_lineage
+from pathloom.session import store
 
 
 def template_rows(spark, sf):
@@ -271,7 +271,7 @@ def reviewed_links(spark, sf):
 SELECT FILE, PROVISIONEDLINK, concat(CASE WHEN len(string_split(PROVISIONEDLINK, '/')) = 4 THEN '../../../../' ELSE '../../../' END, substr(FILE, 2)) AS TARGET FROM links JOIN d ON PROVISIONEDLINK = l AND FILE = c""",
 )
 def package_links(spark, sf):
-    links = cut_lineage(_provision(spark, sf))
+    links = store(_provision(spark, sf))
     decisions = links.groupBy("PROVISIONEDLINK").agg(F.min("FILE").alias("FILE"))
     reviewed = packages.reviewed_links(links, decisions)
     blank = {c: F.lit(None).cast("string") for c in ("FIRSTFRAME", "LASTFRAME", "PADDING")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import items, names, paths
 from pathloom.operators import columns, dedup, filters, frames, joins, tables
 from pathloom.schemas import JUNK_TEXTS
-from pathloom.session import cut_lineage
+from pathloom.session import store
 from pathloom.sources import sinks
 from pathloom.sources.files import conform_scan, scan_files
 
@@ -22,7 +22,7 @@ def build_inventory(
     """Scan rows enriched, grouped into sequences and cleaned.
 
     Adds project, shot, sequence, extension, hash and item columns. Paths are shuffled once to
-    find their shots and sequences once to be grouped. The enriched rows are checkpointed,
+    find their shots and sequences once to be grouped. The enriched rows are stored once,
     because sequence rows and plain rows part ways after them.
     """
     typed = joins.assign_shot(joins.assign_project(scan, client, project), shots)
@@ -36,7 +36,7 @@ def build_inventory(
     )
     # junk is dropped before grouping: a junk sequence name keeps the junk text of its files
     clean = filters.drop_containing_any(columns.conform_slashes(enriched), "FILE", JUNK_TEXTS)
-    grouped = frames.summarize_sequences(cut_lineage(clean), order_by)
+    grouped = frames.summarize_sequences(store(clean), order_by)
     filled = columns.fill_and_stringify(grouped)
     sized = filled.withColumn("FILESIZE", paths.size_text(F.col("FILESIZE")))
     named = sized.withColumns(items.item_columns(F.col("FILE")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,18 +41,33 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """Checkpoint folder of the cluster. Only a local session may make one of its own."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current is not None:
+        return current
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="pathloom-checkpoint-")
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the cluster's shared folder, so a lost executor costs no replay.
+    """Checkpoint ``df`` in the shared folder, so a lost executor costs no replay."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session may fall back
-    to a temporary folder of its own.
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back.
+
+    For wide tables that several steps read: each of them reads only the columns it needs.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None and sc.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="pathloom-checkpoint-")
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

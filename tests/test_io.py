@@ -213,7 +213,9 @@ def test_similarity(spark):
 
 
 def test_checkpoint(spark):
-    from pathloom.session import cut_lineage
+    from pathloom.session import cut_lineage, store
 
+    stored = store(spark.range(3).selectExpr("id", "null as n", "array(id) as a"))
+    assert stored.count() == 3 and stored.columns == ["id", "n", "a"]
     df = cut_lineage(spark.range(3))
     assert df.count() == 3 and spark.sparkContext.getCheckpointDir() is not None
