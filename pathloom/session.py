@@ -41,7 +41,7 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """Checkpoint folder of the cluster. Only a local session may make one of its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,7 +58,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder, so a lost executor costs no replay."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -68,6 +68,6 @@ def store(df: DataFrame) -> DataFrame:
     For wide tables that several steps read: each of them reads only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
