@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import suffix
+import public_tokenizers
+
+from pathloom.llm import packing, suffix, tokenfile
 from pathloom.llm.registry import ORACLES, QUERIES, query
+from pathloom.llm.scratch import Scratch
 
 __all__ = ["ORACLES", "QUERIES"]
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "packing")
+    pieces = packing.cut_pieces(table(spark, sf, "documents"), WORD_TOKENIZER, scratch)
+    placed = packing.place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix.repeated_spans(table(spark, sf, "documents"), stored=True)
@@ -26,3 +39,11 @@ def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "tokens")
+    tokenfile.write_ids(table(spark, sf, "documents"), scratch.root, WORD_TOKENIZER)
+    found = tokenfile.read_ids(spark, scratch.root)
+    return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
