@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pathloom.llm import packing, suffix, tokenfile
+from pathloom.llm import minhash, packing, suffix, tokenfile
 from pathloom.llm.registry import ORACLES, QUERIES, query
 from pathloom.llm.scratch import Scratch
 
@@ -28,6 +28,12 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf, "documents"), words=2, stored=True)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix.repeated_spans(table(spark, sf, "documents"), stored=True)

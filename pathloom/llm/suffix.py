@@ -32,10 +32,10 @@ from pathloom.llm.scratch import ROW_BITS, Scratch, rows_beside, with_row
 from pathloom.llm.textgrams import gram_hashes, window_minima
 
 GRAM = 64
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 HOT = 200_000
 # bytes hashed at once, and of a text that is taken in pieces
-SLICE = 256 << 10
+SLICE = 128 << 10
 PIECE = 4 << 20
 # never part of a UTF-8 text
 SENTINEL = b"\xff"
@@ -94,9 +94,11 @@ def bounded_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.nda
     """
     n = len(data)
     before = data[order - 1]
-    by_byte = np.argsort(before, kind="stable")
-    step = np.empty(n, np.int64)  # row of the suffix that starts one byte earlier
-    step[by_byte] = np.arange(n)
+    by_byte = np.argsort(before, kind="stable").astype(np.int32)  # rows in the order of the suffixes one byte longer
+    byte = before[by_byte]
+    new_byte = np.append(True, byte[1:] != byte[:-1])
+    step = np.empty(n, np.int32)
+    step[by_byte] = np.arange(n, dtype=np.int32)
     short = np.zeros(n + 1, bool)
     short[0] = short[n] = True
     low, high = np.array([0]), np.array([n])
@@ -105,18 +107,34 @@ def bounded_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.nda
         total = int(size.sum())
         if not total:
             break
-        which = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(total) + np.repeat(low - (np.cumsum(size) - size), size)
-        key = step[rows].astype(np.uint64) << np.uint64(32) | which.astype(np.uint64)
-        key.sort()
-        rows = (key >> np.uint64(32)).astype(np.int64)
-        which = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        byte = before[by_byte[rows]]
-        first = np.ones(total, bool)
-        first[1:] = (rows[1:] != rows[:-1] + 1) | (which[1:] != which[:-1]) | (byte[1:] != byte[:-1])
-        start = np.flatnonzero(first)
-        new_low = rows[start]
-        new_high = rows[np.append(start[1:], total) - 1] + 1
+        if total > n // 6:
+            # most rows take part: pass over all of them instead of sorting
+            edge = np.zeros(n + 1, np.int32)
+            edge[low] = np.arange(1, len(low) + 1)
+            inside = np.zeros(n + 1, np.int8)
+            inside[low] += 1
+            inside[high] -= 1
+            held = np.cumsum(inside[:n], dtype=np.int8).view(bool)
+            owner = np.where(held, np.maximum.accumulate(edge[:n]), 0)
+            which = owner[by_byte]
+            first = new_byte.copy()
+            first[1:] |= which[1:] != which[:-1]
+            start = np.flatnonzero(first)
+            end = np.append(start[1:], n)
+            real = which[start] > 0
+            new_low, new_high = start[real], end[real]
+        else:
+            which = np.repeat(np.arange(len(low), dtype=np.int64), size)
+            rows = np.arange(total) + np.repeat(low - (np.cumsum(size) - size), size)
+            key = step[rows].astype(np.int64) << 32 | which
+            key.sort()
+            rows = key >> 32
+            which = key & 0xFFFFFFFF
+            first = np.ones(total, bool)
+            first[1:] = (rows[1:] != rows[:-1] + 1) | (which[1:] != which[:-1]) | new_byte[rows[1:]]
+            start = np.flatnonzero(first)
+            new_low = rows[start]
+            new_high = rows[np.append(start[1:], total) - 1] + 1
         new = ~short[new_high]
         low, high = new_low[new], new_high[new]
         short[high] = True
@@ -212,18 +230,18 @@ def _anchor_counts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = int(batch["row"][0].as_py()) >> ROW_BITS if batch.num_rows else 0
-            for _, _, data, starts, ends in _blocks(_texts(batch["text"]), length):
-                _, _, _, anchor, seen = _runs(data, starts, ends, length)
-                if not len(anchor):
-                    continue
-                by = np.argsort(anchor)
-                anchor, seen = anchor[by], seen[by]
-                first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-                yield pa.record_batch({
-                    "anchor": anchor[first].view(np.int64),
-                    "part": np.full(len(first), part, np.int32),
-                    "n": np.add.reduceat(seen, first).astype(np.int64),
-                })
+            found = [_runs(data, starts, ends, length)[3:] for _, _, data, starts, ends in _blocks(_texts(batch["text"]), length)]
+            if not found:
+                continue
+            anchor, seen = (np.concatenate(x) for x in zip(*found))
+            by = np.argsort(anchor)
+            anchor, seen = anchor[by], seen[by]
+            first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else by
+            yield pa.record_batch({
+                "anchor": anchor[first].view(np.int64),
+                "part": np.full(len(first), part, np.int32),
+                "n": np.add.reduceat(seen, first).astype(np.int64) if len(first) else seen.astype(np.int64),
+            })
 
     return run
 
