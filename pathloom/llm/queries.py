@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pathloom.llm import minhash, packing, suffix, tokenfile
+from pathloom.llm import decontaminate, minhash, packing, suffix, tokenfile
 from pathloom.llm.registry import ORACLES, QUERIES, query
 from pathloom.llm.scratch import Scratch
 
@@ -28,6 +28,45 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS span, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+spans AS (SELECT DISTINCT span FROM iw),
+dw AS (
+  SELECT doc_id, span, p, array_to_string(list_slice(w, p, p + span - 1), ' ') AS win
+  FROM (SELECT doc_id, span, w, unnest(range(1, len(w) - span + 2)) AS p FROM d, spans WHERE len(w) >= span)),
+hit AS (SELECT doc_id, item_id, dw.span, p FROM dw JOIN iw ON dw.win = iw.win AND dw.span = iw.span),
+cov AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + span)) AS pos FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
+
+
+@query("op4_decontaminate", DECONTAMINATION_SQL)
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf, "documents"), words=2, stored=True)
