@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pathloom.llm import decontaminate, minhash, packing, suffix, tokenfile
+from pathloom.llm import decontaminate, minhash, packing, suffix, tokenfile, warc
 from pathloom.llm.registry import ORACLES, QUERIES, query
 from pathloom.llm.scratch import Scratch
 
@@ -28,6 +28,32 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT digest, max(page_id) AS last FROM p WHERE size >= 1000 GROUP BY digest)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN size >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN size >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest
+"""
+
+
+@query("op1_warc", WARC_SQL)
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "archive")
+    warc.write_warc(table(spark, sf, "pages"), scratch.root, stored=True)
+    found = warc.read_warc(spark, scratch.root).where(F.col("record_type").isin("response", "revisit"))
+    revisit = F.col("record_type") == "revisit"
+    return found.select(
+        warc.page_id_of("record_id").alias("page_id"),
+        F.when(revisit, F.col("headers")["x-payload-length"].cast("long")).otherwise(F.length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.col("payload_digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
+        "record_type",
+        warc.page_id_of("refers_to").alias("refers_to"),
+    )
+
+
 DECONTAMINATION_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
