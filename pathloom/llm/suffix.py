@@ -1,7 +1,7 @@
 """Bytes of documents that a long string covers which also starts elsewhere.
 
 Method. A document's starts of ``length``-byte strings are cut into runs that share their anchor, the
-64-byte gram of the string with the smallest hash. Equal strings have equal anchors, so only texts
+96-byte gram of the string with the smallest hash. Equal strings have equal anchors, so only texts
 below one anchor are compared, and anchors that occur once are never compared. The texts of anchors
 that come more than once meet in one task, which builds their suffix array and Burrows-Wheeler
 transform and expands intervals breadth first by backward extension: level by level this derives every
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.scratch import ROW_BITS, Scratch, rows_beside, with_row
 from pathloom.llm.textgrams import gram_hashes, window_minima
 
-GRAM = 64
+GRAM = 96
 BLOCK = 1 << 20
 HOT = 200_000
 # bytes hashed at once, and of a text that is taken in pieces
@@ -445,7 +445,7 @@ def repeated_spans(
 ) -> DataFrame:
     """Columns ``keep`` of each document, ``text`` and ``kept`` (binary), and ``spans``, the removed bytes.
 
-    ``length`` is at least twice ``GRAM`` minus one, so that each string holds enough anchors. ``stored``: ``docs`` is a plain scan of files.
+    ``length`` is above ``GRAM``. ``stored``: ``docs`` is a plain scan of files.
     """
     if length <= GRAM:
         raise ValueError(f"length must be above {GRAM}")
