@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pathloom.llm import decontaminate, minhash, packing, suffix, tokenfile, warc
+from pathloom.llm import decontaminate, langid, minhash, neighbours, packing, sharding, suffix, tokenfile, toxicity, warc
 from pathloom.llm.registry import ORACLES, QUERIES, query
 from pathloom.llm.scratch import Scratch
 
@@ -20,6 +20,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def remainder(key: str, divisor: int) -> Column:
+    """CRC-32 of a key as text, modulo ``divisor``."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(divisor))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = remainder("doc_id", 5) == 0
+    model = langid.fit(docs.where(~held))
+    found = langid.predict(docs, model, ["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "packing")
@@ -99,6 +113,20 @@ def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = remainder("doc_id", 4) == 2
+    model = toxicity.fit(docs, table(spark, sf, "labels"), "toxic", learn=~held)
+    found = toxicity.score(docs, model, ["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix.repeated_spans(table(spark, sf, "documents"), stored=True)
@@ -118,3 +146,19 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     tokenfile.write_ids(table(spark, sf, "documents"), scratch.root, WORD_TOKENIZER)
     found = tokenfile.read_ids(spark, scratch.root)
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+SHARDING_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), chr(92) || 'N')), 1, 8)) AS BIGINT) % {sharding.SIZE} AS slot
+  FROM documents),
+t AS (SELECT unnest(range(0, {sharding.SIZE})) AS slot, CAST(unnest(string_split('{",".join(map(str, sharding.lookup_table(SHARDS)))}', ',')) AS INT) AS shard)
+SELECT doc_id, d.slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 3, '0') AS shard_name FROM d JOIN t ON d.slot = t.slot
+"""
+
+
+@query("op10_sharding", SHARDING_SQL)
+def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf, "documents").select("doc_id"), "doc_id", SHARDS)

@@ -9,7 +9,9 @@ changes nothing in the result, and each distinct word is looked up once per work
 
 Fit. At most ``sample`` rows of each label, those with the smallest hash of their text, whole texts. Their
 bucket lists are what reaches the driver: ``sample`` times 2 documents of ``longest`` distinct words at
-most (a longer text of the sample is trained on ``longest`` of its words, chosen by hash). Scoring has no bound.
+most (a longer text of the sample is trained on ``longest`` of its words, chosen by hash). Subwords in
+fewer than ``least`` rows of the sample, or in more than the share ``most``, are left out of all averages:
+the rare ones would only be learnt by heart, the common ones carry nothing. Scoring has no bound.
 
 Cases. A null, empty or wordless text scores what the bias alone gives. Repeated rows score alike. Without
 labelled rows of both labels every score is 0.5. Other columns are not read.
@@ -73,9 +75,14 @@ class Model:
 
     weight: np.ndarray
     bias: float
+    used: np.ndarray | None = None
 
+    def buckets(self, word: str) -> list[int]:
+        found = subwords(word)
+        return found if self.used is None else [b for b in found if self.used[b]]
 
-def train(bags: list[np.ndarray], labels: np.ndarray, dims: int = 8, epochs: int = 12, step: float = 0.3, batch: int = 64, seed: int = 7) -> Model:
+
+def train(bags: list[np.ndarray], labels: np.ndarray, dims: int = 8, epochs: int = 8, step: float = 0.3, batch: int = 64, seed: int = 7) -> Model:
     """Vectors and softmax fitted jointly. ``bags`` hold the buckets of each document, with repeats."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
@@ -119,32 +126,50 @@ def _bags(longest: int):
             labels, at = batch["label"].to_numpy(), 0
             for words, owner, word, size in distinct_words(batch["text"]):
                 found = [subwords(w) for w in words]
-                for i in range(size):
-                    own = word[owner == i]
+                ends = np.searchsorted(owner, np.arange(1, size + 1))
+                bags = []
+                for own in np.split(word, ends[:-1]):
                     if len(own) > longest:
                         own = own[np.argsort([zlib.crc32(words[w].encode()) for w in own], kind="stable")[:longest]]
-                    ids = np.array([b for w in own for b in found[w]], "<u4")
-                    yield pa.record_batch({"label": pa.array([labels[at]], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary())})
-                    at += 1
+                    bags.append(np.array([b for w in own for b in found[w]], "<u4").tobytes())
+                yield pa.record_batch({"label": pa.array(labels[at : at + size], pa.int32()), "ids": pa.array(bags, pa.binary())})
+                at += size
 
     return run
 
 
-def fit(labelled: DataFrame, label: str | Column, text: str = "text", sample: int = 2500, longest: int = 1500, **settings) -> Model:
-    """Model of the rows of ``labelled`` whose label is 0 or 1."""
-    goal = F.col(label) if isinstance(label, str) else label
-    df = labelled.select(goal.cast("int").alias("label"), F.col(text).cast("string").alias("text")).where("label in (0, 1)")
-    per = Window.partitionBy("label").orderBy(F.xxhash64("text"))
-    total = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = df.withColumn("nth", F.row_number().over(per)).where(F.col("nth") <= sample).select("label", "text")
-    rows = chosen.repartition(8, F.xxhash64("text")).mapInArrow(_bags(longest), "label int, ids binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["ids"])))
-    labels = np.array([r["label"] for r in rows], np.int64)
-    model = train([np.frombuffer(r["ids"], "<u4").astype(np.int64) for r in rows], labels, **settings)
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", learn: Column | None = None,
+    sample: int = 1500, longest: int = 1500, least: int = 6, most: float = 0.25, **settings,
+) -> Model:
+    """Model of the labelled rows of ``docs`` for which ``learn`` holds; labels other than 0 and 1 are left out."""
+    hashed = F.xxhash64(F.col(text).cast("string"))
+    known = docs if learn is None else docs.where(learn)
+    known = known.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), hashed.alias("h"))
+    goal = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").distinct()
+    known = known.join(goal, "key")
+    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+    # thin out by hash before the exact choice, so that few rows meet
+    share = F.when(F.col("label") == 1, min(1.0, 2 * sample / total[1])).otherwise(min(1.0, 2 * sample / total[0]))
+    near = known.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    per = Window.partitionBy("label").orderBy("h", "key")
+    chosen = near.withColumn("nth", F.row_number().over(per)).where(F.col("nth") <= sample).select("key", "h", "label").distinct()
+    # at most 2 * sample rows
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), hashed.alias("h"))
+    rows = texts.join(F.broadcast(chosen), ["key", "h"]).select("label", "text").distinct()
+    bags = rows.mapInArrow(_bags(longest), "label int, ids binary").collect()
+    bags.sort(key=lambda r: (r["label"], bytes(r["ids"])))
+    marks = np.array([r["label"] for r in bags], np.int64)
+    lists = [np.frombuffer(r["ids"], "<u4").astype(np.int64) for r in bags]
+    holders = np.bincount(np.concatenate([np.unique(b) for b in lists]), minlength=BUCKETS)
+    used = (holders >= least) & (holders <= most * len(lists))
+    model = train([b[used[b]] for b in lists], marks, **settings)
     # the sample holds the labels in other shares than the data
-    if len(total) == 2:
-        n = np.bincount(labels, minlength=2)
-        model.bias += float(np.log(total[1] / total[0]) - np.log(n[1] / n[0]))
+    n = np.bincount(marks, minlength=2)
+    model.used = used
+    model.bias += float(np.log(total[1] / total[0]) - np.log(n[1] / n[0]))
     return model
 
 
@@ -165,7 +190,7 @@ def _score(model: Model, name: int):
                 sums, counts = np.zeros(len(words)), np.zeros(len(words))
                 for i, w in enumerate(words):
                     if w not in known:
-                        ids = subwords(w)
+                        ids = model.buckets(w)
                         known[w] = (float(model.weight[ids].sum()), len(ids))
                     sums[i], counts[i] = known[w]
                 total = np.bincount(owner, sums[word], size)
