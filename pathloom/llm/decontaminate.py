@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.scratch import Scratch
+from pathloom.llm.scratch import Scratch, with_row
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # fixed value: what separates words, once A-Z are in lower case
@@ -48,7 +48,26 @@ def contamination(
 ) -> DataFrame:
     """Per document: ``key``, ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids as text)."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words_of(F.col(text).cast("string")).alias("words"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    found = _contamination(numbered, items, scratch, item_key, item_text, size)
+    return found.withColumnRenamed("key", key).drop("row")
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    size: int = 10, stored: bool = False,
+) -> DataFrame:
+    """The documents that hold no window of an item, with all their columns."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    rows = with_row(docs, [F.struct(*docs.columns).alias("doc"), F.col(text).cast("string").alias("text")], scratch, stored)
+    numbered = rows.select("row", F.lit(None).cast("long").alias("key"), "text")
+    found = _contamination(numbered, items, scratch, item_key, item_text, size)
+    gone = scratch.put(found.where("n_hit > 0").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
+
+
+def _contamination(numbered: DataFrame, items: DataFrame, scratch: Scratch, item_key: str, item_text: str, size: int) -> DataFrame:
+    rows = numbered.select("row", "key", words_of(F.col("text")).alias("words"))
     rows = scratch.put(rows.select("row", "key", F.size("words").alias("n"), "words"), "words")
 
     parts = items.select(F.col(item_key).cast("string").alias("item"), words_of(F.col(item_text).cast("string")).alias("words")).where(F.size("words") > 0)
@@ -77,7 +96,7 @@ def contamination(
     base = rows.select("row", "key", "n")
     if not candidates:
         none = F.lit(0).cast("long")
-        return base.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_words"), none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"))
+        return base.select("row", "key", F.col("n").cast("long").alias("n_words"), none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"))
     found = scratch.put(reduce(DataFrame.union, candidates), "candidates")
     texts = rows.select("row", "words").join(found.select("row").distinct(), "row", "left_semi")
     checked = found.join(texts, "row").join(windows.withColumnRenamed("words", "wanted"), "window")
@@ -89,7 +108,7 @@ def contamination(
     named = named.groupBy("row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
     out = base.join(covered.join(named, "row", "left"), "row", "left")
     return out.select(
-        F.col("key").alias(key), F.col("n").cast("long").alias("n_words"),
+        "row", "key", F.col("n").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )

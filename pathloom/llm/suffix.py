@@ -33,7 +33,7 @@ from pathloom.llm.textgrams import gram_hashes, window_minima
 
 GRAM = 96
 BLOCK = 1 << 20
-HOT = 200_000
+HOT = 1_000_000
 # bytes hashed at once, and of a text that is taken in pieces
 SLICE = 128 << 10
 PIECE = 4 << 20
@@ -374,7 +374,7 @@ def _compare(length: int):
 # --- spans ----------------------------------------------------------------------------------
 
 
-def _spans(anchors: str, marks: str, length: int, keep: list[str]):
+def _spans(anchors: str, marks: str, length: int, keep: list[str], characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments, known = None, {}
         for batch in batches:
@@ -398,6 +398,8 @@ def _spans(anchors: str, marks: str, length: int, keep: list[str]):
             kept, spans = [], []
             for i, text in enumerate(texts):
                 found = _cover(covers[i], length) if i in covers else []
+                if characters:
+                    found = _whole_characters(text, found)
                 spans.append(found)
                 kept.append(_without(text, found))
             columns = {c: batch[c] for c in keep}
@@ -429,6 +431,20 @@ def _cover(starts: np.ndarray, length: int) -> list[dict]:
     return [{"start": int(b), "end": int(e)} for b, e in zip(begin, end)]
 
 
+def _whole_characters(text: bytes, spans: list[dict]) -> list[dict]:
+    """Spans without the bytes of characters that they cover in part."""
+    out = []
+    for span in spans:
+        begin, end = span["start"], span["end"]
+        while begin < end and text[begin] & 0xC0 == 0x80:
+            begin += 1
+        while begin < end < len(text) and text[end] & 0xC0 == 0x80:
+            end -= 1
+        if begin < end:
+            out.append({"start": begin, "end": end})
+    return out
+
+
 def _without(text: bytes, spans: list[dict]) -> bytes:
     if not spans:
         return text
@@ -441,11 +457,11 @@ def _without(text: bytes, spans: list[dict]) -> bytes:
 
 def repeated_spans(
     docs: DataFrame, text: str | Column = "text", keep: list[str] = ("doc_id",), length: int = 200,
-    stored: bool = False, hot: int = HOT,
+    stored: bool = False, hot: int = HOT, characters: bool = False,
 ) -> DataFrame:
     """Columns ``keep`` of each document, ``text`` and ``kept`` (binary), and ``spans``, the removed bytes.
 
-    ``length`` is above ``GRAM``. ``stored``: ``docs`` is a plain scan of files.
+    ``length`` is above ``GRAM``. ``characters``: only whole characters are removed, so that ``kept`` is UTF-8. ``stored``: ``docs`` is a plain scan of files.
     """
     if length <= GRAM:
         raise ValueError(f"length must be above {GRAM}")
@@ -472,7 +488,7 @@ def repeated_spans(
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{n} {fields[n]}" for n in names)
     out = rows.mapInArrow(
-        _spans(anchors, marks, length, names),
+        _spans(anchors, marks, length, names, characters),
         f"{schema}, text binary, kept binary, spans array<struct<start: bigint, end: bigint>>",
     )
     return out.withColumnsRenamed(dict(zip(names, keep)))
