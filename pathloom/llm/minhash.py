@@ -35,6 +35,8 @@ from pathloom.llm.scratch import ROW_BITS, Scratch, rows_beside, with_row
 from pathloom.llm.shingles import mixed, shingle_sets
 
 CHUNK = 1000
+# orders in which a bucket's leader is the first: more of them connect a large group in the first rounds
+ORDERS = 16
 U = np.uint64
 
 
@@ -81,8 +83,8 @@ def _sign(words: int, bands: int, rows: int):
     return run
 
 
-def _held(folder: str):
-    """Texts of the rows that were stored for the part."""
+def _held(folder: str, keep: bool = True):
+    """The rows that were stored for the part, or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None
@@ -93,7 +95,7 @@ def _held(folder: str):
             if wanted is None:
                 found = rows_beside(folder, int(rows[0]) >> ROW_BITS, ["rep"])
                 wanted = np.zeros(0, np.int64) if found is None else np.unique(found["rep"].to_numpy())
-            yield batch.filter(pa.array(np.isin(rows, wanted)))
+            yield batch.filter(pa.array(np.isin(rows, wanted, invert=not keep)))
 
     return run
 
@@ -123,29 +125,41 @@ def _verify(words: int, percent: int):
 
 
 def _least_matches(functions: int, similarity: float) -> int:
-    """Fewer equal minhashes than this are as good as impossible at ``similarity`` (six deviations)."""
-    return max(0, int(functions * similarity - 6 * (functions * similarity * (1 - similarity)) ** 0.5))
+    """Fewer equal minhashes than this are as good as impossible at ``similarity`` (five deviations)."""
+    return max(0, int(functions * similarity - 5 * (functions * similarity * (1 - similarity)) ** 0.5))
 
 
-def _cross(percent: int, least: int):
-    """Pairs of different components in each block; rows come sorted by block."""
+def _cross(percent: int, least: int, bands: int):
+    """Pairs of different components in each block; rows come sorted by block.
+
+    Documents that share several buckets are paired in the first of them only.
+    """
 
     def pairs(block: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         sides = [block[block["side"] == s] for s in (0, 1)]
-        if not len(sides[1]):
+        if block["ci"].iloc[0] == block["cj"].iloc[0]:
             sides[1] = sides[0]
-        (n0, c0, r0, s0), (n1, c1, r1, s1) = (
-            (s["n"].to_numpy(), s["comp"].to_numpy(), s["rep"].to_numpy(), np.frombuffer(b"".join(s["sign"]), np.uint8).reshape(len(s), -1)) for s in sides
+        if not len(sides[0]) or not len(sides[1]):
+            return none
+        (n0, c0, r0, s0, h0), (n1, c1, r1, s1, h1) = (
+            (
+                s["n"].to_numpy(), s["comp"].to_numpy(), s["rep"].to_numpy(),
+                np.frombuffer(b"".join(s["sign"]), np.uint8).reshape(len(s), -1), np.stack(s["halves"].to_list()),
+            ) for s in sides
         )
+        place = int(block["place"].iloc[0])
         out_a, out_b = [], []
         for i in range(len(n0)):
             some = np.flatnonzero((c1 != c0[i]) & (100 * np.minimum(n1, n0[i]) >= percent * np.maximum(n1, n0[i])))
             if len(some):
                 some = some[(s1[some] == s0[i]).sum(axis=1) >= least]
+                equal = h1[some] == h0[i]
+                some = some[equal[:, :bands].argmax(axis=1) * bands + equal[:, bands:].argmax(axis=1) == place]
                 out_a.append(np.minimum(r0[i], r1[some]))
                 out_b.append(np.maximum(r0[i], r1[some]))
         if not out_a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            return none
         return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +190,27 @@ def near_duplicates(
     """``key``, ``n_shingles``, ``component_id`` (smallest key of the component) and ``stays``.
 
     ``stays`` marks one row of each component, the first with its smallest key. Linked are documents with
-    100 * common shingles >= ``percent`` * all shingles.
+    100 * common shingles >= ``percent`` * all shingles. ``stored``: ``docs`` is a plain scan of files.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     source = F.col(text) if isinstance(text, str) else text
     table = with_row(docs, [F.col(key).alias("key"), source.cast("string").alias("text")], scratch, stored)
+    return _classes(table, scratch, words, percent, bands, rows).drop("row").withColumnRenamed("key", key)
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 12, rows: int = 3, stored: bool = False) -> DataFrame:
+    """One document of each component, with all its columns. Texts are filtered where they are read."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    whole = with_row(docs, [F.col(c).alias(n) for c, n in names.items()], scratch, stored)
+    table = whole.select("row", F.col(names[key]).alias("key"), F.col(names[text]).cast("string").alias("text"))
+    classes = _classes(table, scratch, words, percent, bands, rows)
+    gone = classes.where(~F.col("stays")).select(F.shiftright("row", ROW_BITS).cast("int").alias("part"), F.col("row").alias("rep"))
+    left = whole.mapInArrow(_held(scratch.beside(gone, "gone"), keep=False), whole.schema)
+    return left.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands: int, rows: int) -> DataFrame:
     kind = table.schema["key"].dataType.simpleString()
     signed = table.mapInArrow(
         _sign(words, bands, rows), f"row long, key {kind}, n long, d1 long, d2 long, halves array<bigint>, sign binary"
@@ -192,10 +221,11 @@ def near_duplicates(
     halves = signed.join(member.where("row = rep").select("row"), "row", "left_semi").select(F.col("row").alias("rep"), F.posexplode("halves").alias("place", "half"))
     halves = scratch.put(halves, "halves")
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    per = halves.join(shared, "half").groupBy("rep").agg(F.collect_list(F.when(F.col("place") < bands, F.col("half"))).alias("l"), F.collect_list(F.when(F.col("place") >= bands, F.col("half"))).alias("r"))
-    keys = per.select("rep", F.explode(F.flatten(F.transform("l", lambda x: F.transform("r", lambda y: F.xxhash64(x, y))))).alias("bucket"))
+    per = halves.join(shared, "half").groupBy("rep").agg(*(F.collect_list(F.when(which, F.struct("place", "half"))).alias(n) for n, which in (("l", F.col("place") < bands), ("r", F.col("place") >= bands))))
+    pair = F.transform("l", lambda x: F.transform("r", lambda y: F.struct(F.xxhash64(x["half"], y["half"]).alias("bucket"), (x["place"] * bands + y["place"] - bands).alias("place"))))
+    keys = per.select("rep", F.inline(F.flatten(pair)))
     keys = scratch.put(keys, "keys")
-    order = F.struct(F.xxhash64("rep"), "rep")
+    order = F.struct(F.xxhash64(F.pmod("bucket", F.lit(ORDERS)), "rep"), "rep")
     leaders = keys.groupBy("bucket").agg(F.count("*").alias("c"), F.min(order).alias("first")).where("c > 1").select("bucket", "c", F.col("first.rep").alias("leader"))
     buckets = scratch.put(keys.join(leaders, "bucket"), "buckets")
     scratch.drop("halves", "keys")
@@ -203,7 +233,7 @@ def near_duplicates(
     involved = buckets.select("rep").distinct()
     wanted = scratch.beside(involved.select(F.shiftright("rep", ROW_BITS).cast("int").alias("part"), "rep"), "wanted")
     texts = scratch.put(table.select("row", "text").mapInArrow(_held(wanted), "row long, text string"), "texts")
-    facts = scratch.put(signed.join(involved.withColumnRenamed("rep", "row"), "row", "left_semi").select("row", "n", "sign"), "facts")
+    facts = scratch.put(signed.join(involved.withColumnRenamed("rep", "row"), "row", "left_semi").select("row", "n", "sign", "halves"), "facts")
 
     least = _least_matches(2 * bands * rows, percent / 100)
 
@@ -240,19 +270,19 @@ def near_duplicates(
     comps = components(links, scratch, "c1")
 
     # buckets that still hold several components, in blocks
-    placed = buckets.select("bucket", "c", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = buckets.select("bucket", "place", "c", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     placed = placed.join(open_buckets, "bucket").join(facts.withColumnRenamed("row", "rep"), "rep")
     chunks = F.ceil(F.col("c") / CHUNK).cast("int")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     blocks = placed.select(
-        "bucket", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "sign",
+        "bucket", "place", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "sign", "halves",
     )
     # in a block of one chunk with itself all members are on side 0
     blocks = blocks.repartition("bucket", "ci", "cj").sortWithinPartitions("bucket", "ci", "cj")
-    found = blocks.mapInArrow(_cross(percent, least), "a long, b long").distinct()
+    found = blocks.mapInArrow(_cross(percent, least, bands), "a long, b long").distinct()
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = scratch.put(found.join(tested, ["a", "b"], "left_anti"), "found")
     links = links.union(verified(found, "links2"))
@@ -260,8 +290,8 @@ def near_duplicates(
 
     comp = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("row", F.coalesce("comp", "rep").alias("comp"))
     whole = signed.select("row", "key", "n").join(comp, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    whole = scratch.put(whole, "whole")
+    whole = scratch.put(whole, "classes")
     smallest = whole.groupBy("comp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("x"))
     return whole.join(smallest, "comp").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("x.key").alias("component_id"), (F.col("row") == F.col("x.row")).alias("stays")
+        "row", "key", F.col("n").alias("n_shingles"), F.col("x.key").alias("component_id"), (F.col("row") == F.col("x.row")).alias("stays")
     )
