@@ -7,6 +7,9 @@ be joined is the rarest one alone: document shingles are joined with these. Posi
 places where the whole window lies inside the document, length bounds those where it is long enough, and
 the words there are compared with the window's.
 
+Up to ``BROADCAST`` window shingles the join is a broadcast of that size and documents are not shuffled; beyond
+it both sides are shuffled by shingle and the words of candidates are joined by document.
+
 Cases. A null or empty text, or one without words, has no words and no hits; such items have no window. Items
 with equal ids are one item; windows of an item without id mark words and are not counted as an item.
 Repeated rows and ids of documents are documents of their own. Empty tables on either side give no hits.
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.scratch import Scratch, with_row
 
+# window shingles, of about 200 bytes with their window, up to which they are broadcast
+BROADCAST = 250_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # fixed value: what separates words, once A-Z are in lower case
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,6 +47,10 @@ def _shingles(df: DataFrame, keep: list[str], words: int) -> DataFrame:
     return out.select(*keep, "pos", F.xxhash64("z.x", "z.y").alias("shingle"))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST else df
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
     item_text: str = "text", size: int = 10,
@@ -78,30 +87,38 @@ def _contamination(numbered: DataFrame, items: DataFrame, scratch: Scratch, item
     windows = scratch.put(windows, "windows")
     owners = scratch.put(parts.join(windows.select("window", "words"), "words").select("window", "item"), "owners")
 
-    candidates = []
+    base = rows.select("row", "key", "n")
+    none = F.lit(0).cast("long")
+    hits = []
     for width, some in ((1, windows.where("span = 1")), (2, windows.where("span > 1"))):
-        if some.isEmpty():
+        inside = scratch.put(_shingles(some.select("window", "span", "words"), ["window", "span"], width).withColumnRenamed("pos", "q"), f"shingles{width}")
+        size_of = inside.count()
+        if not size_of:
             continue
-        inside = scratch.put(_shingles(some, ["window", "span"], width).withColumnRenamed("pos", "q"), f"shingles{width}")
-        spread = _shingles(rows.select("row", "n", "words"), ["row", "n"], width)
-        counts = spread.select("shingle").join(inside.select("shingle").distinct(), "shingle").groupBy("shingle").agg(F.count("*").alias("c"))
+        spread = _shingles(rows.select("row", "n", "words"), ["row", "n", "words"], width)
+        wanted = inside.select("shingle").distinct()
+        counts = spread.select("shingle").join(_small(wanted, size_of), "shingle").groupBy("shingle").agg(F.count("*").alias("c"))
         # a window with a shingle that no document has cannot occur
         ranked = inside.join(scratch.put(counts, f"counts{width}"), "shingle", "left")
         prefix = ranked.groupBy("window", "span").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "shingle", "q")).alias("x"))
         prefix = scratch.put(prefix.where("x.c > 0").select("window", "span", "x.shingle", "x.q"), f"prefix{width}")
         start = F.col("pos") - F.col("q")
-        found = spread.join(prefix, "shingle").where((start >= 0) & (start + F.col("span") <= F.col("n")))
-        candidates.append(found.select("row", start.alias("start"), "window"))
-
-    base = rows.select("row", "key", "n")
-    if not candidates:
-        none = F.lit(0).cast("long")
+        within = (start >= 0) & (start + F.col("span") <= F.col("n"))
+        same = F.slice("words", F.col("start") + 1, F.col("span")) == F.col("wanted")
+        contents = windows.select("window", F.col("words").alias("wanted"))
+        if size_of <= BROADCAST:
+            # the words stay where they are: a document's array is only looked at where a prefix matched
+            both = prefix.join(contents, "window")
+            found = spread.join(F.broadcast(both), "shingle").where(within).withColumn("start", start).where(same)
+        else:
+            found = scratch.put(spread.drop("words").join(prefix, "shingle").where(within).select("row", start.alias("start"), "span", "window"), f"candidates{width}")
+            texts = rows.select("row", "words").join(found.select("row").distinct(), "row", "left_semi")
+            found = found.join(texts, "row").join(contents, "window").where(same)
+        hits.append(found.select("row", "start", "span", "window"))
+
+    if not hits:
         return base.select("row", "key", F.col("n").cast("long").alias("n_words"), none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"))
-    found = scratch.put(reduce(DataFrame.union, candidates), "candidates")
-    texts = rows.select("row", "words").join(found.select("row").distinct(), "row", "left_semi")
-    checked = found.join(texts, "row").join(windows.withColumnRenamed("words", "wanted"), "window")
-    hits = checked.where(F.slice("words", F.col("start") + 1, F.col("span")) == F.col("wanted")).select("row", "start", "span", "window")
-    hits = scratch.put(hits, "hits")
+    hits = scratch.put(reduce(DataFrame.union, hits), "hits")
     covered = hits.select("row", "start", "span").distinct().select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("span") - 1)).alias("pos")).distinct()
     covered = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
     named = hits.select("row", "window").distinct().join(owners, "window").where(F.col("item").isNotNull()).select("row", "item").distinct()

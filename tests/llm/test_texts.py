@@ -202,7 +202,9 @@ def benchmark_rows():
     return rows + rows[-2:], items
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("most", [250_000, 0])
+def test_contamination(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST", most)
     rows, items = benchmark_rows()
     got = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted(brute_contamination(rows, items), key=repr)
