@@ -205,11 +205,6 @@ def parse_tsv_report(spark, sf):
     return logs.parse_tsv_report(report)
 
 
-@query("footer_inventory")
-def footer_inventory(spark, sf):
-    return files.footer_inventory(spark, sf).select("Type", "ID", "Description", "ROWS")
-
-
 @query(
     "load_dimension",
     "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",

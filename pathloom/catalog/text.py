@@ -250,11 +250,16 @@ def hash_key(spark, sf):
     ).distinct()
 
 
-@query("entry_time")
+@query(
+    "entry_time",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '1970-01-01 00:00:00' ELSE date_trunc('second', o_orderdate::timestamp) END AS ENTRYTIME,
+  TIMESTAMP '2024-05-06 07:08:09' AS LOADED FROM orders""",
+)
 def entry_time(spark, sf):
-    """Load time of each order row, from a given clock so that runs repeat."""
-    now = F.date_trunc("second", F.lit("2024-05-06 07:08:09.5").cast("timestamp"))
-    return table(spark, sf, "orders").select("o_orderkey", now.alias("ENTRYTIME"))
+    """Entry time of each order row, read from a text, and a load time from a given clock."""
+    text = F.when(F.col("o_orderkey") % 5 == 0, "no time").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    clock = F.lit("2024-05-06 07:08:09.5").cast("timestamp")
+    return table(spark, sf, "orders").select("o_orderkey", paths.entry_time(text).alias("ENTRYTIME"), paths.entry_time(now=clock).alias("LOADED"))
 
 
 @query(
@@ -282,7 +287,7 @@ def scan_id(spark, sf):
 def normalize_path(spark, sf):
     rows = inv(spark, sf).select("FILE").distinct()
     messy = F.concat(F.lit("/../x/./..//"), F.replace("FILE", F.lit("/IN/"), F.lit("/./IN/no/..//")))
-    bare = F.substring("FILE", 2, 10000)
+    bare = F.substr("FILE", F.lit(2))
     return rows.select(
         "FILE", paths.normalize_path(messy).alias("ABSOLUTE"),
         paths.normalize_path(F.concat(F.lit("./a/../"), bare)).alias("RELATIVE"),
@@ -528,16 +533,19 @@ def search_replace_delimited(spark, sf):
 SEGMENTS = "SELECT page_id, string_split(replace(url, 'https://', ''), '/') AS s, replace(url, 'https://', '') AS LINK FROM pages"
 
 
-@query("split_segments", f'WITH x AS ({SEGMENTS}) SELECT page_id, s[1] AS "Segment 1", s[2] AS "Segment 2", s[3] AS "Segment 3" FROM x')
+@query(
+    "split_segments",
+    f"WITH x AS ({SEGMENTS}), n AS (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS i FROM x) SELECT page_id, CAST(i AS INTEGER) AS POSITION, s[i] AS SEGMENT FROM n",
+)
 def split_segments(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", F.replace("url", F.lit("https://"), F.lit("")).alias("PROVISIONEDLINK"))
-    return templates.split_segments(rows, segments=3).drop("PROVISIONEDLINK")
+    return templates.segment_rows(rows)
 
 
-@query("compose_link", f"WITH x AS ({SEGMENTS}) SELECT page_id, concat_ws('/', s[1], s[2], s[3]) AS PROVISIONEDLINK FROM x")
+@query("compose_link", f"WITH x AS ({SEGMENTS}) SELECT page_id, LINK AS PROVISIONEDLINK FROM x")
 def compose_link(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", F.replace("url", F.lit("https://"), F.lit("")).alias("PROVISIONEDLINK"))
-    cut = templates.split_segments(rows, segments=3)
+    cut = templates.split_segments(rows)
     return templates.compose_link(cut).select("page_id", "PROVISIONEDLINK")
 
 
@@ -561,4 +569,4 @@ def replica_paths(spark, sf):
 )
 def link_in_package(spark, sf):
     rows = dirs(spark, sf).where(~F.endswith("FILE", F.lit("/")))
-    return rows.select("page_id", paths.link_in_package(F.concat(F.lit("./x/.."), F.substring("FILE", 5, 10000)), "/pkg").alias("LINK"))
+    return rows.select("page_id", paths.link_in_package(F.concat(F.lit("./x/.."), F.substr("FILE", F.lit(5))), "/pkg").alias("LINK"))

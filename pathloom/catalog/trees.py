@@ -29,7 +29,7 @@ d AS (SELECT DISTINCT s[1:n] AS s FROM (SELECT s, unnest(range(1, len(s) + 1)) A
 
 
 def folders(spark, sf):
-    return trees.list_directories(dirs(spark, sf).withColumn("FILE", F.substring("FILE", 2, 10000)))
+    return trees.list_directories(dirs(spark, sf).withColumn("FILE", F.substr("FILE", F.lit(2))))
 
 
 @query(
@@ -63,7 +63,7 @@ SELECT DISTINCT array_to_string(s[1:n], '/') AS PATH, s[n] AS NAME, CASE WHEN n
   concat(s[n], '-', CASE WHEN n = len(s) THEN 'file' ELSE 'dir' END) AS FIELD FROM r""",
 )
 def package_tree(spark, sf):
-    return trees.package_tree(dirs(spark, sf).select(F.substring("FILE", 2, 10000).alias("DEST")))
+    return trees.package_tree(dirs(spark, sf).select(F.substr("FILE", F.lit(2)).alias("DEST")))
 
 
 @query("dest_fields", with_views("dirs") + "SELECT concat(FILE, '-file') AS FIELD, sha256(concat(FILE, '-', cast(page_id AS string))) AS HASHEDFILE FROM dirs")

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import names, paths
-from pathloom.operators.grouping import computed_once
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,13 +16,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a table with fewer splits than cores, spread by a fine key.
+    """Rows dealt out by the key of the join that follows, always.
 
-    The test files have one row group each, which is one task. Tables with enough splits are
-    left as they are, so nothing is shuffled at size.
+    The test files have one row group each, so a scan alone is one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _text(col) -> F.Column:
@@ -49,8 +46,7 @@ def inv(spark: SparkSession, sf: str) -> DataFrame:
         F.lpad(_text("l_linenumber"), 4, "0"), ext,
     )
     return rows.select(
-        # stands for a stored column, so it must not be rebuilt by every filter on it
-        computed_once(file).alias("FILE"),
+        file.alias("FILE"),
         F.floor("l_extendedprice").cast("bigint").alias("FILESIZE"),
         F.col("l_shipdate").alias("CREATION_TIME"), F.col("l_shipdate").alias("ENTRYTIME"),
         F.when(F.col("l_returnflag") == "R", "file").otherwise("no").alias("ISLINK"),

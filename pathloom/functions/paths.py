@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.schemas import STORAGE_ROOTS
+from pathloom.schemas import ENTRY_DEFAULT_TIME, STORAGE_ROOTS
 
 _BLANKS = " \t\n\r\x0b\x0c"
 
@@ -46,12 +46,15 @@ def map_roots(
     return col
 
 
-def swap_root(path: Column, roots: Mapping[str, str], system: str) -> Column:
-    """Any other system's root replaced by that of ``system``; slashes stay as they are."""
-    for name, other in roots.items():
-        if name != system:
-            path = F.replace(path, F.lit(other), F.lit(roots[system]))
-    return path
+def entry_time(text: Column | None = None, now: Column | None = None) -> Column:
+    """Entry time of a row: its own text where it is a time, else the default time.
+
+    Without a text it is the clock, ``now`` or the current time, in whole seconds.
+    """
+    if text is None:
+        return F.date_trunc("second", F.current_timestamp() if now is None else now)
+    known = F.try_to_timestamp(text.cast("string"), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.coalesce(known, F.lit(ENTRY_DEFAULT_TIME).cast("timestamp"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,36 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _best_window(a: str | None, b: str | None) -> int | None:
-    """Likeness in percent of the shorter text to the most similar part of the longer one."""
-    if a is None or b is None:
-        return None
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return 0
-    starts = range(len(long) - len(short) + 1)
-    best = max(SequenceMatcher(None, short, long[i : i + len(short)], autojunk=False).ratio() for i in starts)
-    return round(100 * best)
-
-
-def _partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_best_window(x, y) for x, y in zip(a, b)], dtype="Int64")
 
 
 def edit_distance(key: Column, value: Column) -> Column:
     """Default order: fewer edits first, in lower case. Stays in the JVM."""
     return F.levenshtein(F.lower(key), F.lower(value))
-
-
-def partial_distance(key: Column, value: Column) -> Column:
-    """Order by the best matching part, for choices that contain the key. Costs a Python pass."""
-    ratio = F.pandas_udf(_partial_ratio, T.IntegerType())
-    return F.lit(100) - ratio(F.lower(value), F.lower(key))

@@ -328,11 +328,3 @@ def expand_ranges(df: DataFrame, link: str = "PROVISIONEDLINK") -> DataFrame:
         return F.when(F.col("FRAME").isNull() | padding.isNull(), F.col(name)).otherwise(filled)
 
     return rows.withColumns({"FILE": put("FILE"), link: put(link)})
-
-
-def real_file_name(file: Column, frame: Column) -> Column:
-    """``name.%04d.ext`` with the frame number in place of the placeholder."""
-    return F.concat_ws(
-        ".", F.element_at(F.split(file, r"\."), 1), frame.cast("string"),
-        F.element_at(F.split(base_name(file), r"\."), -1),
-    )

@@ -80,15 +80,18 @@ def chunked_lists(
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", salts: int = 32
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Equality join for keys with few values, such as file extensions.
 
     Rows of the left side get a salt from their values and their partition, and rows of the
     right side appear once per salt, so a key that holds most rows spreads over ``salts`` tasks,
-    also if those rows are copies of each other. When Spark finds the right side small enough
+    also if those rows are copies of each other: as many as there are shuffle partitions, unless
+    given. When Spark finds the right side small enough
     to broadcast, the salt costs nothing.
     """
+    if salts is None:
+        salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = [f.name for f in left.schema if isinstance(f.dataType, T.AtomicType)]
     row = F.xxhash64(*[F.col(f"`{c}`") for c in plain]) + F.spark_partition_id()
     salted = left.withColumn("__salt", F.pmod(row, F.lit(salts)))
@@ -108,16 +111,7 @@ def spread_blank(key: Column) -> Column:
     )
 
 
-def computed_once(col: Column) -> Column:
-    """A costly column that Spark does not copy into the filters and joins above it."""
-    return F.when(F.spark_partition_id() >= 0, col)
-
-
 def split_rows(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows that meet a condition, and the others.
-
-    The condition is a column of its own that Spark does not move below the columns it is made
-    from, so costly text columns are not computed a second time just to filter on them.
-    """
-    flagged = df.withColumn("__meets", computed_once(F.coalesce(condition, F.lit(False))))
-    return flagged.where("__meets").drop("__meets"), flagged.where("NOT __meets").drop("__meets")
+    """Rows that meet a condition, and the others. Over a stored table both reach its scan."""
+    meets = F.coalesce(condition, F.lit(False))
+    return df.where(meets), df.where(~meets)

@@ -14,16 +14,6 @@ from pathloom.operators.grouping import salted_join, spread_blank
 from pathloom.schemas import SESSION_PLACEHOLDERS, TOKEN_DELIMITERS
 
 
-# variables that may be written into an expression
-FEW_VARIABLES = 100
-
-
-def few_rows(df: DataFrame, most: int) -> list | None:
-    """The rows of a table if there are at most ``most``, else nothing. Never reads more."""
-    rows = df.limit(most + 1).collect()
-    return rows if len(rows) <= most else None
-
-
 def _texts(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
@@ -124,24 +114,22 @@ def _refill(df: DataFrame, column: str, cut: Column, mapping: DataFrame, key: st
     return _put_back(df, column, filled)
 
 
-def remap_actions(mapping: DataFrame) -> DataFrame:
-    """Variables that are to be replaced, with their value."""
-    return mapping.where(F.col("Action") == "remap").select("Variable", "Value")
+def remap_actions(mapping: DataFrame, order: Column | None = None) -> DataFrame:
+    """Variables that are to be replaced, with their value.
 
+    The first row of a variable decides, also if it says ``ignore``. First is by ``order``, or else
+    by the order in which the table is read.
+    """
+    place = F.monotonically_increasing_id() if order is None else order
+    rows = mapping.where(F.coalesce("Variable", F.lit("")) != "").withColumn("__at", place)
+    first = rows.groupBy("Variable").agg(F.min(F.struct("__at", "Action", "Value")).alias("__x"))
+    return first.where(F.col("__x.Action") == "remap").select("Variable", F.col("__x.Value").alias("Value"))
 
-def resolve_variables(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Placeholders still in a text filled from the mapping table; ``ignore`` leaves them.
 
-    A table of few variables becomes part of the expression, so no shuffle is needed; a larger
-    one is joined.
-    """
-    known = remap_actions(mapping)
-    few = few_rows(known, FEW_VARIABLES)
-    if few is not None:
-        values = {r["Variable"]: F.lit(r["Value"]) for r in reversed(few) if r["Variable"]}
-        return df.withColumn(column, tokens.fill_tokens(F.col(f"`{column}`"), values)) if values else df
+def resolve_variables(df: DataFrame, column: str, mapping: DataFrame, order: Column | None = None) -> DataFrame:
+    """Placeholders still in a text filled from the mapping table; ``ignore`` leaves them."""
     cut = tokens.pieces(F.col("TEXT"))
-    return _refill(df, column, cut, known, "Variable", "Value")
+    return _refill(df, column, cut, remap_actions(mapping, order), "Variable", "Value")
 
 
 def unknown_variables(
@@ -257,7 +245,7 @@ def dollar_columns(df: DataFrame, text: str = "DEST", target: str = "DESTPREVIEW
 
 def dollar_externals(df: DataFrame, column: str, values: DataFrame, name: str = "NAME", value: str = "VALUE") -> DataFrame:
     """``$NAME`` in a text replaced by the value of a table; unknown names stay."""
-    cut = F.split(F.col("TEXT"), r"(?=\$)|(?<=\$[A-Za-z0-9_]{1,200})(?![A-Za-z0-9_])")
+    cut = F.regexp_extract_all(F.col("TEXT"), F.lit(r"\$[A-Za-z0-9_]+|[^$]+|\$"), F.lit(0))
     marked = values.select(F.concat(F.lit("$"), F.col(name)).alias(name), F.col(value).cast("string").alias(value))
     return _refill(df, column, cut, marked, name, value)
 
@@ -348,6 +336,13 @@ def split_segments(df: DataFrame, column: str = "PROVISIONEDLINK", segments: int
     return df.withColumns({f"Segment {i + 1}": F.get(parts, i) for i in range(segments)})
 
 
+def segment_rows(df: DataFrame, column: str = "PROVISIONEDLINK") -> DataFrame:
+    """Each segment of a link as a row, with its position from 1. Links may have any number."""
+    return df.select(*[c for c in df.columns if c != column], F.posexplode(F.split(column, "/")).alias("POSITION", "SEGMENT")).withColumn(
+        "POSITION", F.col("POSITION") + 1
+    )
+
+
 def compose_link(df: DataFrame, target: str = "PROVISIONEDLINK", skip: int = 2) -> DataFrame:
     """Columns after the first two joined by slashes."""
     return df.withColumn(target, tokens.compose_link([c for c in df.columns[skip:] if c != target]))

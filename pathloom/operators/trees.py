@@ -133,27 +133,30 @@ def dest_fields(links: DataFrame, dest: str = "DEST", src: str = "SRC") -> DataF
     return links.select(F.concat(F.col(dest), F.lit("-file")).alias("FIELD"), made.alias("HASHEDFILE"))
 
 
-def tree_paths(edges: DataFrame, root: str = "", max_depth: int = 64) -> DataFrame:
+def tree_paths(edges: DataFrame, root: str = "") -> DataFrame:
     """Full path of every node from ``(PARENT_ID, ID, NAME)`` rows; ids are unique.
 
     Each round lets a node jump to the node its ancestor points at, so the covered depth
-    doubles: 64 levels take six joins. Rounds stop when no node points upwards any more, and
-    each round is checkpointed.
+    doubles: 64 levels take six joins. Rounds go on until no node points upwards any more, and
+    each is checkpointed. A round in which no node arrives means that ids form a cycle: an error.
     """
     parents = edges.select(F.col("ID").alias("__id")).distinct()
     known = edges.join(parents, F.col("PARENT_ID") == F.col("__id"), "left")
     state = known.select("ID", F.col("__id").alias("UP"), F.col("NAME").alias("PATH"))
-    covered = 1
-    while covered < max_depth:
+    before = None
+    while True:
         state = cut_lineage(state)
-        if state.where("UP is not null").isEmpty():
+        left = state.where("UP is not null").count()
+        if not left:
             break
+        if left == before:
+            raise ValueError(f"{left} nodes are below a cycle of ids")
+        before = left
         above = state.select(F.col("ID").alias("__id"), F.col("UP").alias("__up"), F.col("PATH").alias("__path"))
         # nodes that have arrived are not joined, so the top nodes are no hot key
         moving = state.where("UP is not null").join(above, F.col("UP") == F.col("__id"))
         moved = moving.select("ID", F.col("__up").alias("UP"), F.concat_ws("/", "__path", "PATH").alias("PATH"))
         state = moved.unionByName(state.where("UP is null"))
-        covered *= 2
     shown = F.concat(F.lit(root.rstrip("/") + "/"), F.col("PATH")) if root else F.col("PATH")
     return state.select("ID", shown.alias("PATH"))
 

@@ -19,34 +19,6 @@ SCAN_SCHEMA = T.StructType(
 # header of an empty scan table: no STATUS column there
 INIT_SCHEMA = T.StructType(SCAN_SCHEMA.fields[:6])
 
-SHOT_SCHEMA = T.StructType(
-    [
-        T.StructField("SHOTNAME", T.StringType()),
-        T.StructField("ALTSHOTNAME", T.StringType()),
-        T.StructField("FIRSTFRAME", T.IntegerType()),
-        T.StructField("LASTFRAME", T.IntegerType()),
-    ]
-)
-
-MAPPING_SCHEMA = T.StructType(
-    [
-        T.StructField("Variable", T.StringType()),
-        T.StructField("Action", T.StringType()),
-        T.StructField("Value", T.StringType()),
-    ]
-)
-
-VERSION_LOG_SCHEMA = T.StructType(
-    [
-        T.StructField("date", T.StringType()),
-        T.StructField("VERSION", T.StringType()),
-        T.StructField("user", T.StringType()),
-        T.StructField("item", T.StringType()),
-    ]
-)
-
-LINK_COLUMNS = ["SRC", "DEST", "DESTPREVIEW", "DESTOPTIONS"]
-
 # Image extensions whose names may carry a frame number.
 IMAGE_EXTENSIONS = [
     ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".exr", ".dpx",
@@ -55,9 +27,6 @@ IMAGE_EXTENSIONS = [
 
 # The same storage root as each operating system sees it.
 STORAGE_ROOTS = {"Windows": "F:/", "Linux": "/mnt/localF/", "Darwin": "/Volumes/localF/"}
-RENDER_ROOTS = {
-    "Windows": "R:/", "Linux": "/mnt/deadline-london/", "Darwin": "/Volumes/deadline-london/",
-}
 
 # Path patterns a scan leaves out.
 SCAN_EXCLUDES = [

@@ -244,16 +244,34 @@ def test_session_fill_reads_the_old_values(spark):
     assert tuple(templates.fill_session(df, none).first()) == ("x", "x", "BB/x")
 
 
-def test_resolve_small_and_large_mapping_agree(spark, monkeypatch):
+def test_first_mapping_row_decides(spark):
     df = spark.createDataFrame([("a/VA_VB.VC",), ("plain",), (None,)], "LINK string")
-    m = spark.createDataFrame([("VA", "remap", "1"), ("VB", "ignore", "2"), ("VA", "ignore", "9")], "Variable string, Action string, Value string")
-    small = [r.LINK for r in templates.resolve_variables(df, "LINK", m).collect()]
-    monkeypatch.setattr(templates, "FEW_VARIABLES", 0)
-    large = [r.LINK for r in templates.resolve_variables(df, "LINK", m).collect()]
-    assert sorted(map(str, small)) == sorted(map(str, large)) == ["None", "a/1_VB.VC", "plain"]
+    rows = [("VA", "remap", "1", 3), ("VB", "ignore", "2", 1), ("VB", "remap", "3", 2), ("VA", "remap", "9", 4), ("VA", "ignore", "8", 5)]
+    m = spark.createDataFrame(rows, "Variable string, Action string, Value string, n int").coalesce(1)
+    got = [r.LINK for r in templates.resolve_variables(df, "LINK", m).collect()]
+    assert sorted(map(str, got)) == ["None", "a/1_VB.VC", "plain"]
+    got = [r.LINK for r in templates.resolve_variables(df, "LINK", m, -F.col("n")).collect()]
+    assert sorted(map(str, got)) == ["None", "a/VA_3.VC", "plain"]
     assert {r.Variable for r in templates.unknown_variables(df, ["LINK"], m).collect()} == {"VC"}
 
 
+def test_deep_trees_and_cycles(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, f"d{i}") for i in range(80)]
+    edges = spark.createDataFrame(rows, "ID string, PARENT_ID string, NAME string")
+    got = {r.ID: r.PATH for r in trees.tree_paths(edges).collect()}
+    assert got == {f"n{i}": "/".join(f"d{k}" for k in range(i + 1)) for i in range(80)}
+    loop = spark.createDataFrame([("a", "b", "x"), ("b", "a", "y")], "ID string, PARENT_ID string, NAME string")
+    with pytest.raises(ValueError):
+        trees.tree_paths(loop)
+
+
+def test_long_names_after_a_dollar(spark):
+    name = "N" * 250
+    df = spark.createDataFrame([(f"/a/$${name}-$X $",), ("none",), ("",)], "DEST string")
+    values = spark.createDataFrame([(name, "long"), ("X", "short")], "NAME string, VALUE string")
+    assert {r.DEST for r in templates.dollar_externals(df, "DEST", values).collect()} == {"/a/$long-short $", "none", ""}
+
+
 def test_fill_version_leaves_unknown_parts(spark):
     df = spark.createDataFrame([("/a_VERSION/b_VERSION.exr",), ("/c_VERSION.x",), ("/d",)], "DEST string")
     reg = spark.createDataFrame([("a_VERSION", "4-20240101-v-3"), ("b_VERSION", "99-x-V-2")], "IDENTIFIER string, ENTRY string")
