@@ -11,9 +11,13 @@ of these alone. Documents with equal sets are one class from the start.
 
 Links are confirmed on full sets of 64-bit shingle hashes. No bucket's pairs are all listed: members of a
 bucket are compared with one leader; links join components; then buckets that still hold several
-components compare, in blocks of at most ``CHUNK`` members, what lies in different components. Signatures
-and set sizes rule out pairs before texts are read. After that no pair of a bucket is untested unless
-both are already connected.
+components compare, in blocks of at most ``CHUNK`` members, what lies in different components. Signatures,
+set sizes and parity sketches rule out pairs before texts are read. After that no pair of a bucket is untested
+unless both are already connected.
+
+A parity sketch holds, for each of ``SKETCH_BITS`` cells, whether an odd number of the set's shingles fall
+there. Common shingles cancel in the XOR of two sketches, so its ones never outnumber the shingles that only
+one set has. More ones than a link allows prove that there is none; sets too large for the sketch pass.
 
 Cases. Documents without words have an empty set and no links. Rows with equal keys are documents of their
 own; null keys are allowed and are never a component's smallest key unless all are null. Whole texts
@@ -37,6 +41,8 @@ from pathloom.llm.shingles import mixed, shingle_sets
 CHUNK = 1000
 # orders in which a bucket's leader is the first: more of them connect a large group in the first rounds
 ORDERS = 16
+# a power of two; sketches tell sets apart that differ in up to about as many shingles
+SKETCH_BITS = 2048
 U = np.uint64
 
 
@@ -53,21 +59,40 @@ def minhashes(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np
     return least
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes in each cell, packed; the cell is the hash's lowest bits."""
+    cells = (hashes & U(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=SKETCH_BITS) & 1).astype(np.uint8))
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """False where the sketches ``x`` and ``y`` (64-bit words) prove less than ``percent`` in common."""
+    ones = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * ones <= (100 - percent) * sizes
+
+
+def _sketches(values) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint64).reshape(len(values), SKETCH_BITS // 64)
+
+
 def _sign(words: int, bands: int, rows: int):
     multiply, add = _functions(2 * bands * rows)
     place = np.arange(1, 2 * bands + 1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, halves, signs = [], [], [], [], []
+            sizes, first, second, halves, signs, odds = [], [], [], [], [], []
             for one in shingle_sets(batch["text"], words):
                 sizes.append(len(one))
                 first.append(int(one.sum(dtype=np.uint64).view(np.int64)) if len(one) else 0)
-                second.append(int(np.bitwise_xor.reduce(mixed(one)).view(np.int64)) if len(one) else 0)
+                again = mixed(one)
+                second.append(int(np.bitwise_xor.reduce(again).view(np.int64)) if len(one) else 0)
                 if not len(one):
                     halves.append([])
                     signs.append(b"")
+                    odds.append(b"")
                     continue
+                odds.append(parity_sketch(again).tobytes())
                 least = minhashes(one, multiply, add)
                 key = place.copy()
                 for j in range(rows):
@@ -78,6 +103,7 @@ def _sign(words: int, bands: int, rows: int):
                 "row": batch["row"], "key": batch["key"], "n": pa.array(sizes, pa.int64()),
                 "d1": pa.array(first, pa.int64()), "d2": pa.array(second, pa.int64()),
                 "halves": pa.array(halves, pa.list_(pa.int64())), "sign": pa.array(signs, pa.binary()),
+                "odd": pa.array(odds, pa.binary()),
             })
 
     return run
@@ -142,10 +168,11 @@ def _cross(percent: int, least: int, bands: int):
             sides[1] = sides[0]
         if not len(sides[0]) or not len(sides[1]):
             return none
-        (n0, c0, r0, s0, h0), (n1, c1, r1, s1, h1) = (
+        (n0, c0, r0, s0, h0, o0), (n1, c1, r1, s1, h1, o1) = (
             (
                 s["n"].to_numpy(), s["comp"].to_numpy(), s["rep"].to_numpy(),
                 np.frombuffer(b"".join(s["sign"]), np.uint8).reshape(len(s), -1), np.stack(s["halves"].to_list()),
+                _sketches(s["odd"]),
             ) for s in sides
         )
         place = int(block["place"].iloc[0])
@@ -154,6 +181,7 @@ def _cross(percent: int, least: int, bands: int):
             some = np.flatnonzero((c1 != c0[i]) & (100 * np.minimum(n1, n0[i]) >= percent * np.maximum(n1, n0[i])))
             if len(some):
                 some = some[(s1[some] == s0[i]).sum(axis=1) >= least]
+                some = some[_may_link(o1[some], o0[i], n1[some] + n0[i], percent)]
                 equal = h1[some] == h0[i]
                 some = some[equal[:, :bands].argmax(axis=1) * bands + equal[:, bands:].argmax(axis=1) == place]
                 out_a.append(np.minimum(r0[i], r1[some]))
@@ -213,7 +241,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands: int, rows: int) -> DataFrame:
     kind = table.schema["key"].dataType.simpleString()
     signed = table.mapInArrow(
-        _sign(words, bands, rows), f"row long, key {kind}, n long, d1 long, d2 long, halves array<bigint>, sign binary"
+        _sign(words, bands, rows), f"row long, key {kind}, n long, d1 long, d2 long, halves array<bigint>, sign binary, odd binary"
     )
     signed = scratch.put(signed, "signed")
     classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("rep"))
@@ -233,19 +261,21 @@ def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands
     involved = buckets.select("rep").distinct()
     wanted = scratch.beside(involved.select(F.shiftright("rep", ROW_BITS).cast("int").alias("part"), "rep"), "wanted")
     texts = scratch.put(table.select("row", "text").mapInArrow(_held(wanted), "row long, text string"), "texts")
-    facts = scratch.put(signed.join(involved.withColumnRenamed("rep", "row"), "row", "left_semi").select("row", "n", "sign", "halves"), "facts")
+    facts = scratch.put(signed.join(involved.withColumnRenamed("rep", "row"), "row", "left_semi").select("row", "n", "sign", "odd", "halves"), "facts")
 
     least = _least_matches(2 * bands * rows, percent / 100)
 
     @F.pandas_udf("int")
-    def matches(x: pd.Series, y: pd.Series) -> pd.Series:
+    def matches(x: pd.Series, y: pd.Series, ox: pd.Series, oy: pd.Series, sizes: pd.Series) -> pd.Series:
+        """Equal minhashes; -1 where the sketches rule out a link."""
         if not len(x):
             return pd.Series([], dtype="int32")
         left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
-        return pd.Series((left == right).sum(axis=1).astype(np.int32))
+        may = _may_link(_sketches(ox), _sketches(oy), sizes.to_numpy(), percent)
+        return pd.Series(np.where(may, (left == right).sum(axis=1), -1).astype(np.int32))
 
     def side(name: str) -> DataFrame:
-        return facts.select(F.col("row").alias(name), F.col("n").alias(f"n{name}"), F.col("sign").alias(f"s{name}"))
+        return facts.select(F.col("row").alias(name), F.col("n").alias(f"n{name}"), F.col("sign").alias(f"s{name}"), F.col("odd").alias(f"o{name}"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
@@ -254,7 +284,7 @@ def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands
 
     pairs = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", matches("sa", "sb").alias("same")).where(F.col("same") >= least)
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", matches("sa", "sb", "oa", "ob", F.col("na") + F.col("nb")).alias("same")).where(F.col("same") >= least)
     pairs = scratch.put(pairs, "pairs")
     nearest = pairs.groupBy("b").agg(F.max(F.struct("same", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     nearest = scratch.put(nearest, "nearest")
@@ -278,7 +308,7 @@ def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     blocks = placed.select(
         "bucket", "place", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "sign", "halves",
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "sign", "odd", "halves",
     )
     # in a block of one chunk with itself all members are on side 0
     blocks = blocks.repartition("bucket", "ci", "cj").sortWithinPartitions("bucket", "ci", "cj")

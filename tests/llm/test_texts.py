@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,20 @@ def brute_components(rows, k):
     return [(key, len(s), smallest[find(i)]) for i, ((key, _), s) in enumerate(zip(rows, sets))], len({find(i) for i in range(len(rows))})
 
 
+@pytest.mark.parametrize("size", [1, 40, 600, 50_000])
+def test_parity_sketches_rule_out_no_link(size):
+    rng = np.random.default_rng(size)
+    for gone in {0, size // 12, size // 9, size // 5, size // 2}:
+        base = rng.integers(0, 2**64, size + gone, np.uint64)
+        left, right = base[:size], base[gone:]
+        common = size - gone
+        x, y = (minhash._sketches([minhash.parity_sketch(s).tobytes()]) for s in (left, right))
+        may = bool(minhash._may_link(x, y, np.array([2 * size]), 80)[0])
+        assert may or 100 * common < 80 * (2 * size - common)
+        if size == 600 and gone >= size // 5:
+            assert not may
+
+
 @pytest.mark.parametrize("words, chunk", [(2, 1000), (5, 3)])
 def test_near_duplicates(spark, monkeypatch, words, chunk):
     monkeypatch.setattr(minhash, "CHUNK", chunk)
