@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pathloom.llm import decontaminate, langid, minhash, neighbours, packing, sharding, suffix, tokenfile, toxicity, warc
+from pathloom.llm import decontaminate, langid, minhash, mixing, neighbours, packing, sharding, suffix, tokenfile, toxicity, warc
 from pathloom.llm.registry import ORACLES, QUERIES, query
 from pathloom.llm.scratch import Scratch
 
@@ -162,3 +162,9 @@ SELECT doc_id, d.slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 3, '0') A
 @query("op10_sharding", SHARDING_SQL)
 def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+@query("op12_source_mix")
+def op12_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf, "documents"), share=1.5, limit=2.0, weights=(3, 1, 2))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
