@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,12 +63,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# folders that a session's jobs have stored tables in, by application
+_stored: dict[str, list[str]] = defaultdict(list)
+
+
+def stored_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one, noted for ``clear_stored``."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _stored[spark.sparkContext.applicationId].append(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete all that this application's jobs stored so far; the number of folders.
+
+    For the end of a job, once its results are written: DataFrames made before read these tables.
+    """
+    folders = _stored.pop(spark.sparkContext.applicationId, [])
+    for path in folders:
+        delete_folder(spark, path)
+    return len(folders)
+
+
 def store(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back.
 
     For wide tables that several steps read: each of them reads only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}.parquet"
+    path = stored_folder(spark, "stored")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
