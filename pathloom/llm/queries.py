@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pathloom.llm import decontaminate, langid, minhash, mixing, neighbours, packing, sharding, suffix, tokenfile, toxicity, warc
+from pathloom.llm import decontaminate, langid, merkle, minhash, mixing, neighbours, packing, sharding, suffix, tokenfile, toxicity, warc
 from pathloom.llm.registry import ORACLES, QUERIES, query
 from pathloom.llm.scratch import Scratch
 
@@ -168,3 +168,69 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 def op12_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     found = mixing.mix(table(spark, sf, "documents"), share=1.5, limit=2.0, weights=(3, 1, 2))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _crc_table() -> list[int]:
+    """Table of CRC-32, for SQL without such a function."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return table
+
+
+def _sql_field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
+
+
+def _sql_leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_sql_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_sql_leaf("n_chars")} AS leaf, {_sql_leaf("(n_chars + 1)")} AS other,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, x: xor(a >> 8, {_crc_table()}[(xor(a, x) & 255) + 1])), 4294967295) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, leaf, CASE WHEN crc % 7 = 0 THEN other ELSE leaf END AS changed,
+    row_number() OVER () AS rid, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+tree(lang, lvl, i, h, n) AS (
+  SELECT lang, 0, i, leaf, count(*) OVER (PARTITION BY lang) FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+subs AS (SELECT lang, h AS subroot, lvl AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM tree WHERE n = 1),
+top(lvl, i, h, n) AS (
+  SELECT 0, i, subroot, count(*) OVER () FROM subs
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+low(rid, lang, lvl, height, i, cur, sib) AS (
+  SELECT rid, l.lang, 0, height, l.i, changed, '' FROM leaves l JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT rid, p.lang, p.lvl + 1, height, p.i // 2,
+    sha256(CASE WHEN p.i % 2 = 0 THEN cur || coalesce(t.h, '') ELSE t.h || cur END), sib || coalesce(t.h, '')
+  FROM low p LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM p.lang AND t.lvl = p.lvl AND t.i = xor(p.i, 1) WHERE p.lvl < height),
+high(rid, lvl, i, cur, sib) AS (
+  SELECT rid, 0, s.i, cur, sib FROM low p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang WHERE p.lvl = p.height
+  UNION ALL
+  SELECT rid, p.lvl + 1, p.i // 2, sha256(CASE WHEN p.i % 2 = 0 THEN cur || coalesce(t.h, '') ELSE t.h || cur END), sib || coalesce(t.h, '')
+  FROM high p LEFT JOIN top t ON t.lvl = p.lvl AND t.i = xor(p.i, 1) WHERE p.lvl < (SELECT max(lvl) FROM top)),
+r AS (SELECT h AS root, lvl FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM leaves l JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN r JOIN high p ON p.rid = l.rid AND p.lvl = r.lvl
+"""
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = (remainder("doc_id", 7) == 0) & F.col("n_chars").isNotNull()
+    other = merkle.leaf_of(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in names))
+    found = merkle.manifest(table(spark, sf, "documents"), names, "doc_id", "lang", F.when(changed, other))
+    siblings = F.array_join(F.transform("proof", lambda x: F.concat(x["left"], x["right"])), "")
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )

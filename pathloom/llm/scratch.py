@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.session import shared_folder
+from pathloom.session import delete_folder, stored_folder
 
 # monotonically_increasing_id() holds the partition above these bits
 ROW_BITS = 33
 
 
 class Scratch:
-    """A new folder below the shared one. Tables stay until ``drop``; the folder is the caller's to clear."""
+    """A new folder below the shared one. Tables stay until ``drop``, or ``session.clear_stored`` for all."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = stored_folder(spark, name)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read back: its tasks never run again."""
@@ -36,11 +34,8 @@ class Scratch:
         return path
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            delete_folder(self.spark, f"{self.root}/{name}")
 
 
 def with_row(docs: DataFrame, columns: list, scratch: Scratch, stored: bool) -> DataFrame:
