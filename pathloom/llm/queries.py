@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pathloom.llm import decontaminate, langid, merkle, minhash, mixing, neighbours, packing, sharding, suffix, tokenfile, toxicity, warc
+from pathloom.llm import alignment, decontaminate, langid, merkle, minhash, mixing, neighbours, packing, sharding, suffix, tokenfile, toxicity, warc
 from pathloom.llm.registry import ORACLES, QUERIES, query
 from pathloom.llm.scratch import Scratch
 
 __all__ = ["ORACLES", "QUERIES"]
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -234,3 +236,9 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = alignment.align(table(spark, sf, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
