@@ -1,6 +1,7 @@
 """Two tokenizers' tokens aligned by where they end, with corpus-wide counts of the pairs they form.
 
-Method, in Arrow tables inside each task. Ids of a slice of texts are flattened, each with the index of its text;
+Method, in Arrow tables inside each task. Neither tokenizer joins what stands before a space with the space, so texts
+are taken in units, a word with the white space before it, and a worker encodes each distinct unit once. Ids of a slice of texts are flattened, each with the index of its text;
 byte lengths of the ids are summed within each text, so a token's key is its text and the byte where it ends. An
 Acero hash join of both tokenizers' tables on that key gives the links. Ends that both share cut the text into
 groups. ``Table.group_by`` counts the pairs per text and per part of the input (``PART_BYTES`` of text at most).
@@ -20,6 +21,7 @@ an empty table. Other columns are not read.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 from pathloom.llm.scratch import Scratch
 
 # bytes of text that are encoded at once, and that share a part
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 PART_BYTES = 24 << 20
 # entries of a vocabulary up to which a row each may be broadcast
 VOCABULARY = 1 << 20
+# units that a worker remembers; it starts afresh beyond
+MAX_UNITS = 400_000
 # bits of a key that hold the place of an end
 END_BITS = 40
 DOCUMENT = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -79,6 +83,10 @@ class Aligner:
         self._length_a = pc.binary_length(self.bytes_a).cast(pa.int64())
         self._length_b = pc.binary_length(self.bytes_b).cast(pa.int64())
         a, b = range(self.size_a), range(self.size_b)
+        pieces = (self._second.id_to_piece(i) for i in range(self.size_b))
+        splits = getattr(self._first.pre_tokenizer, "use_regex", False) and not self._first.pre_tokenizer.add_prefix_space
+        self.by_unit = bool(splits) and not any("▁" in p.lstrip("▁") for p in pieces)
+        self._forget()
         self._texts = pa.array([
             *(f"{i}," for i in a), *(f"{i}|" for i in a), *(f"{i}," for i in b), *(f"{i};" for i in b), *(f"{i}" for i in b),
         ], pa.large_string())
@@ -87,10 +95,61 @@ class Aligner:
         piece = self._second.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self._second.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _forget(self) -> None:
+        self._code: dict[str, int] = {}
+        self._known = [array("i"), array("i")]
+        self._sizes = [array("i"), array("i")]
+
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of a space and each text, by both."""
+        a = [e.ids for e in self._first.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        return a, self._second.encode(texts, num_threads=1)
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """Code of each unit; new ones are encoded."""
+        if len(self._code) > MAX_UNITS:
+            self._forget()
+        code = self._code
+        new = list(dict.fromkeys(u for u in units if u not in code))
+        code.update(zip(new, range(len(code), len(code) + len(new))))
+        for known, sizes, found in zip(self._known, self._sizes, self._encode(new)):
+            for ids in found:
+                known.extend(ids)
+                sizes.append(len(ids))
+        return np.fromiter((code[u] for u in units), np.int64, len(units))
+
+    def _lists_by_unit(self, texts: list[str]) -> list[pa.ListArray]:
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        flat = split.flatten().dictionary_encode()
+        words, which = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        # a space is a border where something printable, no mark for a space, stands before it and something behind it
+        closed = np.fromiter((w != "" and w[-1] != "▁" and w[-1].isprintable() for w in words), bool, len(words))
+        filled = np.fromiter((w != "" for w in words), bool, len(words))
+        begins = np.append(True, closed[which[:-1]]) & filled[which] if len(which) else np.zeros(0, bool)
+        begins[offsets[:-1]] = True
+        first = np.flatnonzero(begins)
+        size = np.diff(np.append(first, len(which)))
+        units = which[first]
+        for i in np.flatnonzero(size > 1).tolist():
+            units[i] = len(words)
+            words.append(" ".join(words[w] for w in which[first[i] : first[i] + size[i]]))
+        codes = self._learn(words)[units]
+        ends = np.cumsum(begins)[offsets[1:] - 1]
+        out = []
+        for known, sizes in zip(self._known, self._sizes):
+            ids, each = np.frombuffer(known, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
+            begin = (np.cumsum(each) - each)[codes]
+            each = each[codes]
+            after = np.cumsum(each)
+            taken = ids[np.arange(after[-1]) + np.repeat(begin - (after - each), each)]
+            edges = np.append(0, after)[np.append(0, ends)].astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(taken)))
+        return out
+
     def _ids(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """Ids of both, empty where the bytes of one do not give space and text."""
-        a = _lists([e.ids for e in self._first.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)])
-        b = _lists(self._second.encode(texts, num_threads=1))
+        a, b = self._lists_by_unit(texts) if self.by_unit else map(_lists, self._encode(texts))
         wanted = pa.array([f" {t}".encode() for t in texts], pa.large_binary())
         good = pa.array([bool(t) for t in texts])
         for ids, known in ((a, self.bytes_a), (b, self.bytes_b)):

@@ -102,6 +102,16 @@ def test_parts_are_cut_by_bytes(monkeypatch):
     assert out.filter(pc.is_valid(out["pairs"]))["key"].to_pylist() == [1, 2, 3]
 
 
+def test_units_give_the_ids_of_whole_texts():
+    rng = random.Random(5)
+    both = alignment.Aligner(A, B)
+    assert both.by_unit
+    marks = [" ", "  ", "\n", " \n", "\n ", "\t", "\xa0", " \xa0", "\u2003 ", "\x85", "\x1f ", "\u200b ", "\u0301", " \u0301", "a", "don't", "'s", "1", "12", "é", "日本", "!", "...", "▁", "🙂", "<s>"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 30))) for _ in range(3000)] + ["", " ", "  ", "\n"]
+    for found, want in zip(both._lists_by_unit(texts), both._encode(texts)):
+        assert found.to_pylist()[:-4] == want[:-4]
+
+
 def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string"), A, B).collect() == []
 
