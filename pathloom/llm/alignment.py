@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.scratch import Scratch
+from pathloom.llm.scratch import Scratch, frugal
 
 # bytes of text that are encoded at once, and that share a part
 SLICE_BYTES = 2 << 20
@@ -41,7 +41,7 @@ PART_BYTES = 24 << 20
 # entries of a vocabulary up to which a row each may be broadcast
 VOCABULARY = 1 << 20
 # units that a worker remembers; it starts afresh beyond
-MAX_UNITS = 400_000
+MAX_UNITS = 200_000
 # bits of a key that hold the place of an end
 END_BITS = 40
 DOCUMENT = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -338,7 +338,7 @@ def align(
     table = docs.select(F.col(key).alias("key"), source.cast("string").alias("text"))
     of_key = table.schema["key"].dataType.simpleString()
     lists = f"pairs array<{kind}>, counts array<int>, part_pairs array<{kind}>, part_counts array<bigint>"
-    found = scratch.put(table.mapInArrow(_aligned(first, second, code, part_bytes), f"part long, key {of_key}, {DOCUMENT}, {lists}"), "aligned")
+    found = scratch.put(table.mapInArrow(frugal(_aligned(first, second, code, part_bytes)), f"part long, key {of_key}, {DOCUMENT}, {lists}"), "aligned")
 
     partial = found.where("part_pairs IS NOT NULL").select("part", F.inline(F.arrays_zip("part_pairs", "part_counts"))).toDF("part", "pair", "n")
     totals = scratch.put(partial.groupBy("pair").agg(F.sum("n").alias("total")), "totals")

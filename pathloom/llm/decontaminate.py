@@ -64,11 +64,11 @@ def contamination(
 
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    size: int = 10, stored: bool = False,
+    size: int = 10,
 ) -> DataFrame:
     """The documents that hold no window of an item, with all their columns."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    rows = with_row(docs, [F.struct(*docs.columns).alias("doc"), F.col(text).cast("string").alias("text")], scratch, stored)
+    rows = with_row(docs, [F.struct(*docs.columns).alias("doc"), F.col(text).cast("string").alias("text")], scratch)
     numbered = rows.select("row", F.lit(None).cast("long").alias("key"), "text")
     found = _contamination(numbered, items, scratch, item_key, item_text, size)
     gone = scratch.put(found.where("n_hit > 0").select("row"), "gone")

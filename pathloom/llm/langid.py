@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.llm.scratch import frugal
+
 SNIPPET = 500
 PIECE = 512
 LEVEL = 9
@@ -92,9 +94,12 @@ def _predict(model: dict[str, bytes], least: float):
 
 def predict(docs: DataFrame, model: dict[str, bytes], keep: list[str], text: str | Column = "text", least: float = 0.002) -> DataFrame:
     """Columns ``keep`` of ``docs``, ``text``, and ``lang_pred``, ``score``, ``margin``, ``rejected``."""
+    clash = {"text", "lang_pred", "score", "margin", "rejected"} & {c.lower() for c in keep}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already")
     names = [f"k{i}" for i in range(len(keep))]
     source = F.col(text) if isinstance(text, str) else text
     df = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), source.cast("string").alias("text"))
     schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
     schema = f"{schema}, text string, lang_pred string, score double, margin double, rejected boolean"
-    return df.mapInArrow(_predict(model, least), schema).withColumnsRenamed(dict(zip(names, keep)))
+    return df.mapInArrow(frugal(_predict(model, least)), schema).withColumnsRenamed(dict(zip(names, keep)))

@@ -11,7 +11,7 @@ of these alone. Documents with equal sets are one class from the start.
 
 Links are confirmed on full sets of 64-bit shingle hashes. No bucket's pairs are all listed: members of a
 bucket are compared with one leader; links join components; then buckets that still hold several
-components compare, in blocks of at most ``CHUNK`` members, what lies in different components. Signatures,
+components compare who is outside their largest one with all members, in blocks of about ``CHUNK`` of each. Signatures,
 set sizes and parity sketches rule out pairs before texts are read. After that no pair of a bucket is untested
 unless both are already connected.
 
@@ -29,13 +29,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.components import components
-from pathloom.llm.scratch import ROW_BITS, Scratch, rows_beside, with_row
+from pathloom.llm.scratch import ROW_BITS, Scratch, by_part, frugal, rows_beside, with_row
 from pathloom.llm.shingles import mixed, shingle_sets
 
 CHUNK = 1000
@@ -99,6 +98,7 @@ def _sign(words: int, bands: int, rows: int):
                     key = mixed(key * U(0x9E3779B97F4A7C15) + least.reshape(2 * bands, rows)[:, j])
                 halves.append(key.view(np.int64))
                 signs.append((least >> U(56)).astype(np.uint8).tobytes())
+            # a batch at a time, so that signatures of few documents are held
             yield pa.record_batch({
                 "row": batch["row"], "key": batch["key"], "n": pa.array(sizes, pa.int64()),
                 "d1": pa.array(first, pa.int64()), "d2": pa.array(second, pa.int64()),
@@ -113,15 +113,12 @@ def _held(folder: str, keep: bool = True):
     """The rows that were stored for the part, or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch["row"].to_numpy()
-            if wanted is None:
-                found = rows_beside(folder, int(rows[0]) >> ROW_BITS, ["rep"])
+        wanted, known = None, -1
+        for part, batch in (x for whole in batches for x in by_part(whole)):
+            if part != known:
+                found, known = rows_beside(folder, part, ["rep"]), part
                 wanted = np.zeros(0, np.int64) if found is None else np.unique(found["rep"].to_numpy())
-            yield batch.filter(pa.array(np.isin(rows, wanted, invert=not keep)))
+            yield batch.filter(pa.array(np.isin(batch["row"].to_numpy(), wanted, invert=not keep)))
 
     return run
 
@@ -156,27 +153,25 @@ def _least_matches(functions: int, similarity: float) -> int:
 
 
 def _cross(percent: int, least: int, bands: int):
-    """Pairs of different components in each block; rows come sorted by block.
+    """Pairs of different components of two sides of each block; rows come sorted by block and side.
 
     Documents that share several buckets are paired in the first of them only.
     """
 
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        sides = [block[block["side"] == s] for s in (0, 1)]
-        if block["ci"].iloc[0] == block["cj"].iloc[0]:
-            sides[1] = sides[0]
-        if not len(sides[0]) or not len(sides[1]):
-            return none
+    def pairs(block: pa.Table) -> np.ndarray:
+        side = block["side"].to_numpy()
+        cut = int(np.searchsorted(side, 1))
+        if cut in (0, len(side)):
+            return np.zeros((0, 2), np.int64)
         (n0, c0, r0, s0, h0, o0), (n1, c1, r1, s1, h1, o1) = (
             (
                 s["n"].to_numpy(), s["comp"].to_numpy(), s["rep"].to_numpy(),
-                np.frombuffer(b"".join(s["sign"]), np.uint8).reshape(len(s), -1), np.stack(s["halves"].to_list()),
-                _sketches(s["odd"]),
-            ) for s in sides
+                np.frombuffer(b"".join(s["sign"].to_pylist()), np.uint8).reshape(len(s), -1),
+                np.array(s["halves"].to_pylist(), np.int64), _sketches(s["odd"].to_pylist()),
+            ) for s in (block.slice(0, cut), block.slice(cut))
         )
-        place = int(block["place"].iloc[0])
-        out_a, out_b = [], []
+        place = block["place"][0].as_py()
+        out = []
         for i in range(len(n0)):
             some = np.flatnonzero((c1 != c0[i]) & (100 * np.minimum(n1, n0[i]) >= percent * np.maximum(n1, n0[i])))
             if len(some):
@@ -184,53 +179,54 @@ def _cross(percent: int, least: int, bands: int):
                 some = some[_may_link(o1[some], o0[i], n1[some] + n0[i], percent)]
                 equal = h1[some] == h0[i]
                 some = some[equal[:, :bands].argmax(axis=1) * bands + equal[:, bands:].argmax(axis=1) == place]
-                out_a.append(np.minimum(r0[i], r1[some]))
-                out_b.append(np.maximum(r0[i], r1[some]))
-        if not out_a:
-            return none
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+                out.append(np.stack([np.minimum(r0[i], r1[some]), np.maximum(r0[i], r1[some])], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+    def found(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        both = pairs(block)
+        if len(both):
+            yield pa.record_batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pd.DataFrame | None = None
-        keys = ["bucket", "ci", "cj"]
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            df = batch.to_pandas()
-            if rest is not None:
-                df = pd.concat([rest, df], ignore_index=True)
-            if not len(df):
+            if not batch.num_rows:
                 continue
-            change = np.flatnonzero((df[keys].to_numpy()[1:] != df[keys].to_numpy()[:-1]).any(axis=1)) + 1
-            edges = [0, *change.tolist()]
-            found = [pairs(df.iloc[f:t]) for f, t in zip(edges, edges[1:])]
-            rest = df.iloc[edges[-1] :]
-            if found:
-                yield pa.RecordBatch.from_pandas(pd.concat(found).drop_duplicates(), preserve_index=False)
-        if rest is not None and len(rest):
-            yield pa.RecordBatch.from_pandas(pairs(rest), preserve_index=False)
+            keys = np.stack([batch[c].to_numpy() for c in ("bucket", "ci", "cj")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for begin, end in zip(edges, edges[1:]):
+                if held and (keys[begin] != last).any():
+                    yield from found(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                last = keys[begin]
+        if held:
+            yield from found(pa.Table.from_batches(held))
 
     return run
 
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str | Column = "text", words: int = 5, percent: int = 80,
-    bands: int = 12, rows: int = 3, stored: bool = False,
+    bands: int = 12, rows: int = 3,
 ) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest key of the component) and ``stays``.
 
     ``stays`` marks one row of each component, the first with its smallest key. Linked are documents with
-    100 * common shingles >= ``percent`` * all shingles. ``stored``: ``docs`` is a plain scan of files.
+    100 * common shingles >= ``percent`` * all shingles.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     source = F.col(text) if isinstance(text, str) else text
-    table = with_row(docs, [F.col(key).alias("key"), source.cast("string").alias("text")], scratch, stored)
+    table = with_row(docs, [F.col(key).alias("key"), source.cast("string").alias("text")], scratch)
     return _classes(table, scratch, words, percent, bands, rows).drop("row").withColumnRenamed("key", key)
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 12, rows: int = 3, stored: bool = False) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = 12, rows: int = 3) -> DataFrame:
     """One document of each component, with all its columns. Texts are filtered where they are read."""
     scratch = Scratch(docs.sparkSession, "minhash")
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    whole = with_row(docs, [F.col(c).alias(n) for c, n in names.items()], scratch, stored)
+    whole = with_row(docs, [F.col(c).alias(n) for c, n in names.items()], scratch)
     table = whole.select("row", F.col(names[key]).alias("key"), F.col(names[text]).cast("string").alias("text"))
     classes = _classes(table, scratch, words, percent, bands, rows)
     gone = classes.where(~F.col("stays")).select(F.shiftright("row", ROW_BITS).cast("int").alias("part"), F.col("row").alias("rep"))
@@ -241,7 +237,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands: int, rows: int) -> DataFrame:
     kind = table.schema["key"].dataType.simpleString()
     signed = table.mapInArrow(
-        _sign(words, bands, rows), f"row long, key {kind}, n long, d1 long, d2 long, halves array<bigint>, sign binary, odd binary"
+        frugal(_sign(words, bands, rows)), f"row long, key {kind}, n long, d1 long, d2 long, halves array<bigint>, sign binary, odd binary"
     )
     signed = scratch.put(signed, "signed")
     classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("rep"))
@@ -265,14 +261,14 @@ def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands
 
     least = _least_matches(2 * bands * rows, percent / 100)
 
-    @F.pandas_udf("int")
-    def matches(x: pd.Series, y: pd.Series, ox: pd.Series, oy: pd.Series, sizes: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def matches(x: pa.Array, y: pa.Array, ox: pa.Array, oy: pa.Array, sizes: pa.Array) -> pa.Array:
         """Equal minhashes; -1 where the sketches rule out a link."""
         if not len(x):
-            return pd.Series([], dtype="int32")
-        left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
-        may = _may_link(_sketches(ox), _sketches(oy), sizes.to_numpy(), percent)
-        return pd.Series(np.where(may, (left == right).sum(axis=1), -1).astype(np.int32))
+            return pa.array([], pa.int32())
+        left, right = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (x, y))
+        may = _may_link(_sketches(ox.to_pylist()), _sketches(oy.to_pylist()), sizes.to_numpy(), percent)
+        return pa.array(np.where(may, (left == right).sum(axis=1), -1), pa.int32())
 
     def side(name: str) -> DataFrame:
         return facts.select(F.col("row").alias(name), F.col("n").alias(f"n{name}"), F.col("sign").alias(f"s{name}"), F.col("odd").alias(f"o{name}"))
@@ -280,7 +276,7 @@ def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
         both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-        return scratch.put(both.mapInArrow(_verify(words, percent), "a long, b long"), name)
+        return scratch.put(both.mapInArrow(frugal(_verify(words, percent)), "a long, b long"), name)
 
     pairs = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
@@ -301,18 +297,19 @@ def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands
 
     # buckets that still hold several components, in blocks
     placed = buckets.select("bucket", "place", "c", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    placed = placed.join(open_buckets, "bucket").join(facts.withColumnRenamed("row", "rep"), "rep")
-    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    blocks = placed.select(
-        "bucket", "place", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "sign", "odd", "halves",
-    )
-    # in a block of one chunk with itself all members are on side 0
-    blocks = blocks.repartition("bucket", "ci", "cj").sortWithinPartitions("bucket", "ci", "cj")
-    found = blocks.mapInArrow(_cross(percent, least, bands), "a long, b long").distinct()
+    held = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    largest = held.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("members"))
+    largest = largest.where("members > x.n").select("bucket", F.col("x.comp").alias("main"), (F.col("members") - F.col("x.n")).alias("outside"))
+    placed = placed.join(largest, "bucket").join(facts.withColumnRenamed("row", "rep"), "rep")
+    # who is outside a bucket's largest component is compared with all members, in blocks
+    few, all_of = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("outside", "c"))
+    chunk = F.pmod(F.xxhash64("rep"), all_of).cast("int")
+    facts_of = ["rep", "comp", "n", "sign", "odd", "halves"]
+    outside = placed.where("comp <> main").withColumn("ci", F.pmod(F.xxhash64("rep"), few).cast("int"))
+    outside = outside.select("bucket", "place", "ci", F.explode(F.sequence(F.lit(0), all_of - 1)).alias("cj"), F.lit(0).alias("side"), *facts_of)
+    members = placed.select("bucket", "place", F.explode(F.sequence(F.lit(0), few - 1)).alias("ci"), chunk.alias("cj"), F.lit(1).alias("side"), *facts_of)
+    blocks = outside.union(members).repartition("bucket", "ci", "cj").sortWithinPartitions("bucket", "ci", "cj", "side")
+    found = blocks.mapInArrow(frugal(_cross(percent, least, bands)), "a long, b long").distinct()
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = scratch.put(found.join(tested, ["a", "b"], "left_anti"), "found")
     links = links.union(verified(found, "links2"))

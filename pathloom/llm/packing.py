@@ -18,13 +18,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.scratch import Scratch
+from pathloom.llm.scratch import Scratch, frugal
 from pathloom.llm.tokens import encoder
 
 
@@ -68,7 +67,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, scratch: Scratch, capacity: int
     df = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     kind = df.schema["doc"].dataType.simpleString()
     schema = f"doc {kind}, piece int, start long, length long, ids binary, part int, rank long"
-    return scratch.put(df.mapInArrow(_cut(tokenizer, capacity, end_id), schema), "pieces")
+    return scratch.put(df.mapInArrow(frugal(_cut(tokenizer, capacity, end_id)), schema), "pieces")
 
 
 class Plan:
@@ -164,16 +163,14 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = Plan(totals, capacity).table()
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
         at = plan["begin"][length.to_numpy()] + rank.to_numpy()
         slot = np.searchsorted(plan["start"], at, "right") - 1
         nth = at - plan["start"][slot]
         each = plan["each"][slot]
-        return pd.DataFrame({
-            "sequence_id": plan["first"][slot] + nth // each,
-            "offset": plan["offset"][slot] + nth % each * plan["length"][slot],
-        })
+        sequence, offset = plan["first"][slot] + nth // each, plan["offset"][slot] + nth % each * plan["length"][slot]
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
 
     ranked = pieces.join(before, ["part", "length"]).withColumn("spot", place("length", F.col("rank") + F.col("before")))
     return ranked.select(*(c for c in pieces.columns if c not in ("part", "rank")), "spot.sequence_id", "spot.offset")

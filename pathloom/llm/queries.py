@@ -58,7 +58,7 @@ FROM p LEFT JOIN g ON p.digest = g.digest
 @query("op1_warc", WARC_SQL)
 def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "archive")
-    warc.write_warc(table(spark, sf, "pages"), scratch.root, stored=True)
+    warc.write_warc(table(spark, sf, "pages"), scratch.root)
     found = warc.read_warc(spark, scratch.root).where(F.col("record_type").isin("response", "revisit"))
     revisit = F.col("record_type") == "revisit"
     return found.select(
@@ -111,7 +111,7 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    found = minhash.near_duplicates(table(spark, sf, "documents"), words=2, stored=True)
+    found = minhash.near_duplicates(table(spark, sf, "documents"), words=2)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -131,7 +131,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    found = suffix.repeated_spans(table(spark, sf, "documents"), stored=True)
+    found = suffix.repeated_spans(table(spark, sf, "documents"))
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     return found.select(
         "doc_id",

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+from collections.abc import Iterator
+from functools import wraps
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
@@ -38,21 +44,46 @@ class Scratch:
             delete_folder(self.spark, f"{self.root}/{name}")
 
 
-def with_row(docs: DataFrame, columns: list, scratch: Scratch, stored: bool) -> DataFrame:
-    """``columns`` of ``docs`` after a column ``row``, the same number for a row in every scan.
+def with_row(docs: DataFrame, columns: list, scratch: Scratch) -> DataFrame:
+    """``columns`` of ``docs`` after a column ``row``, written once: the number stays with its row, however it is read.
 
-    ``stored`` says that ``docs`` is a plain scan of files, which Spark splits alike each time; any
-    other plan is written first.
+    Rows written by one task have the same number above ``ROW_BITS``, their part.
     """
     df = docs.select(*columns)
-    if not stored:
-        df = scratch.put(df, "input")
-    return df.select(F.monotonically_increasing_id().alias("row"), *df.columns)
+    return scratch.put(df.select(F.monotonically_increasing_id().alias("row"), *df.columns), "input")
+
+
+def by_part(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows of one part. A task may read several parts, or a piece of one."""
+    if not batch.num_rows:
+        return
+    parts = batch["row"].to_numpy() >> ROW_BITS
+    edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+    for begin, end in zip(edges, edges[1:]):
+        yield int(parts[begin]), batch.slice(begin, end - begin)
+
+
+def frugal(run):
+    """``run`` for a Python worker that lives on: memory that its last batch used goes back to the system."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:
+            # only this C library can be told to
+            return
+
+    return whole
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """File system and plain path of a folder all executors share."""
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    if ":/" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
 
 
 def rows_beside(path: str, part: int, columns: list[str]) -> pa.Table | None:

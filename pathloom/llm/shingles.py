@@ -11,7 +11,7 @@ import xxhash
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

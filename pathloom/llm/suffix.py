@@ -7,8 +7,8 @@ that come more than once meet in one task, which builds their suffix array and B
 transform and expands intervals breadth first by backward extension: level by level this derives every
 common prefix below ``length``, and stops there. Neighbours without a shorter common prefix are repeats.
 
-The texts themselves are never shuffled. Tasks of the same part of the input read what was found for
-their part from the shared folder.
+Of the texts only segments below anchors that come more than once are shuffled. Tasks read what was found for
+their part of the input from the shared folder.
 
 Bounds. A task compares blocks of at most ``BLOCK`` bytes plus one anchor's texts. An anchor with over
 ``HOT`` runs is split by a hash of each whole string, which keeps equal strings together.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.scratch import ROW_BITS, Scratch, rows_beside, with_row
+from pathloom.llm.scratch import Scratch, by_part, frugal, rows_beside, with_row
 from pathloom.llm.textgrams import gram_hashes, window_minima
 
 GRAM = 96
@@ -228,8 +228,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _anchor_counts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = int(batch["row"][0].as_py()) >> ROW_BITS if batch.num_rows else 0
+        for part, batch in (x for whole in batches for x in by_part(whole)):
             found = [_runs(data, starts, ends, length)[3:] for _, _, data, starts, ends in _blocks(_texts(batch["text"]), length)]
             if not found:
                 continue
@@ -279,13 +278,10 @@ class _Segments:
 
 def _segment_rows(folder: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, part = None, -1
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if segments is None:
-                part = int(batch["row"][0].as_py()) >> ROW_BITS
-                segments = _Segments(folder, part, length)
+        segments, known = None, -1
+        for part, batch in (x for whole in batches for x in by_part(whole)):
+            if part != known:
+                segments, known = _Segments(folder, part, length), part
             rows: dict[bytes, list] = {}
             for _, _, anchor, splits, piece in segments.of(_texts(batch["text"])):
                 row = rows.get(piece)
@@ -376,13 +372,10 @@ def _compare(length: int):
 
 def _spans(anchors: str, marks: str, length: int, keep: list[str], characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, known = None, {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if segments is None:
-                part = int(batch["row"][0].as_py()) >> ROW_BITS
-                segments = _Segments(anchors, part, length)
+        segments, known, last = None, {}, -1
+        for part, batch in (x for whole in batches for x in by_part(whole)):
+            if part != last:
+                segments, last = _Segments(anchors, part, length), part
                 known = _marks(rows_beside(marks, part, ["name", "at", "bits"]))
             texts = _texts(batch["text"])
             covers: dict[int, np.ndarray] = {}
@@ -457,38 +450,40 @@ def _without(text: bytes, spans: list[dict]) -> bytes:
 
 def repeated_spans(
     docs: DataFrame, text: str | Column = "text", keep: list[str] = ("doc_id",), length: int = 200,
-    stored: bool = False, hot: int = HOT, characters: bool = False,
+    hot: int = HOT, characters: bool = False,
 ) -> DataFrame:
     """Columns ``keep`` of each document, ``text`` and ``kept`` (binary), and ``spans``, the removed bytes.
 
-    ``length`` is above ``GRAM``. ``characters``: only whole characters are removed, so that ``kept`` is UTF-8. ``stored``: ``docs`` is a plain scan of files.
+    ``length`` is above ``GRAM``. ``characters``: only whole characters are removed, so that ``kept`` is UTF-8.
     """
     if length <= GRAM:
         raise ValueError(f"length must be above {GRAM}")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
+    clash = {"text", "kept", "spans"} & {c.lower() for c in keep}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    scratch = Scratch(docs.sparkSession, "suffix")
     names = [f"k{i}" for i in range(len(keep))]
     source = F.col(text) if isinstance(text, str) else text
     columns = [*(F.col(c).alias(n) for c, n in zip(keep, names)), source.cast("binary").alias("text")]
-    rows = with_row(docs, columns, scratch, stored)
+    rows = with_row(docs, columns, scratch)
     bare = rows.select("row", "text")
-    counts = scratch.put(bare.mapInArrow(_anchor_counts(length), "anchor long, part int, n long"), "anchors")
+    counts = scratch.put(bare.mapInArrow(frugal(_anchor_counts(length)), "anchor long, part int, n long"), "anchors")
     twice = counts.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1")
     splits = F.ceil(F.col("total") / F.lit(hot)).cast("long")
     found = counts.join(twice, "anchor").select("part", "anchor", splits.alias("splits"))
     anchors = scratch.beside(found, "found")
     scratch.drop("anchors")
     segments = bare.mapInArrow(
-        _segment_rows(anchors, length),
+        frugal(_segment_rows(anchors, length)),
         "anchor long, salt int, part int, name binary, at int, text binary, n long",
     )
     grouped = segments.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "text")
-    marks = grouped.mapInArrow(_compare(length), "part int, name binary, at int, bits binary")
+    marks = grouped.mapInArrow(frugal(_compare(length)), "part int, name binary, at int, bits binary")
     marks = scratch.beside(marks, "marks")
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{n} {fields[n]}" for n in names)
     out = rows.mapInArrow(
-        _spans(anchors, marks, length, names, characters),
+        frugal(_spans(anchors, marks, length, names, characters)),
         f"{schema}, text binary, kept binary, spans array<struct<start: bigint, end: bigint>>",
     )
     return out.withColumnsRenamed(dict(zip(names, keep)))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.scratch import file_system
+from pathloom.llm.scratch import file_system, frugal
 from pathloom.llm.tokens import encoder
 
 # fixed values of the seekable format
@@ -180,7 +180,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None =
     df = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     ordered = df.withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange(F.col("key").asc_nulls_first(), "tie").sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
-    ordered.select("key", "text").mapInArrow(_write(f"{folder}/data", tokenizer, end_id), MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.select("key", "text").mapInArrow(frugal(_write(f"{folder}/data", tokenizer, end_id)), MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(docs.sparkSession, folder)
 
 
@@ -230,8 +230,8 @@ def read_ids(spark: SparkSession, folder: str, keys: list[int] | None = None) ->
         for k in wanted:
             inside = inside | F.lit(k).between(F.col("low"), F.col("high"))
         files = files.where(inside)
-    # one row per file: dealt out by file, so that each task opens few
-    return files.repartition("file").select("file", "start").mapInArrow(_read(f"{folder}/data", wanted), READ)
+    # one row per file: as many tasks as files
+    return files.repartition(max(1, files.count())).select("file", "start").mapInArrow(frugal(_read(f"{folder}/data", wanted)), READ)
 
 
 def crc32_of(ids: str | Column) -> Column:

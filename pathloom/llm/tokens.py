@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # words a worker remembers; it starts afresh beyond
-MAX_WORDS = 800_000
+MAX_WORDS = 300_000
 # bytes of text turned into words at once
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 _encoders: dict[str, "TextEncoder"] = {}
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringContains, StringEndsWith, StringStartsWith
 
-from pathloom.llm.scratch import ROW_BITS, Scratch, file_system, rows_beside, with_row
+from pathloom.llm.scratch import ROW_BITS, Scratch, by_part, file_system, rows_beside, with_row
 
 SCHEMA = (
     "file string, offset long, record_id string, record_type string, target_uri string, date string, "
@@ -87,8 +87,15 @@ def page_id_of(column: str):
 
 
 def _write(folder: str, beside: str, date: str):
+    def records(batch: pa.RecordBatch, known: dict) -> Iterator[bytes]:
+        for row, key, url, payload, sha1 in zip(*(batch[c].to_pylist() for c in ("row", "key", "url", "payload", "sha1"))):
+            last = known.get(row)
+            own = f"urn:page:{key}" if key is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{sha1}/{row}')}"
+            refers = f"urn:page:{last}" if last is not None and last != key else None
+            yield member(page_record(own, url, date, payload, sha1, refers))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, known, count, size = None, {}, 0, 0
+        stream, part, known, count, size = None, None, {}, 0, 0
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         for batch in batches:
             if not batch.num_rows:
@@ -99,15 +106,13 @@ def _write(folder: str, beside: str, date: str):
                 stream = system.open_output_stream(f"{plain}/{name}", compression=None)
                 info = record_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                 size += stream.write(data := member(info)) or len(data)
-                found = rows_beside(beside, int(batch["row"][0].as_py()) >> ROW_BITS, ["row", "last"])
-                known = {} if found is None else dict(zip(found["row"].to_pylist(), found["last"].to_pylist()))
-            for row, key, url, payload, sha1 in zip(*(batch[c].to_pylist() for c in ("row", "key", "url", "payload", "sha1"))):
-                last = known.get(row)
-                own = f"urn:page:{key}" if key is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{sha1}/{row}')}"
-                refers = f"urn:page:{last}" if last is not None and last != key else None
-                data = member(page_record(own, url, date, payload, sha1, refers))
+            for of, some in by_part(batch):
+                if of != part:
+                    found = rows_beside(beside, part := of, ["row", "last"])
+                    known = {} if found is None else dict(zip(found["row"].to_pylist(), found["last"].to_pylist()))
+                data = b"".join(records(some, known))
                 stream.write(data)
-                count, size = count + 1, size + len(data)
+                count, size = count + some.num_rows, size + len(data)
         if stream is not None:
             stream.close()
             yield pa.record_batch({"file": [name], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
@@ -117,12 +122,12 @@ def _write(folder: str, beside: str, date: str):
 
 def write_warc(
     pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 1000,
-    date: str = "1970-01-01T00:00:00Z", stored: bool = False,
+    date: str = "1970-01-01T00:00:00Z",
 ) -> DataFrame:
     """Write ``pages`` to ``folder``; the stored manifest. Text payloads are UTF-8."""
     scratch = Scratch(pages.sparkSession, "warc")
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = with_row(pages, [F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload")], scratch, stored)
+    rows = with_row(pages, [F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload")], scratch)
     rows = rows.withColumn("sha1", F.sha1("payload"))
     digests = rows.where(F.length("payload") >= min_bytes).select("row", "key", F.unhex("sha1").alias("sha1"))
     digests = scratch.put(digests, "digests")
