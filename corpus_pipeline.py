@@ -8,6 +8,13 @@ back as the next stage's ``docs``. All but the last return the columns of ``docu
 3. repeated_passages: passages of 200 bytes and more that occur more than once are cut from the texts.
 4. benchmark: documents that hold ten consecutive words of a benchmark item go.
 5. packing: token ids in sequences of 2048.
+
+Cases, for every stage. A null or empty text, or one without a letter, is rejected by the first stage; later stages
+keep it where they are called alone: it has no shingles, no passages, no windows, and one end id. Texts are taken
+whole, however long. Of repeated rows one stays in the second stage; rows that share an id and differ in text are
+documents of their own. Ties go to the smallest id, and among equal ids to any one row. An empty table gives an
+empty table. Columns beyond those of ``documents`` are kept, whatever their names, up to packing, which returns its own.
+Packing reads ``doc_id`` and ``text`` alone.
 """
 
 from __future__ import annotations
@@ -24,26 +31,32 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ORACLE_SQL = None
 
 
+def _bundled(docs: DataFrame) -> DataFrame:
+    """``text``, and all other columns as ``doc``, so that no name of theirs meets one of an operator's own."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("doc"), "text")
+
+
+def _unbundled(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select("doc.*", "text").select(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs)
-    names = [c for c in docs.columns if c != "text"]
-    found = langid.predict(docs, model, names)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = langid.predict(_bundled(docs), langid.fit(docs), ["doc"])
+    return _unbundled(found.where(~F.col("rejected")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_duplicates(docs, words=5, stored=True)
+    return minhash.drop_near_duplicates(docs, words=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = [c for c in docs.columns if c != "text"]
-    found = suffix.repeated_spans(docs, keep=names, stored=True, characters=True)
-    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = suffix.repeated_spans(_bundled(docs), keep=["doc"], characters=True)
+    found = found.select("doc", F.when(F.col("text").isNotNull(), F.col("kept").cast("string")).alias("text"))
+    return _unbundled(found, docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), stored=True)
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
