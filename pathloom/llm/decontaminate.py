@@ -72,6 +72,7 @@ def drop_contaminated(
     numbered = rows.select("row", F.lit(None).cast("long").alias("key"), "text")
     found = _contamination(numbered, items, scratch, item_key, item_text, size)
     gone = scratch.put(found.where("n_hit > 0").select("row"), "gone")
+    scratch.drop_others("input", "gone")
     return rows.join(gone, "row", "left_anti").select("doc.*")
 
 

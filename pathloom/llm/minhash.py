@@ -231,6 +231,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     classes = _classes(table, scratch, words, percent, bands, rows)
     gone = classes.where(~F.col("stays")).select(F.shiftright("row", ROW_BITS).cast("int").alias("part"), F.col("row").alias("rep"))
     left = whole.mapInArrow(_held(scratch.beside(gone, "gone"), keep=False), whole.schema)
+    scratch.drop_others("input", "gone")
     return left.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
@@ -318,6 +319,7 @@ def _classes(table: DataFrame, scratch: Scratch, words: int, percent: int, bands
     comp = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("row", F.coalesce("comp", "rep").alias("comp"))
     whole = signed.select("row", "key", "n").join(comp, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     whole = scratch.put(whole, "classes")
+    scratch.drop_others("input", "classes")
     smallest = whole.groupBy("comp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("x"))
     return whole.join(smallest, "comp").select(
         "row", "key", F.col("n").alias("n_shingles"), F.col("x.key").alias("component_id"), (F.col("row") == F.col("x.row")).alias("stays")

@@ -26,20 +26,28 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = stored_folder(spark, name)
+        self._names: list[str] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read back: its tasks never run again."""
         path = f"{self.root}/{name}"
+        self._names.append(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def beside(self, df: DataFrame, name: str) -> str:
         """``df`` stored by its column ``part``, so the task of a part can read its rows alone."""
         path = f"{self.root}/{name}"
+        self._names.append(name)
         df.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
         return path
 
+    def drop_others(self, *kept: str) -> None:
+        """Delete all tables but those named."""
+        self.drop(*(n for n in self._names if n not in kept))
+
     def drop(self, *names: str) -> None:
+        self._names = [n for n in self._names if n not in names]
         for name in names:
             delete_folder(self.spark, f"{self.root}/{name}")
 
