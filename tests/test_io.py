@@ -144,28 +144,50 @@ STREAM = T.StructType([T.StructField("HASHEDFILE", T.StringType()), T.StructFiel
 
 
 def test_streams(spark, tmp_path):
-    src, base, chg, ck = (str(tmp_path / n) for n in ("in", "state", "changes", "ck"))
+    src, chg, ck = (str(tmp_path / n) for n in ("in", "changes", "ck"))
     read = lambda: streams.read_stream(spark, src + "/*", STREAM)
-    day(spark, src, "d1", [("a", "2024-01-01", 1), ("a", "2024-01-01", 1), ("b", "2024-01-01", 2)])
-    streams.stream_diff(read(), base, chg, ck, "HASHEDFILE", "ENTRYTIME", ["v"]).awaitTermination()
-    day(spark, src, "d2", [("b", "2024-01-02", 3), ("c", "2024-01-02", 4), ("a", "2023-01-01", 9)])
-    streams.stream_diff(read(), base, chg, ck, "HASHEDFILE", "ENTRYTIME", ["v"]).awaitTermination()
-    assert {r.HASHEDFILE: r.v for r in sinks.read_latest(spark, base).collect()} == {"a": 1, "b": 3, "c": 4}
-    changes = {(r.HASHEDFILE, r.CHANGE) for r in spark.read.option("basePath", chg).parquet(chg).where("batch = 1").collect()}
-    assert changes == {("b", "updated"), ("c", "added")}
-
-    state, ck2 = str(tmp_path / "latest"), str(tmp_path / "ck2")
-    streams.stream_latest(read(), state, ck2, "HASHEDFILE", "ENTRYTIME", ["v"]).awaitTermination()
-    assert {r.HASHEDFILE: r.v for r in sinks.read_latest(spark, state).collect()} == {"a": 1, "b": 3, "c": 4}
+    diff = lambda: streams.stream_diff(read(), chg, ck, "HASHEDFILE", "ENTRYTIME", ["v"]).awaitTermination()
+    latest = lambda place: {r.HASHEDFILE: r.v for r in streams.read_latest_state(spark, place, STREAM.names).collect()}
+    of_batch = lambda n: {(r.HASHEDFILE, r.v, r.CHANGE) for r in spark.read.option("basePath", chg).parquet(chg).where(f"batch = {n}").collect()}
+    day(spark, src, "d1", [("a", "2024-01-01", 1), ("a", "2024-01-01", 1), ("b", "2024-01-01", 2), (None, "2024-01-01", 8)])
+    diff()
+    day(spark, src, "d2", [("b", "2024-01-02", 3), ("c", "2024-01-02", 4), ("c", "2024-01-02", 7), ("a", "2023-01-01", 9), (None, None, 1)])
+    diff()
+    day(spark, src, "d3", [("b", "2024-01-02", 3), ("a", "2024-01-01", 0)])
+    diff()
+    assert latest(ck) == {"a": 0, "b": 3, "c": 4, None: 8}
+    assert of_batch(0) == {("a", 1, "added"), ("b", 2, "added"), (None, 8, "added")}
+    assert of_batch(1) == {("b", 3, "updated"), ("c", 4, "added")}
+    # an equal row is no change, an earlier tie is one
+    assert of_batch(2) == {("a", 0, "updated")}
+
+    ck2 = str(tmp_path / "ck2")
+    streams.stream_latest(read(), ck2, "HASHEDFILE", "ENTRYTIME", ["v"]).awaitTermination()
+    assert latest(ck2) == {"a": 0, "b": 3, "c": 4, None: 8}
+    with pytest.raises(TypeError):
+        streams.stream_latest(read(), str(tmp_path / "ck5"), "ENTRYTIME", "HASHEDFILE")
 
     plain, ck3 = str(tmp_path / "plain"), str(tmp_path / "ck3")
     streams.stream_append(read(), plain, ck3).awaitTermination()
     streams.stream_append(read(), plain, ck3).awaitTermination()  # nothing new
-    assert spark.read.parquet(plain).count() == 6
+    assert spark.read.parquet(plain).count() == 11
 
     once, ck4 = str(tmp_path / "once"), str(tmp_path / "ck4")
     streams.stream_append(streams.drop_repeats(read(), ["HASHEDFILE", "v"], "ENTRYTIME", "400 days"), once, ck4).awaitTermination()
-    assert spark.read.parquet(once).count() == 5
+    assert spark.read.parquet(once).count() == 9
+
+
+def test_a_small_batch_writes_little_state(spark, tmp_path):
+    src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    held = lambda: sum(p.stat().st_size for p in (tmp_path / "ck" / "state").rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+    rows = spark.range(50_000).select(F.col("id").cast("string").alias("HASHEDFILE"), F.lit("2024-01-01").cast("timestamp").alias("ENTRYTIME"), F.col("id").cast("int").alias("v"))
+    sizes = []
+    for n, part in enumerate((rows, rows.where("v % 100 = 0").withColumn("v", F.col("v") + 1))):
+        part.withColumn("ENTRYTIME", F.col("ENTRYTIME") + F.expr(f"make_interval(0, 0, 0, {n})")).write.parquet(f"{src}/d{n}")
+        streams.stream_latest(streams.read_stream(spark, src + "/*", STREAM), ck, "HASHEDFILE", "ENTRYTIME").awaitTermination()
+        sizes.append(held())
+    assert sizes[1] - sizes[0] < 0.05 * sizes[0]
+    assert streams.read_latest_state(spark, ck, STREAM.names).agg(F.sum("v")).first()[0] == sum(range(50_000)) + 500
 
 
 def test_stream_sums(spark, tmp_path):
