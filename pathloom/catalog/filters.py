@@ -147,6 +147,22 @@ def delete_by_sequence_fallback(spark, sf):
     return filters.delete_by_keys_fallback(rows, moved)
 
 
+@query(
+    "delete_and_rewrite",
+    with_views("inv", "enriched") + f", {DELETIONS}" + """
+SELECT FILE, SEQUENCENAME, OID, PK, SK FROM enriched
+WHERE FILE NOT IN (SELECT FILE FROM del_files) AND SEQUENCENAME NOT IN (SELECT SEQUENCENAME FROM del_seqs)""",
+)
+def delete_and_rewrite(spark, sf):
+    """Two arrivals in a table of snapshots, rows deleted by position, files with hits written again."""
+    rows = enriched(spark, sf).select("FILE", "SEQUENCENAME", "OID", "PK", "SK")
+    held = SnapshotTable(spark, stored_folder(spark, "deletes"))
+    held.append(rows.where("OID % 2 = 0"), "2024-01-01")
+    held.append(rows.where("OID % 2 = 1"), "2024-01-02")
+    delete_rows(held, deletions(held.read()), "2024-01-03", compact=True)
+    return held.read()
+
+
 @query(
     "lookup_first",
     with_views("inv") + "SELECT CLIENT FROM inv WHERE contains(FILE, '/SH007/') ORDER BY FILE, PK LIMIT 1",

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from pathloom.catalog.base import query
 from pathloom.catalog.views import dirs, inv, table, with_views
 from pathloom.operators import aggregates, columns, trees
-from pathloom.sources import files, logs, tables
+from pathloom.session import stored_folder
+from pathloom.sources import files, logs, sinks, tables
+from pathloom.sources.snapshots import SnapshotTable
 
 
 @query("read_table", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders")
@@ -18,6 +20,26 @@ def read_matching(spark, sf):
     return tables.read_matching(spark, f"{sf}/line", "*.parquet").select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
+@query("write_with_history", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 < 2")
+def write_with_history(spark, sf):
+    """Two arrivals and a new state; the table as it was after the second arrival."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    held = SnapshotTable(spark, stored_folder(spark, "history"))
+    held.append(rows.where("o_orderkey % 3 = 0"), "20240101000000")
+    held.append(rows.where("o_orderkey % 3 = 1"), "20240102000000")
+    held.overwrite(rows.where("o_orderkey % 3 = 2"), "20240103000000")
+    return held.read("20240102120000")
+
+
+@query("append_table", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def append_table(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    folder = stored_folder(spark, "appended")
+    for left in range(2):
+        sinks.append_table(rows.where(F.col("o_orderkey") % 2 == left), folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 RAW_SCAN = r"""
 SELECT concat('\jobs\\', c_mktsegment, '//', cast(o_orderkey AS string)) AS FILE,
   CASE WHEN o_orderkey % 11 = 0 THEN 'N/A' ELSE cast(o_orderkey * 7 AS string) END AS FILESIZE,

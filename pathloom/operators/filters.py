@@ -128,6 +128,26 @@ def delete_by_keys_fallback(
     return _drop_keys(_drop_keys(df, file, files), sequence, open_sequences)
 
 
+def deleted_by_keys(
+    df: DataFrame, deletions: DataFrame, file: str = "FILE", sequence: str = "SEQUENCENAME", fallback: bool = False
+) -> DataFrame:
+    """The rows that ``delete_by_keys`` or ``delete_by_keys_fallback`` leave out, once each.
+
+    Blank keys match nothing, so the many rows that have them take no part in the joins.
+    """
+    def hit(column: str, keys: DataFrame) -> DataFrame:
+        return df.where(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").join(keys, F.col(column) == F.col("__k"), "left_semi")
+
+    files, sequences = _keys(deletions, file), _keys(deletions, sequence)
+    by_file = hit(file, files)
+    if fallback:
+        none = by_file.limit(1).agg((F.count(F.lit(1)) == 0).alias("__m"))
+        return by_file.unionByName(hit(sequence, sequences.where(none.scalar())))
+    other = hit(sequence, sequences)
+    named = files.withColumnRenamed("__k", "__f")
+    return by_file.unionByName(other.join(named, F.col(file) == F.col("__f"), "left_anti"))
+
+
 def lookup_first(
     df: DataFrame, term: str, column: str, returned: str, order_by: Sequence[str]
 ) -> DataFrame:

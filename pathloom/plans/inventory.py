@@ -13,6 +13,7 @@ from pathloom.schemas import JUNK_TEXTS
 from pathloom.session import store
 from pathloom.sources import sinks
 from pathloom.sources.files import conform_scan, scan_files
+from pathloom.sources.snapshots import SnapshotTable
 
 
 def build_inventory(
@@ -100,6 +101,15 @@ def delete_and_rewrite(
     return write_with_partitions(delete(rows, deletions), target, base, columns)
 
 
+def delete_rows(table: SnapshotTable, deletions: DataFrame, stamp: str, fallback: bool = False, compact: bool = False) -> int:
+    """Rows deleted by file and sequence from a table of snapshots; the new version.
+
+    Only positions are written. With ``compact``, the files that have any are then written again, and no others.
+    """
+    version = table.delete_by_keys(deletions, stamp, fallback=fallback)
+    return table.compact(stamp) if compact else version
+
+
 def refresh_files(
     existing: DataFrame, scan: DataFrame, client: str, project: str, shots: DataFrame,
     template: Sequence[str] = (), order_by: Sequence[str] = ("FILE",),
