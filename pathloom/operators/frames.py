@@ -1,8 +1,8 @@
 """Frame sequences over many rows: ranges, gaps and summaries.
 
 Frames of a sequence are folded in two steps. First per block of 4096 frame numbers, where a
-list is bounded by the block and Spark combines before the shuffle. Then blocks of a
-sequence are put in order, and each block only hands on its edges. So one sequence that
+list is bounded by the block and Spark combines before the shuffle. Then an edge row of each
+block is put in order by sequence; the blocks stay where they are. So one sequence that
 holds a third of all rows spreads over as many tasks as it has blocks.
 """
 
@@ -20,67 +20,86 @@ from pathloom.operators.grouping import split_rows
 BLOCK = 4096
 
 
+def _key(keys: Sequence[str]) -> Column:
+    """The keys as one value that is never null, so that rows with null keys meet."""
+    return F.struct(*[F.col(k) for k in keys])
+
+
 def _block_edges(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Runs of every block as ``__runs`` of ``{first, last, next}``, joined over block borders.
 
-    ``blocks`` has one row per key and block with the sorted frames in ``__frames``. ``next``
-    is the first frame after the gap that follows a run, null for the last run of a key.
+    ``blocks`` has one row per ``__key`` and block with the sorted frames in ``__frames``. ``next`` is the first frame
+    after the gap that follows a run, null for the last run of a key. Only an edge row per block (five numbers)
+    is sorted by key; blocks stay where they were grouped and take their edges from there.
     """
-    order = Window.partitionBy(*keys).orderBy("__block")
+    order = Window.partitionBy("__key").orderBy("__block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     local = blocks.withColumn("__local", ranges.islands(F.col("__frames"))).withColumns(
         {"__lo": F.array_min("__frames"), "__hi": F.array_max("__frames")}
-    )
-    linked = local.withColumns(
-        {"__prev_hi": F.lag("__hi").over(order), "__next_lo": F.lead("__lo").over(order)}
-    )
-    goes_on = F.coalesce(F.col("__prev_hi") == F.col("__lo") - 1, F.lit(False))
-    last_start = F.element_at("__local", -1)["first"]
-    opened = F.when((F.size("__local") == 1) & goes_on, None).otherwise(last_start)
-    carried = linked.withColumn(
-        "__carry", F.last(F.when(F.size("__local") > 0, opened), ignorenulls=True).over(earlier)
-    )
+    ).drop("__frames")
+    edges = local.select(
+        "__key", "__block", "__lo", "__hi", F.size("__local").alias("__n"), F.try_element_at("__local", F.lit(-1))["first"].alias("__open")
+    ).withColumns({"__prev_hi": F.lag("__hi").over(order), "__next_lo": F.lead("__lo").over(order)})
+    edges = edges.withColumn("__goes_on", F.coalesce(F.col("__prev_hi") == F.col("__lo") - 1, F.lit(False)))
+    opened = F.when(~((F.col("__n") == 1) & F.col("__goes_on")), F.col("__open"))
+    edges = edges.withColumn("__carry", F.last(opened, ignorenulls=True).over(earlier))
+    edges = edges.select(F.col("__key").alias("__ekey"), F.col("__block").alias("__eblock"), "__next_lo", "__goes_on", "__carry")
+    joined = local.join(edges, (F.col("__key") == F.col("__ekey")) & (F.col("__block") == F.col("__eblock")))
     n = F.size("__local")
     runs = F.transform(
         "__local",
         lambda r, i: F.struct(
-            F.when((i == 0) & goes_on, F.col("__carry")).otherwise(r["first"]).alias("first"),
+            F.when((i == 0) & F.col("__goes_on"), F.col("__carry")).otherwise(r["first"]).alias("first"),
             r["last"].alias("last"),
             F.when(i < n - 1, F.get("__local", i + 1)["first"])
             .otherwise(F.col("__next_lo")).alias("next"),
         ),
     )
     closed = F.filter(runs, lambda r: r["next"].isNull() | (r["next"] > r["last"] + 1))
-    return carried.withColumn("__runs", closed).drop(
-        "__local", "__prev_hi", "__next_lo", "__carry", "__frames"
+    held = [c for c in blocks.columns if c not in ("__key", "__frames")]
+    return joined.withColumn("__runs", closed).select(
+        *[F.col("__key")[k].alias(k) for k in keys], *held, "__lo", "__hi", "__runs"
     )
 
 
 def _blocks_of_frames(df: DataFrame, keys: Sequence[str], frame: Column, aggs: Sequence[Column] = ()) -> DataFrame:
-    rows = df.withColumn("__frame", frame.cast("bigint"))
-    rows = rows.withColumn("__block", F.floor(F.col("__frame") / BLOCK))
-    return rows.groupBy(*keys, "__block").agg(
+    rows = df.withColumns({"__frame": frame.cast("bigint"), "__key": _key(keys)})
+    # rows without a frame have a block of their own, before all others
+    rows = rows.withColumn("__block", F.coalesce(F.floor(F.col("__frame") / BLOCK), F.lit(-(1 << 62))))
+    return rows.groupBy("__key", "__block").agg(
         F.array_sort(F.collect_set("__frame")).alias("__frames"), *aggs
     )
 
 
-def _blocks_of_intervals(df: DataFrame, keys: Sequence[str], intervals: Column) -> DataFrame:
-    """As above for ``{first, last}`` lists, each clipped to the blocks it touches."""
-    rows = df.select(*keys, F.explode(intervals).alias("__r"))
-    first, last = F.col("__r.first"), F.col("__r.last")
-    rows = rows.withColumn(
-        "__block", F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK)))
-    )
-    clipped = F.struct(
-        F.greatest(first, F.col("__block") * BLOCK).alias("first"),
-        F.least(last, F.col("__block") * BLOCK + BLOCK - 1).alias("last"),
-    )
-    numbers = F.flatten(
-        F.transform(F.collect_set(clipped), lambda c: F.sequence(c["first"], c["last"]))
-    )
-    return rows.groupBy(*keys, "__block").agg(
-        F.array_sort(F.array_distinct(numbers)).alias("__frames")
-    )
+def united_intervals(df: DataFrame, keys: Sequence[str], first: str = "FIRSTFRAME", last: str = "LASTFRAME") -> DataFrame:
+    """Intervals of a key that overlap or touch made one: ``keys``, ``first`` and ``last``, a row per union.
+
+    A sweep over interval rows, without the numbers inside. Of intervals with equal starts the longest is kept
+    before the shuffle, so a block of 4096 starts has as many rows at most, however many intervals there are. Within
+    a block an interval opens a run where it begins beyond all that came before. Blocks hand on how far they
+    reach and which run they leave open: one row per block is sorted by key.
+    """
+    rows = df.where(F.col(last) >= F.col(first)).groupBy(_key(keys).alias("__key"), F.col(first).alias("__f")).agg(F.max(last).alias("__l"))
+    rows = rows.withColumn("__block", F.floor(F.col("__f") / BLOCK))
+    inside = Window.partitionBy("__key", "__block").orderBy("__f")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
+    # what starts alone within its block, and how far the block reached before it
+    local = rows.withColumn("__reach", F.max("__l").over(so_far))
+    local = local.withColumn("__starts", F.coalesce(F.col("__f") > F.col("__reach") + 1, F.lit(True)))
+    order = Window.partitionBy("__key").orderBy("__block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    edges = local.groupBy("__key", "__block").agg(
+        F.max("__l").alias("__hi"), F.max(F.when(F.col("__starts"), F.col("__f"))).alias("__open")
+    ).withColumn("__before", F.max("__hi").over(earlier))
+    # the block's last own start begins a run only if nothing before the block reaches it
+    edges = edges.withColumn("__begun", F.when(F.coalesce(F.col("__open") > F.col("__before") + 1, F.lit(True)), F.col("__open")))
+    edges = edges.withColumn("__carry", F.last("__begun", ignorenulls=True).over(earlier))
+    edges = edges.select(F.col("__key").alias("__ekey"), F.col("__block").alias("__eblock"), "__before", "__carry")
+    joined = local.join(edges, (F.col("__key") == F.col("__ekey")) & (F.col("__block") == F.col("__eblock")))
+    begins = F.col("__starts") & F.coalesce(F.col("__f") > F.col("__before") + 1, F.lit(True))
+    own = F.last(F.when(begins, F.col("__f")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = joined.select("__key", "__l", F.coalesce(own, F.col("__carry")).alias(first))
+    return runs.groupBy("__key", first).agg(F.max("__l").alias(last)).select(*[F.col("__key")[k].alias(k) for k in keys], first, last)
 
 
 def _texts(blocks: DataFrame) -> DataFrame:
@@ -155,11 +174,10 @@ def missing_count(df: DataFrame, keys: Sequence[str], frame: Column) -> DataFram
 
 def union_ranges(df: DataFrame, keys: Sequence[str], text: Column, name: str = "MISSINGFRAMES") -> DataFrame:
     """Range texts of a group parsed, united and written again; no text gives a blank."""
-    found = df.select(*keys, ranges.parse_intervals(text).alias("__iv"))
-    united = (
-        _texts(_block_edges(_blocks_of_intervals(found, keys, F.col("__iv")), keys))
-        .groupBy(*keys)
-        .agg(_joined("__span").alias("__text"))
+    found = df.select(*keys, F.inline(ranges.parse_intervals(text)).alias("__first", "__last"))
+    part = F.struct("__first", ranges.range_text(F.col("__first"), F.col("__last")).alias("t"))
+    united = united_intervals(found, keys, "__first", "__last").groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), ", ").alias("__text")
     )
     groups = df.select(*keys).distinct()
     renamed = united.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__text")
