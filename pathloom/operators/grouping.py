@@ -1,19 +1,20 @@
 """Numbering and listing inside groups of any size.
 
-A window over a plain group key sends the whole group to one task. Here the order of a
-group starts with a ``coarse`` part that splits it into many buckets: rows are numbered per
-bucket, and each bucket gets the count of the buckets before it. Only bucket counts meet
-per group, never the rows.
+A window over a plain group key sends the whole group to one task. Here rows are sorted by range
+(``operators.ranking``), so a group lies over as many tasks as it has ranges, and only the
+counts of ranges meet per group, never the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.operators.ranking import number_in_order
+
 # rows per list cell; a group below this size gives exactly one list
 CHUNK_ROWS = 10_000
 
@@ -31,24 +32,7 @@ def number_rows(
     name: str = "ROW_NO",
 ) -> DataFrame:
     """1-based position of each row in its ``keys`` group, ordered by ``coarse`` then ``fine``."""
-    buckets = [f"__b{i}" for i in range(len(coarse))]
-    rows = df.withColumns(dict(zip(buckets, coarse)))
-    group = [*keys, *buckets]
-    renamed = [f"__r{i}" for i in range(len(group))]
-    before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .select(*[F.col(c).alias(r) for c, r in zip(group, renamed)], "__before")
-    )
-    numbered = rows.withColumn(
-        "__rn", F.row_number().over(Window.partitionBy(*group).orderBy(*fine))
-    )
-    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in zip(group, renamed)]
-    return numbered.join(offsets, same).select(
-        *df.columns, (F.col("__before") + F.col("__rn")).alias(name)
-    )
+    return number_in_order(df, keys, [*coarse, *fine], name)
 
 
 def chunked_lists(
