@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from pathloom.catalog.base import query
 from pathloom.catalog.views import dirs, instances, spread, statuses, table, with_views
 from pathloom.functions import nested
-from pathloom.operators import tables, trees
+from pathloom.operators import columns, tables, trees
 from pathloom.plans.instances import group_configs as flatten_groups
 
 _STEPS = """
@@ -166,6 +166,30 @@ def nested_paths(spark, sf):
     return rows.select("event_id", F.inline(nested.json_nodes(cell, 3)).alias("path", "data_type", "value"))
 
 
+@query(
+    "nested_paths_deep",
+    """WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events),
+t AS (SELECT event_id, k, concat('{"c":[', k, ',{"d":{"e":{"f":"x","g":[]}}}]}') AS b FROM e)
+SELECT event_id, '(root)' AS path, 'dict' AS data_type, concat('{"a":[', k, ',{"b":', b, '}],"k":', k, '}') AS value FROM t UNION ALL
+SELECT event_id, '(root)[''k'']', 'int', k FROM t UNION ALL
+SELECT event_id, '(root)[''a'']', 'list', concat('[', k, ',{"b":', b, '}]') FROM t UNION ALL
+SELECT event_id, '(root)[''a''][0]', 'int', k FROM t UNION ALL
+SELECT event_id, '(root)[''a''][1]', 'dict', concat('{"b":', b, '}') FROM t UNION ALL
+SELECT event_id, '(root)[''a''][1][''b'']', 'dict', b FROM t UNION ALL
+SELECT event_id, '(root)[''a''][1][''b''][''c'']', 'list', concat('[', k, ',{"d":{"e":{"f":"x","g":[]}}}]') FROM t UNION ALL
+SELECT event_id, '(root)[''a''][1][''b''][''c''][0]', 'int', k FROM t UNION ALL
+SELECT event_id, '(root)[''a''][1][''b''][''c''][1]', 'dict', '{"d":{"e":{"f":"x","g":[]}}}' FROM t UNION ALL
+SELECT event_id, '(root)[''a''][1][''b''][''c''][1][''d'']', 'dict', '{"e":{"f":"x","g":[]}}' FROM t UNION ALL
+SELECT event_id, '(root)[''a''][1][''b''][''c''][1][''d''][''e'']', 'dict', '{"f":"x","g":[]}' FROM t UNION ALL
+SELECT event_id, '(root)[''a''][1][''b''][''c''][1][''d''][''e''][''f'']', 'str', '"x"' FROM t UNION ALL
+SELECT event_id, '(root)[''a''][1][''b''][''c''][1][''d''][''e''][''g'']', 'list', '[]' FROM t""",
+)
+def nested_paths_deep(spark, sf):
+    k = F.get_json_object("props", "$.k")
+    cell = F.concat(F.lit('{"k": '), k, F.lit(', "a": ['), k, F.lit(', {"b": {"c": ['), k, F.lit(', {"d": {"e": {"f": "x", "g": []}}}]}}]}'))
+    return columns.nested_paths(spread(table(spark, sf, "events"), "event_id"), cell, ["event_id"])
+
+
 @query("get_by_path", "SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k, NULL::varchar AS none FROM events")
 def get_by_path(spark, sf):
     return table(spark, sf, "events").select(

@@ -47,8 +47,15 @@ def _node_type(value: Column) -> Column:
 def json_nodes(json: Column, depth: int = 3) -> Column:
     """Every node of a JSON cell down to ``depth``: path, type and text of the value.
 
-    All levels are built inside the row, so one scan and no shuffle is needed.
+    All levels are built inside the row, so one scan and no shuffle is needed. ``operators.columns.nested_paths``
+    goes on to the last level.
     """
+    levels = json_levels(json, F.lit("(root)"), depth)
+    return F.transform(levels, lambda n: F.struct(n["path"].alias("path"), n["data_type"].alias("data_type"), n["value"].alias("value")))
+
+
+def json_levels(json: Column, root: Column, depth: int) -> Column:
+    """The nodes of a cell whose own path is ``root``, each with its ``level`` below it."""
     def node(path: Column, value: Column) -> Column:
         return F.struct(path.alias("path"), value.alias("value"))
 
@@ -67,19 +74,20 @@ def json_nodes(json: Column, depth: int = 3) -> Column:
         empty = F.array().cast("array<struct<path:string,value:variant>>")
         return F.coalesce(named, placed, none, empty)
 
-    level = F.array(node(F.lit("(root)"), F.try_parse_json(json)))
-    levels = [level]
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, children))
-        levels.append(level)
-    return F.transform(
-        F.concat(*levels),
-        lambda n: F.struct(
+    def shown(number: int):
+        return lambda n: F.struct(
             n["path"].alias("path"),
             _node_type(n["value"]).alias("data_type"),
             F.to_json(n["value"]).alias("value"),
-        ),
-    )
+            F.lit(number).alias("level"),
+        )
+
+    level = F.array(node(root, F.try_parse_json(json)))
+    levels = [F.transform(level, shown(0))]
+    for number in range(1, depth + 1):
+        level = F.flatten(F.transform(level, children))
+        levels.append(F.transform(level, shown(number)))
+    return F.concat(*levels)
 
 
 def get_by_path(json: Column, path: Sequence[str | int], dtype: str = "string") -> Column:

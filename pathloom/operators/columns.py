@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.functions.nested import json_levels
 from pathloom.functions.paths import conform_slashes as slash_text
 from pathloom.functions.paths import map_roots as root_text
 from pathloom.schemas import STORAGE_ROOTS
+from pathloom.session import store
 
 
 def _col(name: str) -> Column:
@@ -145,3 +148,24 @@ def records_json(df: DataFrame, name: str = "RECORD") -> DataFrame:
     """One JSON object per row; dots in column names become underscores."""
     plain = df.toDF(*[c.replace(".", "_") for c in df.columns])
     return plain.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(name))
+
+
+def nested_paths(df: DataFrame, json: Column, keep: Sequence[str] = (), step: int = 3) -> DataFrame:
+    """Every node of a JSON cell at any depth, a row each: ``keep``, ``path``, ``data_type`` and ``value``.
+
+    ``step`` levels are built inside the rows at a time. Nodes at the last of them that have children are the cells
+    of the next round, so there are as many rounds as the deepest cell needs and only what is deep takes part.
+    """
+    kept = [f"__k{i}" for i in range(len(keep))]
+    cells = df.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], json.alias("__cell"), F.lit("(root)").alias("__root"))
+    rounds: list[DataFrame] = []
+    while True:
+        nodes = store(cells.select(*kept, F.inline(json_levels(F.col("__cell"), F.col("__root"), step))))
+        # the root of a later round is a node of the round before
+        rounds.append(nodes if not rounds else nodes.where("level > 0"))
+        deeper = nodes.where((F.col("level") == step) & F.col("data_type").isin("dict", "list") & ~F.col("value").isin("{}", "[]"))
+        if deeper.isEmpty():
+            break
+        cells = deeper.select(*kept, F.col("value").alias("__cell"), F.col("path").alias("__root"))
+    whole = reduce(DataFrame.unionByName, rounds)
+    return whole.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "path", "data_type", "value")
