@@ -256,6 +256,23 @@ def provision_links(spark, sf):
     return _provision(spark, sf)
 
 
+@query(
+    "provision_links_versions",
+    _PROVISION + """, top AS (SELECT item, max("VERSION") AS m FROM version_log GROUP BY item),
+named AS (SELECT FILE, PK, SK, concat(replace(replace(PROVISIONEDLINK, 'YYYYMMDD', '20240506'), 'CUSTOMVAR', 'final'), '/',
+  'v', lpad(cast(coalesce(m, 0) + 1 AS varchar), 4, '0')) AS PROVISIONEDLINK FROM expanded LEFT JOIN top ON item = concat('item', cast(SK AS varchar)))
+SELECT FILE, PK, SK, PROVISIONEDLINK FROM (SELECT *, row_number() OVER (PARTITION BY PROVISIONEDLINK, FILE ORDER BY PK, SK) AS r FROM named) WHERE r = 1""",
+)
+def provision_links_versions(spark, sf):
+    """Items with versions in the log; of the rows of a variable the one with the lowest order decides."""
+    known = spark.createDataFrame(
+        [("CUSTOMVAR", "ignore", "no", 2), ("CUSTOMVAR", "remap", "final", 1), ("PROJECT", "ignore", "", 3)], "Variable string, Action string, Value string, n int")
+    rows = template_rows(spark, sf).withColumn("PARENTITEM", F.concat(F.lit("item"), F.col("SK").cast("string")))
+    layout = template(spark, sf).withColumn("PROVISIONEDLINK", F.concat("PROVISIONEDLINK", F.lit("/VERSION")))
+    links = packages.provision_links(rows, layout, known, version_log(spark, sf), "2024-05-06 10:00:00", ["PK", "SK"], mapping_order=F.col("n"))
+    return links.select("FILE", "PK", "SK", "PROVISIONEDLINK")
+
+
 @query(
     "reviewed_links",
     _PROVISION + "SELECT FILE, PK, PROVISIONEDLINK, CASE WHEN count(*) OVER (PARTITION BY PROVISIONEDLINK) > 1 THEN 'invalid' ELSE 'valid' END AS STATUS FROM links",

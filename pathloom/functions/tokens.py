@@ -22,6 +22,11 @@ def pieces(text: Column, delimiters: Sequence[str] = TOKEN_DELIMITERS) -> Column
     return F.split(text, f"(?<={chars})|(?={chars})")
 
 
+def dollar_pieces(text: Column) -> Column:
+    """Text cut before and after each ``$NAME``."""
+    return F.regexp_extract_all(text, F.lit(r"\$[A-Za-z0-9_]+|[^$]+|\$"), F.lit(0))
+
+
 def is_placeholder(piece: Column) -> Column:
     """Upper-case text of two characters or more with at least one letter."""
     return (F.length(piece) > 1) & (piece == F.upper(piece)) & (piece != F.lower(piece))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pathloom.functions import names, tokens
 from pathloom.operators.aggregates import highest_version
 from pathloom.operators.grouping import salted_join, spread_blank
 from pathloom.schemas import SESSION_PLACEHOLDERS, TOKEN_DELIMITERS
+from pathloom.session import store
 
 
 def _texts(df: DataFrame) -> list[str]:
@@ -88,30 +89,46 @@ def _named(df: DataFrame, values: Sequence[Column], names_out: Sequence[str]) ->
     return df.select(*[v.alias(f"__out{i}") for i, v in enumerate(values)]).toDF(*names_out)
 
 
-def _mapped_pieces(df: DataFrame, column: str, cut: Column, mapping: DataFrame, key: str, value: str) -> DataFrame:
-    """Distinct texts cut into pieces, with the mapped value of each piece."""
-    texts = df.select(F.col(column).alias("TEXT")).where("TEXT is not null").distinct()
-    known = mapping.groupBy(F.col(key).alias("__key")).agg(F.min_by(value, F.struct(value)).alias("__value"))
-    cut_up = texts.select("TEXT", F.posexplode(cut).alias("__at", "__piece"))
-    return cut_up.join(known, F.col("__piece") == F.col("__key"), "left")
-
-
 def _put_back(df: DataFrame, column: str, filled: DataFrame) -> DataFrame:
     joined = df.join(filled, F.col(column) == F.col("TEXT"), "left")
     return joined.withColumn(column, F.coalesce("__filled", F.col(column))).select(*df.columns)
 
 
-def _refill(df: DataFrame, column: str, cut: Column, mapping: DataFrame, key: str, value: str) -> DataFrame:
-    """Pieces replaced by mapped values, done once per distinct text.
+def _refill(
+    df: DataFrame, columns: Sequence[str], cut: Callable[[Column], Column], mapping: DataFrame, key: str, value: str
+) -> DataFrame:
+    """Pieces of the text columns replaced by mapped values, all columns in one pass.
 
-    A group holds the pieces of one text, so it is as large as that text and no larger.
+    Rows are stored with a number. The pieces of all columns are exploded once and joined once; the hits of a row come
+    back as one small map by column and place, and the texts are put together where they are. A row's map is
+    as large as its texts and no larger.
     """
-    pieces = _mapped_pieces(df, column, cut, mapping, key, value)
-    shown = F.struct("__at", F.coalesce("__value", F.col("__piece")).alias("t"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["t"]), "")
-    changed = F.max(F.col("__value").isNotNull())
-    filled = pieces.groupBy("TEXT").agg(whole.alias("__filled"), changed.alias("__c")).where("__c").drop("__c")
-    return _put_back(df, column, filled)
+    if not columns:
+        return df
+    rows = store(df.withColumn("__row", F.monotonically_increasing_id()))
+    none = F.array().cast("array<struct<column:int,at:int,piece:string>>")
+
+    def located(number: int, column: str) -> Column:
+        parts = F.transform(cut(F.col(f"`{column}`")), lambda p, i: F.struct(F.lit(number).alias("column"), i.alias("at"), p.alias("piece")))
+        return F.coalesce(parts, none)
+
+    pieces = rows.select("__row", F.inline(F.concat(*[located(n, c) for n, c in enumerate(columns)])))
+    known = mapping.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min_by(value, F.struct(value)).alias("__value"))
+    found = pieces.join(known.where("__value IS NOT NULL"), F.col("piece") == F.col("__key"))
+    place = F.struct("column", "at")
+    hits = found.groupBy(F.col("__row").alias("__of")).agg(F.map_from_entries(F.collect_list(F.struct(place, "__value"))).alias("__hits"))
+    joined = rows.join(hits, F.col("__row") == F.col("__of"), "left")
+
+    def filled(number: int, column: str) -> Column:
+        text = F.col(f"`{column}`")
+
+        def shown(piece: Column, at: Column) -> Column:
+            return F.coalesce(F.try_element_at("__hits", F.struct(F.lit(number).alias("column"), at.alias("at"))), piece)
+
+        return F.when(F.col("__hits").isNull(), text).otherwise(F.array_join(F.transform(cut(text), shown), ""))
+
+    spots = {c: n for n, c in enumerate(columns)}
+    return _named(joined, [filled(spots[c], c) if c in spots else F.col(f"`{c}`") for c in df.columns], df.columns)
 
 
 def remap_actions(mapping: DataFrame, order: Column | None = None) -> DataFrame:
@@ -128,8 +145,7 @@ def remap_actions(mapping: DataFrame, order: Column | None = None) -> DataFrame:
 
 def resolve_variables(df: DataFrame, column: str, mapping: DataFrame, order: Column | None = None) -> DataFrame:
     """Placeholders still in a text filled from the mapping table; ``ignore`` leaves them."""
-    cut = tokens.pieces(F.col("TEXT"))
-    return _refill(df, column, cut, remap_actions(mapping, order), "Variable", "Value")
+    return _refill(df, [column], tokens.pieces, remap_actions(mapping, order), "Variable", "Value")
 
 
 def unknown_variables(
@@ -145,7 +161,7 @@ def unknown_variables(
 
 def fill_session(
     df: DataFrame, mapping: DataFrame, padding_style: str = "standard", ext_case: str = "default",
-    extra: Mapping[str, Column] | None = None,
+    extra: Mapping[str, Column] | None = None, order: Column | None = None,
 ) -> DataFrame:
     """Placeholders in every text column filled from the row itself, then from the mapping."""
     values = row_fill(df.columns, (), padding_style, ext_case, extra)
@@ -154,9 +170,7 @@ def fill_session(
         tokens.fill_tokens(F.col(f"`{c}`"), values) if c in columns else F.col(f"`{c}`") for c in df.columns
     ]
     out = _named(df, filled, df.columns)
-    for c in columns:
-        out = resolve_variables(out, c, mapping)
-    return out
+    return _refill(out, columns, tokens.pieces, remap_actions(mapping, order), "Variable", "Value")
 
 
 def virtual_values(versions: Column | None, day: str | Column) -> dict[str, Column]:
@@ -245,9 +259,8 @@ def dollar_columns(df: DataFrame, text: str = "DEST", target: str = "DESTPREVIEW
 
 def dollar_externals(df: DataFrame, column: str, values: DataFrame, name: str = "NAME", value: str = "VALUE") -> DataFrame:
     """``$NAME`` in a text replaced by the value of a table; unknown names stay."""
-    cut = F.regexp_extract_all(F.col("TEXT"), F.lit(r"\$[A-Za-z0-9_]+|[^$]+|\$"), F.lit(0))
     marked = values.select(F.concat(F.lit("$"), F.col(name)).alias(name), F.col(value).cast("string").alias(value))
-    return _refill(df, column, cut, marked, name, value)
+    return _refill(df, [column], tokens.dollar_pieces, marked, name, value)
 
 
 def fill_version(df: DataFrame, column: str, registry: DataFrame, name: str = "IDENTIFIER", entry: str = "ENTRY") -> DataFrame:

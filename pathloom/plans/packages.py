@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.paths import link_in_package, relative_path
@@ -15,6 +15,7 @@ from pathloom.operators import dedup, frames, templates
 def provision_links(
     rows: DataFrame, template: DataFrame, mapping: DataFrame, log: DataFrame, day: str,
     order_by: Sequence[str] = ("FILE",), padding_style: str = "standard", ext_case: str = "default",
+    mapping_order: Column | None = None,
 ) -> DataFrame:
     """Requested links with every placeholder filled and one row per link and source.
 
@@ -27,7 +28,7 @@ def provision_links(
     extra = {c: F.col(c) for c in ("VERSION", "YYYYMMDD", "PKGVERSION3PADDED")}
     values = templates.row_fill(dated.columns, (), padding_style, ext_case, extra)
     filled = dated.withColumn("PROVISIONEDLINK", fill_tokens(F.col("PROVISIONEDLINK"), values))
-    mapped = templates.resolve_variables(filled, "PROVISIONEDLINK", mapping).drop(*extra)
+    mapped = templates.resolve_variables(filled, "PROVISIONEDLINK", mapping, mapping_order).drop(*extra)
     return dedup.drop_double_dupes(mapped, "PROVISIONEDLINK", "FILE", order_by)
 
 
