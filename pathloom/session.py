@@ -74,6 +74,11 @@ def stored_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored_folders(spark: SparkSession) -> list[str]:
+    """Folders noted so far for ``clear_stored``."""
+    return list(_stored[spark.sparkContext.applicationId])
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
