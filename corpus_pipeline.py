@@ -15,16 +15,22 @@ whole, however long. Of repeated rows one stays in the second stage; rows that s
 documents of their own. Ties go to the smallest id, and among equal ids to any one row. An empty table gives an
 empty table. Columns beyond those of ``documents`` are kept, whatever their names, up to packing, which returns its own.
 Packing reads ``doc_id`` and ``text`` alone.
+
+A stage deletes what the stage before it stored beside its result: write a stage's result before calling the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import decontaminate, langid, minhash, packing, suffix
 from pathloom.llm.scratch import Scratch
+from pathloom.session import delete_folder, stored_folders
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # no SQL: compression sizes, minhashes and token ids
@@ -63,12 +69,32 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
+# what the last stage of each application has stored for its result
+_spent: dict[str, list[str]] = {}
+
+
+def _stage(operate: Callable) -> Callable:
+    """``operate`` as a stage: its ``docs`` are the written result of the stage before, so what that one stored goes."""
+
+    @wraps(operate)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        application = spark.sparkContext.applicationId
+        for folder in _spent.pop(application, []):
+            delete_folder(spark, folder)
+        before = set(stored_folders(spark))
+        out = operate(spark, docs, sf_dir)
+        _spent[application] = [f for f in stored_folders(spark) if f not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("benchmark", benchmark),
-    ("packing", pack),
+    ("language", _stage(language)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("repeated_passages", _stage(repeated_passages)),
+    ("benchmark", _stage(benchmark)),
+    ("packing", _stage(pack)),
 ]
 
 
