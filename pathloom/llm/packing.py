@@ -27,11 +27,11 @@ from pathloom.llm.scratch import Scratch, frugal
 from pathloom.llm.tokens import encoder
 
 
-def _cut(path: str, capacity: int, end_id: int | None):
+def _cut(path: str, capacity: int, end_id: int | None, small: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        tokens = encoder(path)
+        tokens = encoder(path, small)
         for batch in batches:
             ids, ends = tokens.encode(batch["text"])
             starts = np.append(0, ends[:-1])
@@ -62,12 +62,12 @@ def _cut(path: str, capacity: int, end_id: int | None):
     return run
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, scratch: Scratch, capacity: int = 2048, end_id: int | None = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, scratch: Scratch, capacity: int = 2048, end_id: int | None = 0, key: str = "doc_id", text: str = "text", small: bool = False) -> DataFrame:
     """Stored pieces of the documents: the key as ``doc``, ``piece``, ``start``, ``length``, ``ids`` (unsigned little-endian 32 bit), ``part`` and ``rank`` among the pieces of that length in the part."""
     df = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
     kind = df.schema["doc"].dataType.simpleString()
     schema = f"doc {kind}, piece int, start long, length long, ids binary, part int, rank long"
-    return scratch.put(df.mapInArrow(frugal(_cut(tokenizer, capacity, end_id)), schema), "pieces")
+    return scratch.put(df.mapInArrow(frugal(_cut(tokenizer, capacity, end_id, small)), schema), "pieces")
 
 
 class Plan:
@@ -179,5 +179,5 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each piece with its ids, its sequence and its place there."""
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = cut_pieces(docs, tokenizer, scratch, capacity, end_id, key, text)
+    pieces = cut_pieces(docs, tokenizer, scratch, capacity, end_id, key, text, small=True)
     return place_pieces(pieces, capacity).withColumnRenamed("doc", key)

@@ -10,18 +10,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # words a worker remembers; it starts afresh beyond
-MAX_WORDS = 300_000
+MAX_WORDS = 800_000
 # bytes of text turned into words at once
-SLICE = 4 << 20
+SLICE = 8 << 20
 
-_encoders: dict[str, "TextEncoder"] = {}
+# the same for a worker that shares its memory with what other steps left
+FEW_WORDS = 300_000
+SMALL_SLICE = 4 << 20
 
+_encoders: dict[tuple[str, bool], "TextEncoder"] = {}
 
-def encoder(path: str) -> "TextEncoder":
-    """The worker's encoder for the tokenizer file at ``path``."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+
+def encoder(path: str, small: bool = False) -> "TextEncoder":
+    """The worker's encoder for the tokenizer file at ``path``; a ``small`` one remembers fewer words."""
+    if (path, small) not in _encoders:
+        _encoders[path, small] = TextEncoder(path, *((FEW_WORDS, SMALL_SLICE) if small else ()))
+    return _encoders[path, small]
 
 
 class TextEncoder:
@@ -31,7 +35,8 @@ class TextEncoder:
     the ids of a text are those of its words in order. Other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_words: int = MAX_WORDS, slice_bytes: int = SLICE):
+        self._max_words, self._slice = max_words, slice_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -91,7 +96,7 @@ class TextEncoder:
             ends = np.cumsum([len(f) for f in found], dtype=np.int64)
             return np.fromiter((i for f in found for i in f), np.uint32, int(ends[-1]) if len(ends) else 0), ends
         parts, ends, base = [], [], 0
-        for piece in _slices(texts):
+        for piece in _slices(texts, self._slice):
             ids, end = self._encode_words(piece)
             parts.append(ids)
             ends.append(end + base)
@@ -101,7 +106,7 @@ class TextEncoder:
         return np.concatenate(parts), np.concatenate(ends)
 
     def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._code) > MAX_WORDS:
+        if len(self._code) > self._max_words:
             self._forget()
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
@@ -120,11 +125,11 @@ class TextEncoder:
         return ids, ends
 
 
-def _slices(texts: pa.Array):
+def _slices(texts: pa.Array, size: int):
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
-        limit = SLICE + (sizes[at - 1] if at else 0)
+        limit = size + (sizes[at - 1] if at else 0)
         to = max(at + 1, int(np.searchsorted(sizes, limit, "right")))
         yield texts.slice(at, to - at)
         at = to
