@@ -6,6 +6,8 @@ below one anchor are compared, and anchors that occur once are never compared. T
 that come more than once meet in one task, which builds their suffix array and Burrows-Wheeler
 transform and expands intervals breadth first by backward extension: level by level this derives every
 common prefix below ``length``, and stops there. Neighbours without a shorter common prefix are repeats.
+Stretches of the texts go into the array only if the first and the last ``PROBE`` bytes of their strings
+come twice among the texts of the task.
 
 Of the texts only segments below anchors that come more than once are shuffled. Tasks read what was found for
 their part of the input from the shared folder.
@@ -32,8 +34,10 @@ from pathloom.llm.scratch import Scratch, by_part, frugal, rows_beside, with_row
 from pathloom.llm.textgrams import gram_hashes, window_minima
 
 GRAM = 96
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 HOT = 1_000_000
+# bytes at both ends of a string that must come twice before it is compared
+PROBE = 128
 # bytes hashed at once, and of a text that is taken in pieces
 SLICE = 128 << 10
 PIECE = 4 << 20
@@ -48,43 +52,52 @@ POSITION_BITS = 24
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of ``data`` in order of their first ``depth`` bytes at least, by prefix doubling."""
+    """Rotations of ``data`` in order of their first ``depth`` bytes at least.
+
+    Ranks by 8 bytes are put together to ranks by three times as many, as long as three ranks fit a
+    word, and by twice as many beyond.
+    """
     n = len(data)
     ring = np.concatenate([data, np.resize(data, 8)])
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key <<= np.uint64(8)
         key |= ring[j : j + n]
-    order = np.argsort(key)
-    ordered = key[order]
-    fresh = np.ones(n, bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    order = np.argsort(key).astype(np.int32)
+    open_rows = np.arange(n, dtype=np.int32)
+    head, tied = _ranks(key[order], open_rows)
+    rank = np.empty(n, np.int32)
     rank[order] = head
-    tied = ~fresh
-    tied[:-1] |= ~fresh[1:]
-    open_rows = np.flatnonzero(tied)
-    reach = 8
+    open_rows = open_rows[tied]
+    reach, joined = 8, 3 if n <= 1 << 21 else 2
+    bits = np.uint64(64 // joined)
     while reach < depth and len(open_rows):
         at = order[open_rows]
-        follow = at + reach
-        follow %= n
-        key = head[open_rows].astype(np.uint64) << np.uint64(32) | rank[follow].astype(np.uint64)
+        key = head[open_rows].astype(np.uint64)
+        for j in range(1, joined):
+            follow = (at + np.int32(j * reach % n)) % n
+            key <<= bits
+            key |= rank[follow].astype(np.uint64)
         by = np.argsort(key)
-        key = key[by]
-        order[open_rows] = at[by]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        head[open_rows] = np.maximum.accumulate(np.where(fresh, open_rows, 0))
-        rank[order[open_rows]] = head[open_rows]
-        tied = ~fresh
-        tied[:-1] |= ~fresh[1:]
+        order[open_rows] = at = at[by]
+        heads, tied = _ranks(key[by], open_rows)
+        head[open_rows] = heads
+        rank[at] = heads
         open_rows = open_rows[tied]
-        reach *= 2
+        reach *= joined
     return order
 
 
+def _ranks(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of ``rows`` with the same key as each, and whether another one has that key."""
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    heads = np.maximum.accumulate(np.where(fresh, rows, np.int32(0)))
+    tied = ~fresh
+    tied[:-1] |= ~fresh[1:]
+    return heads, tied
+
+
 def bounded_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each row of the suffix array, whether it shares ``length`` bytes with the row before.
 
@@ -147,21 +160,55 @@ def repeats(texts: list[bytes], counts: np.ndarray, length: int) -> list[np.ndar
     A text with a count above one stands for as many equal texts.
     """
     sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes + 1) - sizes - 1
     data = np.frombuffer(b"".join(t + SENTINEL for t in texts), np.uint8)
-    order = suffix_array(data, length)
-    shared = bounded_prefixes(data, order, length)
-    twice = shared.copy()
-    twice[:-1] |= shared[1:]
+    live = _candidates(data, begins, begins + sizes - length + 1, length)
     hit = np.zeros(len(data), bool)
-    hit[order[twice]] = True
-    out, at = [], 0
-    for size, count in zip(sizes, counts):
-        found = hit[at : at + size - length + 1]
+    if len(live):
+        edge = np.zeros(len(data) + 1, np.int32)
+        edge[live] += 1
+        edge[live + length] -= 1
+        cover = np.cumsum(edge[:-1]) > 0
+        # each covered run, and one byte after it that ends it
+        taken = cover.copy()
+        taken[1:] |= cover[:-1]
+        rows = np.flatnonzero(taken)
+        small = np.where(cover[rows], data[rows], np.uint8(SENTINEL[0]))
+        order = suffix_array(small, length)
+        shared = bounded_prefixes(small, order, length)
+        twice = shared.copy()
+        twice[:-1] |= shared[1:]
+        hit[rows[order[twice]]] = True
+        # a string that runs over the end of its run is none of a text
+        inside = np.zeros(len(data), bool)
+        inside[live] = True
+        hit &= inside
+    out = []
+    for begin, size, count in zip(begins.tolist(), sizes.tolist(), counts):
+        found = hit[begin : begin + size - length + 1]
         out.append(np.ones(len(found), bool) if count > 1 else found)
-        at += size + 1
     return out
 
 
+def _candidates(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Starts from ``begins`` to ``ends`` whose string may come twice: its first and its last ``PROBE`` bytes do.
+
+    Grams are counted by a part of their hash, so some starts stay that could go; none is lost.
+    """
+    edge = np.zeros(len(data) + 1, np.int32)
+    edge[begins] += 1
+    edge[ends] -= 1
+    starts = np.flatnonzero(np.cumsum(edge))
+    size = min(PROBE, length)
+    grams = gram_hashes(data, size)
+    slot = np.uint64(64 - max(20, len(starts).bit_length() + 2))
+    for shift in (0, length - size):
+        keys = (grams[starts + shift] >> slot).astype(np.int64)
+        if len(keys):
+            starts = starts[np.bincount(keys)[keys] > 1]
+    return starts
+
+
 # --- anchors --------------------------------------------------------------------------------
 
 

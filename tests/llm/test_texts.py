@@ -170,6 +170,34 @@ def test_repeats_equals_brute_force():
             assert mark.tolist() == [places[t[p : p + length]] > 1 for p in range(len(t) - length + 1)]
 
 
+@pytest.mark.parametrize("probe", [5, 12, 20])
+def test_repeats_in_stretches_of_longer_texts(monkeypatch, probe):
+    monkeypatch.setattr(suffix, "PROBE", probe)
+    rng = random.Random(probe)
+    shared = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(15, 40))) for _ in range(5)]
+    texts = []
+    for _ in range(30):
+        parts = [rng.choice(shared) if rng.random() < 0.4 else bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(1, 60))) for _ in range(6)]
+        texts.append(b"".join(parts).ljust(20, b"z"))
+    places = {}
+    for t in texts:
+        for p in range(len(t) - 19):
+            places[t[p : p + 20]] = places.get(t[p : p + 20], 0) + 1
+    assert 0 < sum(n > 1 for n in places.values()) < len(places)
+    for t, mark in zip(texts, suffix.repeats(texts, np.ones(len(texts), int), 20)):
+        assert mark.tolist() == [places[t[p : p + 20]] > 1 for p in range(len(t) - 19)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 300, (1 << 21) + 5])
+def test_suffix_array_orders_rotations(size):
+    data = np.random.default_rng(size).integers(0, 3, size).astype(np.uint8)
+    order = suffix.suffix_array(data, 200)
+    assert sorted(order.tolist()) == list(range(size))
+    ring = np.concatenate([data, np.resize(data, 200)]).tobytes()
+    some = range(size - 1) if size < 1000 else random.Random(1).sample(range(size - 1), 2000)
+    assert all(ring[order[i] : order[i] + 200] <= ring[order[i + 1] : order[i + 1] + 200] for i in some)
+
+
 def test_gram_hashes_and_minima():
     import numpy as np
 
