@@ -1,17 +1,16 @@
 """Toxicity by subword embeddings averaged into a linear softmax.
 
 Method. A word stands for its character n-grams, each hashed to a bucket with a vector. A document is the
-average of the vectors of all subwords of its distinct words, and a linear softmax over two classes is put
-on top. Vectors and softmax are trained jointly in numpy, on a bounded sample of labelled rows, by
+weighted average of the vectors of all subwords of its distinct words, and a linear softmax over two classes
+is put on top. A subword in ``h`` of ``n`` rows of the sample weighs ``log((n + 1) / (h + 1)) ** 2 * h / (h + 20)``:
+little if most rows hold it, little if hardly one does, and nothing is left out. Vectors and softmax are trained jointly in numpy, on a bounded sample of labelled rows, by
 adaptive gradient steps. A misspelling that was never seen shares most n-grams with the word it is made
 of, so it shares most of its vector. For scoring, vectors and softmax fold into one number a bucket, which
 changes nothing in the result, and each distinct word is looked up once per worker.
 
-Fit. At most ``sample`` rows of each label, those with the smallest hash of their text, whole texts. Their
-bucket lists are what reaches the driver: ``sample`` times 2 documents of ``longest`` distinct words at
-most (a longer text of the sample is trained on ``longest`` of its words, chosen by hash). Subwords in
-fewer than ``least`` rows of the sample, or in more than the share ``most``, are left out of all averages:
-the rare ones would only be learnt by heart, the common ones carry nothing. Scoring has no bound.
+Fit. At most ``sample`` rows of each label, those with the smallest hash of their text, and no more once
+their texts reach ``sample_bytes``; whole texts. Their distinct buckets with counts are what reaches the
+driver, at most ``BUCKETS`` a row. Scoring has no bound.
 
 Cases. A null, empty or wordless text scores what the bias alone gives. Repeated rows score alike. Without
 labelled rows of both labels every score is 0.5. Other columns are not read.
@@ -44,7 +43,7 @@ def subwords(word: str) -> list[int]:
     marked = f"<{word}>"
     grams = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
     grams.add(marked)
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
+    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -71,44 +70,51 @@ def distinct_words(texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.
 
 @dataclass
 class Model:
-    """One number a bucket, and the bias: the softmax of two classes over averaged vectors, folded."""
+    """Two numbers a bucket, and the bias: the softmax of two classes over averaged vectors, folded."""
 
     weight: np.ndarray
     bias: float
-    used: np.ndarray | None = None
+    mass: np.ndarray
 
-    def buckets(self, word: str) -> list[int]:
-        found = subwords(word)
-        return found if self.used is None else [b for b in found if self.used[b]]
 
+def masses(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """What each bucket weighs in an average, by the number of ``bags`` that hold it."""
+    holders = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=BUCKETS) if bags else np.zeros(BUCKETS)
+    return np.log((len(bags) + 1) / (holders + 1)) ** 2 * holders / (holders + 20)
 
-def train(bags: list[np.ndarray], labels: np.ndarray, dims: int = 8, epochs: int = 8, step: float = 0.3, batch: int = 64, seed: int = 7) -> Model:
-    """Vectors and softmax fitted jointly. ``bags`` hold the buckets of each document, with repeats."""
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: int = 8, epochs: int = 8, step: float = 0.3, batch: int = 64, seed: int = 7) -> Model:
+    """Vectors and softmax fitted jointly. ``bags`` hold the distinct buckets of each document, and how often each comes."""
+    mass = masses(bags)
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        return Model(np.zeros(BUCKETS), 0.0, mass)
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (BUCKETS, dims))
+    # a bucket that no row of the sample holds says nothing
+    vectors = np.zeros((BUCKETS, dims))
     soft = rng.normal(0, 0.3, (dims, 2))
     bias = np.zeros(2)
     seen_v, seen_s, seen_b = np.full((BUCKETS, dims), 1e-8), np.full((dims, 2), 1e-8), np.full(2, 1e-8)
+    shares = []
+    for ids, counts in bags:
+        part = counts * mass[ids]
+        shares.append(part / max(part.sum(), 1e-12))
     # both classes weigh as they occur, so that the scores are probabilities
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
-            sizes = np.array([len(bags[i]) for i in some])
-            ids = np.concatenate([bags[i] for i in some])
-            owner = np.repeat(np.arange(len(some)), sizes)
-            share = 1.0 / np.maximum(sizes, 1)
-            mean = np.stack([np.bincount(owner, vectors[ids, d], len(some)) for d in range(dims)], axis=1) * share[:, None]
+            owner = np.repeat(np.arange(len(some)), [len(bags[i][0]) for i in some])
+            ids = np.concatenate([bags[i][0] for i in some])
+            share = np.concatenate([shares[i] for i in some])
+            mean = np.stack([np.bincount(owner, vectors[ids, d] * share, len(some)) for d in range(dims)], axis=1)
             logits = mean @ soft + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(some)), labels[some]] -= 1
             p /= len(some)
-            back = (p @ soft.T) * share[:, None]
+            back = p @ soft.T
             used, place = np.unique(ids, return_inverse=True)
-            grad = np.stack([np.bincount(place, back[owner, d], len(used)) for d in range(dims)], axis=1)
+            grad = np.stack([np.bincount(place, back[owner, d] * share, len(used)) for d in range(dims)], axis=1)
             g_soft, g_bias = mean.T @ p, p.sum(axis=0)
             seen_v[used] += grad**2
             vectors[used] -= step * grad / np.sqrt(seen_v[used])
@@ -117,63 +123,66 @@ def train(bags: list[np.ndarray], labels: np.ndarray, dims: int = 8, epochs: int
             seen_b += g_bias**2
             bias -= step * g_bias / np.sqrt(seen_b)
     fold = soft[:, 1] - soft[:, 0]
-    return Model((vectors @ fold).astype(np.float32), float(bias[1] - bias[0]))
-
-
-def _bags(longest: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, at = batch["label"].to_numpy(), 0
-            for words, owner, word, size in distinct_words(batch["text"]):
-                found = [subwords(w) for w in words]
-                ends = np.searchsorted(owner, np.arange(1, size + 1))
-                bags = []
-                for own in np.split(word, ends[:-1]):
-                    if len(own) > longest:
-                        own = own[np.argsort([zlib.crc32(words[w].encode()) for w in own], kind="stable")[:longest]]
-                    bags.append(np.array([b for w in own for b in found[w]], "<u4").tobytes())
-                yield pa.record_batch({"label": pa.array(labels[at : at + size], pa.int32()), "ids": pa.array(bags, pa.binary())})
-                at += size
-
-    return run
+    return Model(vectors @ fold, float(bias[1] - bias[0]), mass)
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        labels, at = batch["label"].to_numpy(), 0
+        for words, owner, word, size in distinct_words(batch["text"]):
+            found = [np.array(subwords(w), np.int64) for w in words]
+            ends = np.searchsorted(owner, np.arange(1, size + 1))
+            ids, counts = [], []
+            for own in np.split(word, ends[:-1]):
+                # counted bucket by bucket, so a text of any length takes the same room
+                total = np.zeros(BUCKETS, np.uint32)
+                for w in own:
+                    total[found[w]] += 1
+                held = np.flatnonzero(total)
+                ids.append(held.astype("<u4").tobytes())
+                counts.append(total[held].astype("<u4").tobytes())
+            yield pa.record_batch({
+                "label": pa.array(labels[at : at + size], pa.int32()),
+                "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary()),
+            })
+            at += size
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", learn: Column | None = None,
-    sample: int = 1500, longest: int = 1500, least: int = 6, most: float = 0.25, **settings,
+    sample: int = 1500, sample_bytes: int = 16 << 20, **settings,
 ) -> Model:
     """Model of the labelled rows of ``docs`` for which ``learn`` holds; labels other than 0 and 1 are left out."""
     hashed = F.xxhash64(F.col(text).cast("string"))
     known = docs if learn is None else docs.where(learn)
-    known = known.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), hashed.alias("h"))
+    known = known.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), hashed.alias("h"), F.octet_length(F.col(text).cast("string")).alias("size"))
     goal = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").distinct()
     known = known.join(goal, "key")
     total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        return train([], np.zeros(0, np.int64))
     # thin out by hash before the exact choice, so that few rows meet
     share = F.when(F.col("label") == 1, min(1.0, 2 * sample / total[1])).otherwise(min(1.0, 2 * sample / total[0]))
     near = known.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     per = Window.partitionBy("label").orderBy("h", "key")
-    chosen = near.withColumn("nth", F.row_number().over(per)).where(F.col("nth") <= sample).select("key", "h", "label").distinct()
+    before = F.coalesce(F.sum("size").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = near.withColumns({"nth": F.row_number().over(per), "before": before})
+    chosen = ranked.where((F.col("nth") <= sample) & (F.col("before") < sample_bytes)).select("key", "h", "label").distinct()
     # at most 2 * sample rows
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), hashed.alias("h"))
     rows = texts.join(F.broadcast(chosen), ["key", "h"]).select("label", "text").distinct()
-    bags = rows.mapInArrow(_bags(longest), "label int, ids binary").collect()
-    bags.sort(key=lambda r: (r["label"], bytes(r["ids"])))
-    marks = np.array([r["label"] for r in bags], np.int64)
-    lists = [np.frombuffer(r["ids"], "<u4").astype(np.int64) for r in bags]
-    holders = np.bincount(np.concatenate([np.unique(b) for b in lists]), minlength=BUCKETS)
-    used = (holders >= least) & (holders <= most * len(lists))
-    model = train([b[used[b]] for b in lists], marks, **settings)
+    found = rows.mapInArrow(_bags, "label int, ids binary, counts binary").collect()
+    found.sort(key=lambda r: (r["label"], bytes(r["ids"]), bytes(r["counts"])))
+    marks = np.array([r["label"] for r in found], np.int64)
+    bags = [(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<u4")) for r in found]
+    model = train(bags, marks, **settings)
     # the sample holds the labels in other shares than the data
     n = np.bincount(marks, minlength=2)
-    model.used = used
     model.bias += float(np.log(total[1] / total[0]) - np.log(n[1] / n[0]))
     return model
 
 
-_words: dict[int, dict[str, tuple[float, int]]] = {}
+_words: dict[int, dict[str, tuple[float, float]]] = {}
 
 
 def _score(model: Model, name: int):
@@ -190,12 +199,13 @@ def _score(model: Model, name: int):
                 sums, counts = np.zeros(len(words)), np.zeros(len(words))
                 for i, w in enumerate(words):
                     if w not in known:
-                        ids = model.buckets(w)
-                        known[w] = (float(model.weight[ids].sum()), len(ids))
+                        ids = subwords(w)
+                        mass = model.mass[ids]
+                        known[w] = (float(model.weight[ids] @ mass), float(mass.sum()))
                     sums[i], counts[i] = known[w]
                 total = np.bincount(owner, sums[word], size)
                 n = np.bincount(owner, counts[word], size)
-                logit = total / np.maximum(n, 1) + model.bias
+                logit = total / np.maximum(n, 1e-12) + model.bias
                 scores.append(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
             columns = {c: batch[c] for c in batch.schema.names if c != "text"}
             columns["score"] = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
@@ -209,5 +219,5 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     names = [f"k{i}" for i in range(len(keep))]
     df = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(text).cast("string").alias("text"))
     schema = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
-    name = zlib.crc32(model.weight.tobytes()) ^ hash(model.bias)
+    name = zlib.crc32(model.weight.tobytes() + model.mass.tobytes()) ^ hash(model.bias)
     return df.mapInArrow(_score(model, name), f"{schema}, score double").withColumnsRenamed(dict(zip(names, keep)))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,35 @@ def test_toxicity_of_misspellings(spark):
     score = {r["doc_id"]: r["score"] for r in found}
     assert len(score) == len(asked) and all(0 <= s <= 1 for s in score.values())
     assert score[1] > score[2] and score[5] < 0.3
+
+
+def test_toxicity_score_is_the_softmax_of_weighted_vectors(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(ENGLISH, k=20) + (["stupid"] if i % 4 == 0 else [])) for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")), "toxic")
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (3, None), (4, "qqqq"), (5, " . ")]
+    found = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model, ["doc_id"]).collect()
+    assert len(found) == len(rows)
+    texts = {**dict(rows), 3: "", 5: ""}
+    for r in found:
+        ids = [b for w in sorted(set(texts[r["doc_id"]].lower().split())) for b in toxicity.subwords(w)]
+        mass = model.mass[ids].sum()
+        logit = (model.weight[ids] * model.mass[ids]).sum() / mass if mass else 0.0
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit - model.bias)), abs=1e-9)
+    empty = toxicity.score(df.limit(0), model, ["doc_id"])
+    assert empty.count() == 0
+
+
+def test_toxicity_sees_words_of_any_share_and_of_long_texts(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("bcdfghklmn", k=7))
+    # the toxic word is in half of all rows, and comes after thousands of other words
+    rows = [(i, " ".join([*(word() for _ in range(3000 if i < 20 else 20)), *(["stupid"] if i % 2 else [])])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), "toxic")
+    asked = spark.createDataFrame([(1, "stupid"), (2, "garden")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(asked, model, ["doc_id"]).collect()}
+    assert score[1] > score[2] + 0.2
+    alike = toxicity.fit(df, df.select("doc_id", F.lit(1).alias("toxic")), "toxic")
+    assert {r["score"] for r in toxicity.score(asked, alike, ["doc_id"]).collect()} == {0.5}
