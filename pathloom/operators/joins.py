@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.names import base_name, extension_group
 from pathloom.operators.grouping import chunked_lists, salted_join, spread
-from pathloom.operators.matching import best_match
+from pathloom.operators.matching import best_match, with_best
 
 
 def join_status(left: DataFrame, right: DataFrame, key: str, suffix: str = "_vSTATUS") -> DataFrame:
@@ -61,13 +61,13 @@ def assign_project(df: DataFrame, client: str, project: str) -> DataFrame:
 def assign_projects(df: DataFrame, jobs: DataFrame) -> DataFrame:
     """The same for a table of ``CLIENT, PROJECT`` rows; the last one by name wins."""
     best = best_match(
-        df, "FILE", jobs, "PROJECT", ["PROJECT", "CLIENT"], ["CLIENT", "PROJECT"], whole_word=True
-    ).toDF("__text", "__client", "__project")
-    joined = df.drop("CLIENT", "PROJECT").join(best, F.col("FILE") == F.col("__text"), "left")
+        df, ["FILE"], jobs, "PROJECT", ["PROJECT", "CLIENT"], ["CLIENT", "PROJECT"], whole_word=True
+    )
+    joined = with_best(df.drop("CLIENT", "PROJECT"), best, ["FILE"])
     blank = F.lit("")
     return joined.withColumns(
-        {"CLIENT": F.coalesce("__client", blank), "PROJECT": F.coalesce("__project", blank)}
-    ).drop("__text", "__client", "__project")
+        {"CLIENT": F.coalesce("__best.CLIENT", blank), "PROJECT": F.coalesce("__best.PROJECT", blank)}
+    ).drop("__best")
 
 
 def _has_project() -> Column:
@@ -76,10 +76,9 @@ def _has_project() -> Column:
 
 def assign_shot(df: DataFrame, shots: DataFrame, order: Sequence[str] = ("SHOTNAME",), winner: str = "last") -> DataFrame:
     """Shot whose name occurs in the path of rows with a project; one shot wins by order."""
-    rows = df.where(_has_project())
-    best = best_match(rows, "FILE", shots, "SHOTNAME", order, ["SHOTNAME"], winner).toDF("__text", "__shot")
-    joined = df.join(best, _has_project() & (F.col("FILE") == F.col("__text")), "left")
-    return joined.withColumn("SHOTNAME", F.coalesce("__shot", F.lit(""))).drop("__text", "__shot")
+    best = best_match(df.where(_has_project()), ["FILE"], shots, "SHOTNAME", order, ["SHOTNAME"], winner)
+    joined = with_best(df, best, ["FILE"], _has_project())
+    return joined.withColumn("SHOTNAME", F.coalesce("__best.SHOTNAME", F.lit(""))).drop("__best")
 
 
 def assign_alt_shot(
@@ -89,35 +88,35 @@ def assign_alt_shot(
     open_rows = _has_project()
     if only_unassigned:
         open_rows &= F.coalesce(F.col("SHOTNAME"), F.lit("")) == ""
-    named = shots.where(F.col("ALTSHOTNAME").isNotNull())
     best = best_match(
-        df.where(open_rows), "FILE", named, "ALTSHOTNAME", order, ["SHOTNAME"], ignore_case=True
-    ).toDF("__text", "__shot")
-    joined = df.join(best, open_rows & (F.col("FILE") == F.col("__text")), "left")
+        df.where(open_rows), ["FILE"], shots, "ALTSHOTNAME", order, ["SHOTNAME"], ignore_case=True
+    )
+    joined = with_best(df, best, ["FILE"], open_rows)
     mark = F.col("ALTSHOTNAME") if "ALTSHOTNAME" in df.columns else F.lit("")
     return joined.withColumns(
         {
-            "SHOTNAME": F.coalesce("__shot", F.col("SHOTNAME")),
-            "ALTSHOTNAME": F.when(F.col("__shot").isNotNull(), F.lit("yes")).otherwise(mark),
+            "SHOTNAME": F.coalesce("__best.SHOTNAME", F.col("SHOTNAME")),
+            "ALTSHOTNAME": F.when(F.col("__best.SHOTNAME").isNotNull(), F.lit("yes")).otherwise(mark),
         }
-    ).drop("__text", "__shot")
+    ).drop("__best")
 
 
 def assign_shot_multi(
     df: DataFrame, shots: DataFrame, prefix: str, order: Sequence[str] = ("SHOTNAME",),
     columns: Sequence[str] = ("FILE", "SEQUENCE", "LINK"),
 ) -> DataFrame:
-    """Shot without its prefix found in several columns: first shot per column, last column wins."""
-    stripped = shots.withColumn("__name", F.replace(F.col("SHOTNAME"), F.lit(prefix), F.lit("")))
-    out, found = df, []
-    for i, c in enumerate(x for x in columns if x in df.columns):
-        best = best_match(df, c, stripped, "__name", order, ["SHOTNAME"], "first").toDF(f"__t{i}", f"__s{i}")
-        out = out.join(best, F.col(c) == F.col(f"__t{i}"), "left").drop(f"__t{i}")
-        found.insert(0, F.col(f"__s{i}"))
+    """Shot without its prefix found in several columns: first shot per column, last column wins.
+
+    All columns are searched in one pass and joined back once.
+    """
     current = F.col("SHOTNAME") if "SHOTNAME" in df.columns else F.lit("")
-    return out.withColumn("SHOTNAME", F.coalesce(*found, current, F.lit(""))).drop(
-        *[f"__s{i}" for i in range(len(found))]
-    )
+    searched = [c for c in columns if c in df.columns]
+    if not searched:
+        return df.withColumn("SHOTNAME", F.coalesce(current, F.lit("")))
+    stripped = shots.withColumn("__name", F.replace(F.col("SHOTNAME"), F.lit(prefix), F.lit("")))
+    best = best_match(df, searched, stripped, "__name", order, ["SHOTNAME"], "first")
+    joined = with_best(df, best, searched)
+    return joined.withColumn("SHOTNAME", F.coalesce("__best.SHOTNAME", current, F.lit(""))).drop("__best")
 
 
 def thumb_lookup(df: DataFrame, defaults: DataFrame) -> DataFrame:

@@ -1,34 +1,46 @@
-"""Terms found inside texts, as an equality join instead of a theta join.
+"""Terms found inside texts, by an index of grams instead of a theta join.
 
-A text is cut into its substrings that have the length of some term and start like one, and
-those are joined to the terms by equality. Spark then picks a broadcast or a shuffle from
-the measured size of the term table, and splits hot substrings when it shuffles.
+A gram is a stretch of 1, 2, 4 or 8 characters. Each term is filed under one gram of the largest
+size that fits into it: the gram that the fewest terms have. A text that holds the term holds that
+gram, so texts are cut into the grams of the sizes in use, joined to the index by equality, and the
+term is then looked for in the text itself. A text gives at most four rows per position, however
+many lengths the terms have, and only for grams that start like one in the index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _candidates(text: Column, lengths: Column, firsts: Column) -> Column:
+def _gram_size(text: Column) -> Column:
     size = F.length(text)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        lambda i: F.array_contains(firsts, F.substring(text, i, F.lit(1))),
-    )
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                lengths,
-                lambda n: F.transform(
-                    F.filter(starts, lambda i: i + n - 1 <= size), lambda i: F.substring(text, i, n)
-                ),
-            )
-        )
-    )
+    return F.when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1)
+
+
+def _grams(text: Column, size: Column, starts: Column) -> Column:
+    fits = F.filter(starts, lambda i: i + size - 1 <= F.length(text))
+    return F.array_distinct(F.transform(fits, lambda i: F.substring(text, i, size)))
+
+
+def _starts(text: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+
+
+def gram_index(terms: DataFrame, term: str) -> DataFrame:
+    """Distinct terms as ``TERM`` with the gram ``GRAM`` they are filed under.
+
+    A gram's terms are counted with a combine before the shuffle, so a gram that all terms share
+    moves one row per task. Of equally rare grams the largest by code point is taken.
+    """
+    known = terms.select(F.col(term).alias("TERM")).where(F.coalesce("TERM", F.lit("")) != "").distinct()
+    text = F.col("TERM")
+    cut = known.select("TERM", F.explode(_grams(text, _gram_size(text), _starts(text))).alias("GRAM"))
+    counts = cut.groupBy("GRAM").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = F.max_by("GRAM", F.struct(-F.col("__n"), F.col("GRAM")))
+    return cut.join(counts, "GRAM").groupBy("TERM").agg(rarest.alias("GRAM"))
 
 
 def _bounded(text: Column, term: Column) -> Column:
@@ -37,40 +49,71 @@ def _bounded(text: Column, term: Column) -> Column:
     return F.rlike(text, F.concat(F.lit(r"\b"), quoted, F.lit(r"\b")))
 
 
+def _text_names(columns: Sequence[str]) -> list[str]:
+    return [f"__t{i}" for i in range(len(columns))]
+
+
 def matches(
-    df: DataFrame, text: str, terms: DataFrame, term: str,
+    df: DataFrame, columns: Sequence[str], terms: DataFrame, term: str,
     ignore_case: bool = False, whole_word: bool = False,
 ) -> DataFrame:
-    """Distinct texts with every row of ``terms`` whose term occurs in them.
+    """Distinct rows of the text columns with every row of ``terms`` whose term occurs in one of them.
 
-    The term table may be of any size. Two small facts about it, the lengths and first
-    characters of its terms, are looked up as scalar subqueries; both are limited by the
-    longest term and by the alphabet.
+    The texts come back as ``__t0``, ``__t1`` and so on (flat, so that rows spread by one text stay
+    where they are for a join on it), the number of the column that holds the term as ``COLUMN_NO``; a term found in two columns gives two rows. Blank terms and null texts match
+    nothing. All columns are searched in one pass. The term table may be of any size. Two small
+    facts about its index, the gram sizes (at most four) and the first characters of grams (limited
+    by the alphabet), are looked up as a scalar subquery.
     """
     fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    known = terms.where(F.coalesce(F.col(term), F.lit("")) != "").withColumn("__term", fold(F.col(term)))
-    facts = known.agg(
+    known = terms.withColumn("__term", fold(F.col(term)))
+    index = gram_index(known, "__term")
+    facts = index.agg(
         F.struct(
-            F.collect_set(F.length("__term")).alias("lengths"),
-            F.collect_set(F.substring("__term", 1, 1)).alias("firsts"),
+            F.collect_set(F.length("GRAM")).alias("sizes"),
+            F.collect_set(F.substring("GRAM", 1, 1)).alias("firsts"),
         ).alias("__facts")
     )
-    texts = df.select(F.col(text).alias("__text")).where("__text is not null").distinct()
-    texts = texts.withColumn("__facts", facts.scalar())
-    parts = _candidates(fold(F.col("__text")), F.col("__facts.lengths"), F.col("__facts.firsts"))
-    cut = texts.select("__text", F.explode(parts).alias("__part"))
-    found = cut.join(known, F.col("__part") == F.col("__term"))
+    names = _text_names(columns)
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)]).distinct()
+    texts = rows.select(*names, F.posexplode(F.array(*names))) if len(names) > 1 else rows.select(
+        *names, F.lit(0).alias("pos"), F.col(names[0]).alias("col")
+    )
+    texts = texts.where(F.col("col").isNotNull()).select(
+        *names, F.col("pos").alias("COLUMN_NO"), fold(F.col("col")).alias("__text")
+    ).withColumn("__facts", facts.scalar())
+    text = F.col("__text")
+    starts = F.filter(_starts(text), lambda i: F.array_contains(F.col("__facts.firsts"), F.substring(text, i, F.lit(1))))
+    grams = F.flatten(F.transform(F.col("__facts.sizes"), lambda n: _grams(text, n, starts)))
+    cut = texts.select(*names, "COLUMN_NO", "__text", F.explode(grams).alias("GRAM"))
+    held = F.contains(text, F.col("TERM"))
     if whole_word:
-        found = found.where(_bounded(fold(F.col("__text")), F.col("__term")))
-    return found.drop("__part", "__term").withColumnRenamed("__text", "TEXT")
+        held &= _bounded(text, F.col("TERM"))
+    found = cut.join(index, "GRAM").where(held).select(*names, "COLUMN_NO", "TERM")
+    return found.join(known, F.col("TERM") == F.col("__term")).drop("TERM", "__term")
 
 
 def best_match(
-    df: DataFrame, text: str, terms: DataFrame, term: str, order: Sequence[str],
+    df: DataFrame, columns: Sequence[str], terms: DataFrame, term: str, order: Sequence[str],
     returned: Sequence[str], winner: str = "last", ignore_case: bool = False, whole_word: bool = False,
 ) -> DataFrame:
-    """Per distinct text, the returned columns of the first or last matching term by ``order``."""
-    pick = F.max_by if winner == "last" else F.min_by
-    found = matches(df, text, terms, term, ignore_case, whole_word)
-    best = pick(F.struct(*returned), F.struct(*order)).alias("__best")
-    return found.groupBy("TEXT").agg(best).select("TEXT", "__best.*")
+    """Per distinct row of the text columns, what the first or last matching term by ``order`` returns.
+
+    A match in a later column goes before all matches in earlier ones. The result comes back as the
+    struct ``__best`` beside the texts.
+    """
+    pick, at = (F.max_by, F.col("COLUMN_NO")) if winner == "last" else (F.min_by, -F.col("COLUMN_NO"))
+    found = matches(df, columns, terms, term, ignore_case, whole_word)
+    return found.groupBy(*_text_names(columns)).agg(pick(F.struct(*returned), F.struct(at, *order)).alias("__best"))
+
+
+def with_best(df: DataFrame, best: DataFrame, columns: Sequence[str], where: Column | None = None) -> DataFrame:
+    """``df`` with the struct ``__best`` of its text columns: null where nothing matched or ``where`` is not met."""
+    if len(columns) == 1:
+        same = F.col(f"`{columns[0]}`") == F.col("__t0")
+    else:
+        same = F.lit(True)
+        for c, n in zip(columns, _text_names(columns)):
+            same &= F.col(f"`{c}`").eqNullSafe(F.col(n))
+    on = same if where is None else where & same
+    return df.join(best, on, "left").drop(*_text_names(columns))
