@@ -114,9 +114,18 @@ def combine_details(df: DataFrame, details: Sequence[str], registry: Mapping[str
 
 
 def merge_processed(original: DataFrame, processed: DataFrame, key: str) -> DataFrame:
-    """Processed values where present, else the original ones."""
+    """Processed values where present, else the original ones; rows of ``original`` are never multiplied.
+
+    Of several processed rows with one key the greatest is taken, whole: compared by its shared plain
+    columns in their order, nulls lowest. They are combined before the shuffle.
+    """
     shared = [c for c in original.columns if c in processed.columns and c != key]
-    new = processed.select(_col(key).alias("__k"), *[_col(c).alias(f"__new_{c}") for c in shared])
+    if not shared:
+        return original
+    plain = [c for c in shared if isinstance(processed.schema[c].dataType, T.AtomicType)]
+    row, order = F.struct(*[_col(c).alias(f"__new_{c}") for c in shared]), F.struct(F.lit(0), *[_col(c) for c in plain])
+    keyed = processed.where(_col(key).isNotNull()).groupBy(_col(key).alias("__k"))
+    new = keyed.agg(F.max_by(row, order).alias("__new")).select("__k", "__new.*")
     joined = original.join(new, _col(key) == F.col("__k"), "left")
     return joined.select(
         *[F.coalesce(F.col(f"`__new_{c}`"), _col(c)).alias(c) if c in shared else _col(c) for c in original.columns]

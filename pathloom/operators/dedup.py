@@ -101,9 +101,10 @@ def review_status(df: DataFrame, key: str, status: str = "STATUS") -> DataFrame:
 def choose_valid(df: DataFrame, decisions: DataFrame, key: str, choice: str, status: str = "STATUS") -> DataFrame:
     """Decided keys: the chosen value is valid, every other row invalid. Others stay.
 
-    ``decisions`` has one row per key with the chosen value.
+    ``decisions`` has one row per key with the chosen value; of several, the greatest value counts,
+    so rows of ``df`` are never multiplied.
     """
-    chosen = decisions.select(F.col(key).alias("__k"), F.col(choice).alias("__c"))
+    chosen = decisions.groupBy(F.col(key).alias("__k")).agg(F.max(choice).alias("__c"))
     joined = df.join(chosen, F.col(key) == F.col("__k"), "left")
     value = (
         F.when(F.col("__k").isNull(), F.col(status))

@@ -310,3 +310,17 @@ def test_columns_and_details(spark):
     assert columns.ensure_columns(df, {"z": "int"}, index=0).columns == ["z", "a", "b", "c"]
     with pytest.raises(ValueError):
         aggregates.group_ids_by_region(df, "other", "a")
+
+
+def test_repeated_right_keys_do_not_multiply_rows(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "c", 3.0), (None, "d", 4.0)], "k int, v string, x double")
+    done = spark.createDataFrame(
+        [(1, "p", None), (1, "q", None), (1, "q", 9.0), (None, "n", 5.0), (3, "z", 1.0)], "k int, v string, x double"
+    )
+    got = sorted(tuple(r) for r in columns.merge_processed(rows, done, "k").fillna({"k": 0}).collect())
+    assert got == [(0, "d", 4.0), (1, "q", 9.0), (1, "q", 9.0), (2, "c", 3.0)]
+    assert columns.merge_processed(rows, done.select("k"), "k").count() == 4
+    states = spark.createDataFrame([(1, "a", "pending"), (1, "b", "pending"), (2, "c", "pending")], "k int, v string, STATUS string")
+    picks = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "k int, v string")
+    decided = sorted((r.k, r.v, r.STATUS) for r in dedup.choose_valid(states, picks, "k", "v").collect())
+    assert decided == [(1, "a", "invalid"), (1, "b", "valid"), (2, "c", "pending")]
