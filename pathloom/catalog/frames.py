@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pathloom.catalog.base import query
-from pathloom.catalog.views import enriched, inv, table, with_views
+from pathloom.catalog.views import enriched, inv, spread, table, with_views
 from pathloom.functions import ranges
 from pathloom.operators import dedup, frames
 
@@ -174,7 +174,7 @@ SELECT concat('/in/a', cast(p_partkey AS string), '.', lpad(cast(100 + i * 2 AS
   concat('/t/', lpad(cast(100 + i * 2 AS string), 6, '0'), '/', lpad(cast(100 + i * 2 AS string), 4, '0')) AS TARGET, 'copy' AS ACTIONTYPE, 100 + i * 2 AS FRAME FROM r""",
 )
 def expand_sequences(spark, sf):
-    rows = table(spark, sf, "part").select(
+    rows = spread(table(spark, sf, "part"), "p_partkey").select(
         F.concat(F.lit("/in/a"), F.col("p_partkey").cast("string"), F.lit(".%04d.exr")).alias("SRC"), F.lit("/out/%d.exr").alias("DEST"),
         F.lit("/t/%06d/%04d").alias("TARGET"), F.lit("copy").alias("ACTIONTYPE"), F.col("p_size").alias("NUMBEROFFRAMES"),
         F.lit(100).alias("INPUTFIRSTFRAME"), F.lit(2).alias("INCREMENT"),

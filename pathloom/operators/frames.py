@@ -63,10 +63,10 @@ def _block_edges(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _blocks_of_frames(df: DataFrame, keys: Sequence[str], frame: Column, aggs: Sequence[Column] = ()) -> DataFrame:
-    rows = df.withColumns({"__frame": frame.cast("bigint"), "__key": _key(keys)})
+    rows = df.withColumns({"__frame": frame.cast("bigint"), "__hash": F.xxhash64(*[F.col(k) for k in keys])})
     # rows without a frame have a block of their own, before all others
     rows = rows.withColumn("__block", F.coalesce(F.floor(F.col("__frame") / BLOCK), F.lit(-(1 << 62))))
-    return rows.groupBy("__key", "__block").agg(
+    return rows.groupBy("__hash", *keys, "__block").agg(
         F.array_sort(F.collect_set("__frame")).alias("__frames"), *aggs
     )
 
@@ -102,26 +102,68 @@ def united_intervals(df: DataFrame, keys: Sequence[str], first: str = "FIRSTFRAM
     return runs.groupBy("__key", first).agg(F.max("__l").alias(last)).select(*[F.col("__key")[k].alias(k) for k in keys], first, last)
 
 
-def _texts(blocks: DataFrame) -> DataFrame:
-    """Range and gap texts per block."""
-    span = F.transform("__runs", lambda r: ranges.range_text(r["first"], r["last"]))
-    gaps = F.transform(
-        F.filter("__runs", lambda r: r["next"].isNotNull()),
-        lambda r: ranges.range_text(r["last"] + 1, r["next"] - 1),
+def _edge_runs(blocks: DataFrame) -> DataFrame:
+    """Per block its first and last run as ``__edges``, and as texts what lies between them.
+
+    An edge is ``{block, first, last, span, gap}``: ``span`` are the runs up to the block's last one, ``gap`` the frames
+    missing up to it, both null for the last run of a block. Inner runs cannot touch another block.
+    """
+    runs = F.col("__local")
+    n = F.size(runs)
+    inner = F.array_join(F.transform(F.slice(runs, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda r: ranges.range_text(r["first"], r["last"])), ", ")
+    gaps = F.array_join(
+        F.transform(
+            F.slice(runs, F.lit(1), F.greatest(n - 1, F.lit(0))),
+            lambda r, i: ranges.range_text(r["last"] + 1, F.get(runs, i + 1)["first"] - 1),
+        ), ", ",
     )
-    gap_size = F.aggregate(
-        F.filter("__runs", lambda r: r["next"].isNotNull()), F.lit(0).cast("bigint"),
-        lambda t, r: t + r["next"] - r["last"] - 1,
+
+    def edge(run: Column, span: Column, gap: Column) -> Column:
+        return F.struct(F.col("__block").alias("block"), run["first"].alias("first"), run["last"].alias("last"), span.alias("span"), gap.alias("gap"))
+
+    none = F.lit(None).cast("string")
+    alone = edge(F.get(runs, 0), none, none)
+    edges = (
+        F.when(n == 1, F.array(alone))
+        .when(n > 1, F.array(edge(F.get(runs, 0), inner, gaps), edge(F.get(runs, n - 1), none, none)))
+        .otherwise(F.slice(F.array(alone), 1, 0))
     )
-    return blocks.withColumns(
-        {"__span": F.array_join(span, ", "), "__gap": F.array_join(gaps, ", "), "__gapsize": gap_size}
+    local = blocks.withColumn("__local", ranges.islands(F.col("__frames"))).withColumns(
+        {"__count": F.size("__frames"), "__lo": F.array_min("__frames"), "__hi": F.array_max("__frames")}
     )
+    return local.drop("__frames").withColumn("__edges", edges).drop("__local")
+
 
+def _folded(df: DataFrame, keys: Sequence[str], frame: Column, partial: Sequence[Column], whole: Sequence[Column]) -> DataFrame:
+    """Range and gap texts of every key as ``__span`` and ``__gap``, beside ``__lo``, ``__hi`` and ``__count``.
 
-def _joined(name: str) -> Column:
-    """Block texts of a key in block order; blank blocks left out."""
-    kept = F.when(F.col(name) != "", F.struct("__block", F.col(name).alias("t")))
-    return F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["t"]), ", ")
+    Rows are folded per block, then the blocks' edge runs per key; both combine before the shuffle. ``partial`` are
+    aggregates of a block, ``whole`` those of a key over them. Groups are led by a hash of their key, so that
+    where Spark sorts rows to group them, it compares numbers and not long names.
+    """
+    blocks = _blocks_of_frames(df, keys, frame, partial)
+    folded = _edge_runs(blocks).groupBy("__hash", *keys).agg(
+        F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__count").alias("__count"),
+        F.flatten(F.array_sort(F.collect_list("__edges"))).alias("__edges"), *whole,
+    )
+    edges = F.col("__edges")
+    n = F.size(edges)
+    opens = F.filter(edges, lambda r, i: (i == 0) | (F.get(edges, i - 1)["last"] < r["first"] - 1))
+    closes = F.filter(edges, lambda r, i: (i == n - 1) | (F.get(edges, i + 1)["first"] > r["last"] + 1))
+    joined = folded.withColumns({"__opens": F.transform(opens, lambda r: r["first"]), "__closes": closes})
+    # the run of an edge with a span of its own ends there, for another of its block follows
+    span = F.zip_with(
+        "__opens", "__closes",
+        lambda first, r: F.concat_ws(", ", ranges.range_text(first, r["last"]), F.when(r["span"] != "", r["span"])),
+    )
+    last = F.size("__opens") - 1
+    gap = F.transform(
+        F.slice("__closes", F.lit(1), F.greatest(last, F.lit(0))),
+        lambda r, i: F.coalesce(r["gap"], ranges.range_text(r["last"] + 1, F.get("__opens", i + 1) - 1)),
+    )
+    return joined.withColumns({"__span": F.array_join(span, ", "), "__gap": F.array_join(gap, ", ")}).drop(
+        "__hash", "__edges", "__opens", "__closes"
+    )
 
 
 def sequence_ranges(df: DataFrame, keys: Sequence[str], frame: Column) -> DataFrame:
@@ -129,7 +171,8 @@ def sequence_ranges(df: DataFrame, keys: Sequence[str], frame: Column) -> DataFr
 
     The long form of range and gap texts; it has no limit on runs per sequence.
     """
-    edges = _block_edges(_blocks_of_frames(df.where(frame.isNotNull()), keys, frame), keys)
+    blocks = _blocks_of_frames(df.where(frame.isNotNull()), keys, frame).select(_key(keys).alias("__key"), "__block", "__frames")
+    edges = _block_edges(blocks, keys)
     return edges.select(*keys, F.inline("__runs").alias("FIRSTFRAME", "LASTFRAME", "NEXTFRAME"))
 
 
@@ -138,21 +181,16 @@ def frame_ranges(
 ) -> DataFrame:
     """Range text, gap text and frame counts per key, with sums of further columns."""
     sums = sums or {}
-    partial = [F.sum(c).alias(f"__sum_{name}") for name, c in sums.items()]
-    blocks = _blocks_of_frames(df.where(frame.isNotNull()), keys, frame, partial)
-    blocks = blocks.withColumn("__count", F.size("__frames"))
-    return (
-        _texts(_block_edges(blocks, keys))
-        .groupBy(*keys)
-        .agg(
-            F.min("__lo").alias("FIRSTFRAME"),
-            F.max("__hi").alias("LASTFRAME"),
-            F.sum("__count").alias("FRAMES"),
-            F.sum("__gapsize").alias("MISSING"),
-            _joined("__span").alias("FRAMERANGE"),
-            _joined("__gap").alias("MISSINGFRAMES"),
-            *[F.sum(f"__sum_{name}").alias(name) for name in sums],
-        )
+    folded = _folded(
+        df.where(frame.isNotNull()), keys, frame,
+        [F.sum(c).alias(f"__sum_{name}") for name, c in sums.items()],
+        [F.sum(f"__sum_{name}").alias(f"__sum_{name}") for name in sums],
+    )
+    return folded.select(
+        *keys, F.col("__lo").alias("FIRSTFRAME"), F.col("__hi").alias("LASTFRAME"), F.col("__count").alias("FRAMES"),
+        (F.col("__hi") - F.col("__lo") + 1 - F.col("__count")).alias("MISSING"),
+        F.col("__span").alias("FRAMERANGE"), F.col("__gap").alias("MISSINGFRAMES"),
+        *[F.col(f"__sum_{name}").alias(name) for name in sums],
     )
 
 
@@ -247,49 +285,51 @@ def summarize_sequences(
 
     # a position cell may list several frames: count its row and size once
     positions = F.split(F.col("SEQUENCEPOSITION").cast("string"), ",")
-    first_file = F.struct(*order_by)
+    ordered = [c for c in dict.fromkeys(order_by)]
+    others = [c for c in rest if c not in ordered]
     rows = (
         members.select(
             key, "CREATION_TIME", F.col("FILESIZE").cast("string").try_cast("bigint").alias("FILESIZE"),
-            F.struct(*rest).alias("__rest"), first_file.alias("__order"),
+            F.struct(*[F.col(c) for c in others], F.lit(0).alias("__none")).alias("__rest"), F.struct(*ordered).alias("__order"),
             F.posexplode_outer(positions).alias("__at", "__text"),
         )
         .withColumn("__once", F.coalesce(F.col("__at") == 0, F.lit(True)))
     )
     frame = F.when(F.col("__text").rlike(r"^\d+$"), F.col("__text").try_cast("bigint"))
-    blocks = _blocks_of_frames(
-        rows, [key], frame,
-        [
-            F.sum(F.when(F.col("__once"), F.col("FILESIZE"))).alias("__size"),
-            F.max("CREATION_TIME").alias("__created"),
-            F.sum(F.col("__once").cast("int")).alias("__rows"),
-            F.min_by("__rest", "__order").alias("__base"),
-            F.min("__order").alias("__first"),
-        ],
-    )
     summed = (
-        _texts(_block_edges(blocks, [key]))
-        .groupBy(key)
-        .agg(
-            F.min_by("__base", "__first").alias("__base"),
-            F.coalesce(F.sum("__size"), F.lit(0)).alias("FILESIZE"),
-            F.max("__created").alias("CREATION_TIME"),
-            F.sum("__rows").alias("__rows"),
-            F.coalesce(F.min("__lo").cast("string"), F.lit("")).alias("FIRSTFRAME"),
-            F.coalesce(F.max("__hi").cast("string"), F.lit("")).alias("LASTFRAME"),
-            _joined("__span").alias("FRAMERANGE"),
-            _joined("__gap").alias("MISSINGFRAMES"),
+        _folded(
+            rows, [key], frame,
+            [
+                F.sum(F.when(F.col("__once"), F.col("FILESIZE"))).alias("__size"),
+                F.max("CREATION_TIME").alias("__created"),
+                F.sum(F.col("__once").cast("int")).alias("__rows"),
+                F.min_by("__rest", "__order").alias("__base"),
+                F.min("__order").alias("__first"),
+            ],
+            [
+                F.min_by("__base", "__first").alias("__base"),
+                F.min("__first").alias("__first"),
+                F.coalesce(F.sum("__size"), F.lit(0)).alias("FILESIZE"),
+                F.max("__created").alias("CREATION_TIME"),
+                F.sum("__rows").alias("__rows"),
+            ],
         )
-        .withColumn("SEQUENCEPOSITION", F.col("FRAMERANGE"))
+        .withColumns({
+            "FIRSTFRAME": F.coalesce(F.col("__lo").cast("string"), F.lit("")),
+            "LASTFRAME": F.coalesce(F.col("__hi").cast("string"), F.lit("")),
+            "FRAMERANGE": F.col("__span"), "MISSINGFRAMES": F.col("__gap"), "SEQUENCEPOSITION": F.col("__span"),
+        })
     )
+    # the order columns are those of the first row already
+    base = {c: F.col("__first")[c] if c in ordered else F.col("__base")[c] for c in rest}
     single = (F.col("__rows") == 1) if split_single else F.lit(False)
     columns = [*df.columns, *[c for c in added if c not in df.columns]]
     picked = []
     for c in columns:
         if c == "FILE":
-            value = F.when(single, F.col("__base.FILE")).otherwise(F.col(key))
+            value = F.when(single, base["FILE"]).otherwise(F.col(key))
         elif c in rest:
-            value = F.col(f"__base.{c}")
+            value = base[c]
             if c == "PADDING":
                 value = F.when(single, F.lit(None)).otherwise(value)
         elif c in added and split_single:
@@ -309,24 +349,45 @@ def expand_sequences(df: DataFrame) -> DataFrame:
         F.col("NUMBEROFFRAMES") > 0, F.sequence(F.lit(0), F.col("NUMBEROFFRAMES").cast("int") - 1)
     )
     step = F.coalesce(F.col("INCREMENT").cast("bigint"), F.lit(1))
-    frames = df.withColumn("__i", F.explode(steps)).withColumn(
+    texts = ("SRC", "DEST", "TARGET")
+    # what is the same for all frames of a row is worked out before there is a row per frame
+    rows = df.withColumns({f"__{c}": frame_holders(F.col(c)) for c in texts})
+    frames = rows.withColumn("__i", F.explode(steps)).withColumn(
         "__f", F.col("INPUTFIRSTFRAME").cast("bigint") + F.col("__i") * step
     )
-    filled = [fill_frame(F.col(c), F.col("__f")).alias(c) for c in ("SRC", "DEST", "TARGET")]
+    filled = [fill_frame(F.col(c), F.col("__f"), F.col(f"__{c}")).alias(c) for c in texts]
     return frames.select(*filled, F.col("ACTIONTYPE"), F.col("__f").alias("FRAME"))
 
 
-def fill_frame(text: Column, frame: Column) -> Column:
-    """``%d`` and ``%0Nd`` in a text replaced by the padded frame number."""
-    holders = F.array_distinct(F.regexp_extract_all(text, F.lit(r"%(\d*)d"), F.lit(1)))
+def frame_holders(text: Column) -> Column:
+    """Distinct ``%d`` and ``%0Nd`` of a text as ``{holder, width}``."""
+    pads = F.array_distinct(F.regexp_extract_all(text, F.lit(r"%(\d*)d"), F.lit(1)))
+    return F.transform(
+        pads,
+        lambda p: F.struct(
+            F.concat(F.lit("%"), p, F.lit("d")).alias("holder"), F.coalesce(p.try_cast("int"), F.lit(0)).alias("width")
+        ),
+    )
+
 
-    def put(done: Column, pad: Column) -> Column:
-        width = F.coalesce(pad.try_cast("int"), F.lit(0))
-        digits = frame.cast("string")
-        shown = F.lpad(digits, F.greatest(width, F.length(digits)), "0")
-        return F.replace(done, F.concat(F.lit("%"), pad, F.lit("d")), shown)
+def fill_frame(text: Column, frame: Column, holders: Column | None = None) -> Column:
+    """``%d`` and ``%0Nd`` in a text replaced by the padded frame number.
 
-    return F.aggregate(holders, text, put)
+    ``holders`` are those of ``frame_holders``, where they are known already. Up to two are filled by compiled
+    code, further ones by a fold.
+    """
+    holders = frame_holders(text) if holders is None else holders
+    digits = frame.cast("string")
+
+    def put(done: Column, hit: Column) -> Column:
+        return F.replace(done, hit["holder"], F.lpad(digits, F.greatest(hit["width"], F.length(digits)), "0"))
+
+    count = F.size(holders)
+    one = put(text, F.get(holders, 0))
+    return (
+        F.when(holders.isNull(), F.lit(None).cast("string")).when(count == 0, text).when(count == 1, one)
+        .when(count == 2, put(one, F.get(holders, 1))).otherwise(F.aggregate(holders, text, put))
+    )
 
 
 def expand_ranges(df: DataFrame, link: str = "PROVISIONEDLINK") -> DataFrame:
