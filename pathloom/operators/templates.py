@@ -15,6 +15,10 @@ from pathloom.schemas import SESSION_PLACEHOLDERS, TOKEN_DELIMITERS
 from pathloom.session import store
 
 
+# entries of a mapping up to which it is held beside each row instead of joined
+FEW_VALUES = 64
+
+
 def _texts(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
@@ -101,10 +105,14 @@ def _refill(
 
     Rows are stored with a number. The pieces of all columns are exploded once and joined once; the hits of a row come
     back as one small map by column and place, and the texts are put together where they are. A row's map is
-    as large as its texts and no larger.
+    as large as its texts and no larger. A mapping of a few values is looked up in the row instead, and no row is moved.
     """
     if not columns:
         return df
+    known = mapping.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min_by(value, F.struct(value)).alias("__value"))
+    known = known.where("__value IS NOT NULL")
+    if known.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        return _refill_few(df, columns, cut, known)
     rows = store(df.withColumn("__row", F.monotonically_increasing_id()))
     none = F.array().cast("array<struct<column:int,at:int,piece:string>>")
 
@@ -113,8 +121,7 @@ def _refill(
         return F.coalesce(parts, none)
 
     pieces = rows.select("__row", F.inline(F.concat(*[located(n, c) for n, c in enumerate(columns)])))
-    known = mapping.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min_by(value, F.struct(value)).alias("__value"))
-    found = pieces.join(known.where("__value IS NOT NULL"), F.col("piece") == F.col("__key"))
+    found = pieces.join(known, F.col("piece") == F.col("__key"))
     place = F.struct("column", "at")
     hits = found.groupBy(F.col("__row").alias("__of")).agg(F.map_from_entries(F.collect_list(F.struct(place, "__value"))).alias("__hits"))
     joined = rows.join(hits, F.col("__row") == F.col("__of"), "left")
@@ -131,6 +138,20 @@ def _refill(
     return _named(joined, [filled(spots[c], c) if c in spots else F.col(f"`{c}`") for c in df.columns], df.columns)
 
 
+def _refill_few(df: DataFrame, columns: Sequence[str], cut: Callable[[Column], Column], known: DataFrame) -> DataFrame:
+    """Pieces looked up in the whole mapping, ``FEW_VALUES`` entries at most, which comes as a scalar subquery."""
+    values = known.agg(F.map_from_entries(F.collect_list(F.struct("__key", "__value"))).alias("__values"))
+    rows = df.withColumn("__values", values.scalar())
+
+    def filled(column: str) -> Column:
+        def shown(piece: Column) -> Column:
+            return F.coalesce(F.try_element_at("__values", piece), piece)
+
+        return F.array_join(F.transform(cut(F.col(f"`{column}`")), shown), "")
+
+    return _named(rows, [filled(c) if c in columns else F.col(f"`{c}`") for c in df.columns], df.columns)
+
+
 def remap_actions(mapping: DataFrame, order: Column | None = None) -> DataFrame:
     """Variables that are to be replaced, with their value.
 
