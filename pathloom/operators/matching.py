@@ -50,7 +50,12 @@ def _bounded(text: Column, term: Column) -> Column:
 
 
 def _text_names(columns: Sequence[str]) -> list[str]:
-    return [f"__t{i}" for i in range(len(columns))]
+    """Names that a row of texts goes by: a hash, so that sorts compare numbers before long texts, then the texts."""
+    return ["__th", *(f"__t{i}" for i in range(len(columns)))]
+
+
+def _texts_hash(columns: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
 
 
 def matches(
@@ -71,19 +76,21 @@ def matches(
     facts = index.agg(
         F.struct(
             F.collect_set(F.length("GRAM")).alias("sizes"),
-            F.collect_set(F.substring("GRAM", 1, 1)).alias("firsts"),
+            F.array_join(F.collect_set(F.substring("GRAM", 1, 1)), "").alias("firsts"),
         ).alias("__facts")
     )
     names = _text_names(columns)
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)]).distinct()
-    texts = rows.select(*names, F.posexplode(F.array(*names))) if len(names) > 1 else rows.select(
-        *names, F.lit(0).alias("pos"), F.col(names[0]).alias("col")
+    rows = df.select(_texts_hash(columns).alias(names[0]), *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names[1:])]).distinct()
+    texts = rows.select(*names, F.posexplode(F.array(*names[1:]))) if len(columns) > 1 else rows.select(
+        *names, F.lit(0).alias("pos"), F.col(names[1]).alias("col")
     )
     texts = texts.where(F.col("col").isNotNull()).select(
         *names, F.col("pos").alias("COLUMN_NO"), fold(F.col("col")).alias("__text")
     ).withColumn("__facts", facts.scalar())
     text = F.col("__text")
-    starts = F.filter(_starts(text), lambda i: F.array_contains(F.col("__facts.firsts"), F.substring(text, i, F.lit(1))))
+    # an empty pattern gives the characters in one pass; only those that a gram begins with are looked at further
+    begins = F.transform(F.split(text, ""), lambda c, i: F.when(F.contains(F.col("__facts.firsts"), c), i + 1))
+    starts = F.array_compact(begins)
     grams = F.flatten(F.transform(F.col("__facts.sizes"), lambda n: _grams(text, n, starts)))
     cut = texts.select(*names, "COLUMN_NO", "__text", F.explode(grams).alias("GRAM"))
     held = F.contains(text, F.col("TERM"))
@@ -109,11 +116,8 @@ def best_match(
 
 def with_best(df: DataFrame, best: DataFrame, columns: Sequence[str], where: Column | None = None) -> DataFrame:
     """``df`` with the struct ``__best`` of its text columns: null where nothing matched or ``where`` is not met."""
-    if len(columns) == 1:
-        same = F.col(f"`{columns[0]}`") == F.col("__t0")
-    else:
-        same = F.lit(True)
-        for c, n in zip(columns, _text_names(columns)):
-            same &= F.col(f"`{c}`").eqNullSafe(F.col(n))
+    same = _texts_hash(columns) == F.col("__th")
+    for c, n in zip(columns, _text_names(columns)[1:]):
+        same &= F.col(f"`{c}`") == F.col(n) if len(columns) == 1 else F.col(f"`{c}`").eqNullSafe(F.col(n))
     on = same if where is None else where & same
     return df.join(best, on, "left").drop(*_text_names(columns))
