@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.functions.paths import let
+
 
 def tag_value(tags: Column, key: str) -> Column:
     """Value of the first tag with the given key."""
@@ -31,16 +33,16 @@ def family_and_size(instance_type: Column) -> dict[str, Column]:
     return {"InstanceFamily": F.get(parts, 0), "InstanceXlarge": F.get(parts, 1)}
 
 
-def _node_type(value: Column) -> Column:
-    name = F.schema_of_variant(value)
+def _node_type(value: Column, text: Column) -> Column:
+    """Type of a node by its JSON text; only numbers are asked for the type they are held as."""
+    number = F.when(F.schema_of_variant(value).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int")).otherwise(F.lit("float"))
     return (
-        F.when(name.startswith("OBJECT"), F.lit("dict"))
-        .when(name.startswith("ARRAY"), F.lit("list"))
-        .when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int"))
-        .when(name == "STRING", F.lit("str"))
-        .when(name == "BOOLEAN", F.lit("bool"))
-        .when(name == "VOID", F.lit("NoneType"))
-        .otherwise(F.lit("float"))
+        F.when(F.startswith(text, F.lit("{")), F.lit("dict"))
+        .when(F.startswith(text, F.lit("[")), F.lit("list"))
+        .when(F.startswith(text, F.lit('"')), F.lit("str"))
+        .when(text.isin("true", "false"), F.lit("bool"))
+        .when(text == "null", F.lit("NoneType"))
+        .otherwise(number)
     )
 
 
@@ -57,37 +59,38 @@ def json_nodes(json: Column, depth: int = 3) -> Column:
 def json_levels(json: Column, root: Column, depth: int) -> Column:
     """The nodes of a cell whose own path is ``root``, each with its ``level`` below it."""
     def node(path: Column, value: Column) -> Column:
-        return F.struct(path.alias("path"), value.alias("value"))
+        return F.struct(path.alias("path"), value.alias("value"), F.to_json(value).alias("text"))
+
+    none = F.array().cast("array<struct<path:string,value:variant,text:string>>")
 
     def children(parent: Column) -> Column:
-        fields = F.map_entries(F.try_variant_get(parent["value"], "$", "map<string,variant>"))
-        items = F.try_variant_get(parent["value"], "$", "array<variant>")
-        none = F.lit(None).cast("array<struct<path:string,value:variant>>")
         named = F.transform(
-            fields,
+            F.map_entries(F.try_variant_get(parent["value"], "$", "map<string,variant>")),
             lambda e: node(F.concat(parent["path"], F.lit("['"), e["key"], F.lit("']")), e["value"]),
         )
         placed = F.transform(
-            items,
+            F.try_variant_get(parent["value"], "$", "array<variant>"),
             lambda v, i: node(F.concat(parent["path"], F.lit("["), i.cast("string"), F.lit("]")), v),
         )
-        empty = F.array().cast("array<struct<path:string,value:variant>>")
-        return F.coalesce(named, placed, none, empty)
+        found = F.when(F.startswith(parent["text"], F.lit("{")), named).when(F.startswith(parent["text"], F.lit("[")), placed)
+        return F.coalesce(found, none)
 
     def shown(number: int):
         return lambda n: F.struct(
             n["path"].alias("path"),
-            _node_type(n["value"]).alias("data_type"),
-            F.to_json(n["value"]).alias("value"),
+            _node_type(n["value"], n["text"]).alias("data_type"),
+            n["text"].alias("value"),
             F.lit(number).alias("level"),
         )
 
-    level = F.array(node(root, F.try_parse_json(json)))
-    levels = [F.transform(level, shown(0))]
-    for number in range(1, depth + 1):
-        level = F.flatten(F.transform(level, children))
-        levels.append(F.transform(level, shown(number)))
-    return F.concat(*levels)
+    def below(level: Column, number: int) -> Column:
+        """A level's nodes and all below it; each level is built once."""
+        own = F.transform(level, shown(number))
+        if number == depth:
+            return own
+        return F.concat(own, let(F.flatten(F.transform(level, children)), lambda lower: below(lower, number + 1)))
+
+    return let(F.try_parse_json(json), lambda cell: below(F.array(node(root, cell)), 0))
 
 
 def get_by_path(json: Column, path: Sequence[str | int], dtype: str = "string") -> Column:
