@@ -122,3 +122,9 @@ def test_registered_query(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert rows_of(found) == brute([tuple(d) for d in docs])
     assert [t for c, t in found.dtypes if c != "groups_sha256"] == ["bigint"] * 7
+
+
+def test_lookups_forget_the_tokenizers(monkeypatch):
+    monkeypatch.setattr(alignment, "_aligners", {("a", "b"): object()})
+    assert list(alignment._looked_up(iter([]))) == []
+    assert alignment._aligners == {}
