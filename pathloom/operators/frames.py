@@ -128,9 +128,11 @@ def _edge_runs(blocks: DataFrame) -> DataFrame:
         .when(n > 1, F.array(edge(F.get(runs, 0), inner, gaps), edge(F.get(runs, n - 1), none, none)))
         .otherwise(F.slice(F.array(alone), 1, 0))
     )
-    local = blocks.withColumn("__local", ranges.islands(F.col("__frames"))).withColumns(
-        {"__count": F.size("__frames"), "__lo": F.array_min("__frames"), "__hi": F.array_max("__frames")}
-    )
+    local = blocks.withColumns({"__count": F.size("__frames"), "__lo": F.get("__frames", 0), "__hi": F.get("__frames", F.size("__frames") - 1)})
+    # most blocks are one run, which needs no walk over its frames
+    whole = F.array(F.struct(F.col("__lo").alias("first"), F.col("__hi").alias("last")))
+    dense = F.col("__hi") - F.col("__lo") + 1 == F.col("__count")
+    local = local.withColumn("__local", F.when(dense, whole).otherwise(ranges.islands(F.col("__frames"))))
     return local.drop("__frames").withColumn("__edges", edges).drop("__local")
 
 
@@ -150,7 +152,11 @@ def _folded(df: DataFrame, keys: Sequence[str], frame: Column, partial: Sequence
     n = F.size(edges)
     opens = F.filter(edges, lambda r, i: (i == 0) | (F.get(edges, i - 1)["last"] < r["first"] - 1))
     closes = F.filter(edges, lambda r, i: (i == n - 1) | (F.get(edges, i + 1)["first"] > r["last"] + 1))
-    joined = folded.withColumns({"__opens": F.transform(opens, lambda r: r["first"]), "__closes": closes})
+    only = F.get(edges, 0)
+    joined = folded.withColumns({
+        "__opens": F.when(n == 1, F.array(only["first"])).otherwise(F.transform(opens, lambda r: r["first"])),
+        "__closes": F.when(n == 1, edges).otherwise(closes),
+    })
     # the run of an edge with a span of its own ends there, for another of its block follows
     span = F.zip_with(
         "__opens", "__closes",
@@ -161,7 +167,11 @@ def _folded(df: DataFrame, keys: Sequence[str], frame: Column, partial: Sequence
         F.slice("__closes", F.lit(1), F.greatest(last, F.lit(0))),
         lambda r, i: F.coalesce(r["gap"], ranges.range_text(r["last"] + 1, F.get("__opens", i + 1) - 1)),
     )
-    return joined.withColumns({"__span": F.array_join(span, ", "), "__gap": F.array_join(gap, ", ")}).drop(
+    texts = {
+        "__span": F.when(n == 1, ranges.range_text(only["first"], only["last"])).otherwise(F.array_join(span, ", ")),
+        "__gap": F.when(n == 1, F.lit("")).otherwise(F.array_join(gap, ", ")),
+    }
+    return joined.withColumns(texts).drop(
         "__hash", "__edges", "__opens", "__closes"
     )
 
