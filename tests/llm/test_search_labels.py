@@ -115,6 +115,24 @@ def test_toxicity_score_is_the_softmax_of_weighted_vectors(spark):
     assert empty.count() == 0
 
 
+def test_toxicity_subwords_of_many_words_at_once(monkeypatch):
+    words = ["", "a", "..", "hello", "Zürich!", "日本語テスト", "x😀y😀😀z", "aaaaaaa", "<>", "don't", "\x00b", "hello."]
+    word, bucket = toxicity.all_subwords(words)
+    for i, w in enumerate(words):
+        assert bucket[word == i].tolist() == toxicity.subwords(w)
+    assert [len(x) for x in toxicity.all_subwords([])] == [0, 0] == [len(x) for x in toxicity.all_subwords(["", "."])]
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), 0.0, rng.random(toxicity.BUCKETS))
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 4)
+    monkeypatch.setattr(toxicity, "LEARN", 3)
+    known = toxicity._Known(model)
+    for some in (words, words[3:], words[:2], []):
+        sums, masses = known.of(some)
+        ids = [toxicity.subwords(w) for w in some]
+        assert np.allclose(sums, [(model.weight[i] * model.mass[i]).sum() for i in ids])
+        assert np.allclose(masses, [model.mass[i].sum() for i in ids])
+
+
 def test_toxicity_sees_words_of_any_share_and_of_long_texts(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("bcdfghklmn", k=7))
