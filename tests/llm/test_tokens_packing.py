@@ -39,6 +39,15 @@ def test_ids_equal_the_tokenizers(path):
     assert got == [expected(t, path) for t in [*TRICKY, None]]
 
 
+def test_words_of_letters_and_marks_need_no_whole_encoding(monkeypatch):
+    text = "Zürich éclair, naïveté;%% ÀÇĐ (ab) ththin,%%% Straße! don't, x'll? ŉa İb ﬁn \u212bngstrom e\u0301t\u00e9 <|endoftext|>, ab<|endoftext|>"
+    one = tokens.TextEncoder(WORDS)
+    whole, asked = one._whole, []
+    monkeypatch.setattr(one, "_whole", lambda w: asked.append(w) or whole(w))
+    assert one.encode(pa.array([text]))[0].tolist() == expected(text)
+    assert not {"Zürich", "éclair,", "naïveté;%%", "ÀÇĐ", "ththin,%%%", "Straße!"} & set(asked)
+
+
 def test_words_are_forgotten_and_learned_again(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_WORDS", 3)
     one = tokens.TextEncoder(WORDS)
