@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.llm import decontaminate, minhash, suffix
+from pathloom.llm.scratch import Scratch
 from pathloom.llm.textgrams import gram_hashes, window_minima
 
 VOCABULARY = ["the", "of", "and", "in", *(f"w{i}" for i in range(300))]
@@ -83,6 +84,31 @@ def test_near_duplicates(spark, monkeypatch, words, chunk):
     assert sum(r["stays"] for r in got) == groups
 
 
+def test_links_between_two_components_are_confirmed_once(spark, monkeypatch):
+    """A group of near copies: links inside what is already connected are neither confirmed nor walked again."""
+    rng = random.Random(11)
+    base = sentences(rng, 60).split()
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            words[rng.randrange(len(words))] = f"odd{rng.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    sizes, put = {}, Scratch.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    got = minhash.near_duplicates(frame(spark, rows), words=2).collect()
+    want, _ = brute_components(rows, 2)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+    assert sizes["pairs"] > 3 * len(rows)
+    assert sum(n for name, n in sizes.items() if name.startswith("links") or name.endswith("edges0")) < sizes["pairs"] / 4
+
+
 def test_drop_near_duplicates_keeps_columns(spark):
     rows = near_rows(3)
     docs = frame(spark, rows)
