@@ -70,14 +70,14 @@ def assign_projects(df: DataFrame, jobs: DataFrame) -> DataFrame:
     ).drop("__best")
 
 
-def _has_project() -> Column:
+def has_project() -> Column:
     return F.coalesce(F.col("PROJECT"), F.lit("")) != ""
 
 
 def assign_shot(df: DataFrame, shots: DataFrame, order: Sequence[str] = ("SHOTNAME",), winner: str = "last") -> DataFrame:
     """Shot whose name occurs in the path of rows with a project; one shot wins by order."""
-    best = best_match(df.where(_has_project()), ["FILE"], shots, "SHOTNAME", order, ["SHOTNAME"], winner)
-    joined = with_best(df, best, ["FILE"], _has_project())
+    best = best_match(df.where(has_project()), ["FILE"], shots, "SHOTNAME", order, ["SHOTNAME"], winner)
+    joined = with_best(df, best, ["FILE"], has_project())
     return joined.withColumn("SHOTNAME", F.coalesce("__best.SHOTNAME", F.lit(""))).drop("__best")
 
 
@@ -85,7 +85,7 @@ def assign_alt_shot(
     df: DataFrame, shots: DataFrame, order: Sequence[str] = ("SHOTNAME",), only_unassigned: bool = True,
 ) -> DataFrame:
     """Shot by its alternate name, any case; matched rows are marked ``yes``."""
-    open_rows = _has_project()
+    open_rows = has_project()
     if only_unassigned:
         open_rows &= F.coalesce(F.col("SHOTNAME"), F.lit("")) == ""
     best = best_match(

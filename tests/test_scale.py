@@ -1,5 +1,6 @@
 """Steps that move rows once, or compute a text once, whatever the size; each beside a plain reference."""
 
+import hashlib
 import random
 import re
 
@@ -10,6 +11,7 @@ from pathloom import session
 from pathloom.catalog import views
 from pathloom.functions import names, nested, paths
 from pathloom.operators import columns, dedup, frames, matching, templates
+from pathloom.plans import inventory
 
 
 def _plan(df) -> str:
@@ -131,3 +133,27 @@ def test_texts_are_joined_by_hash_and_text(spark):
     out = matching.with_best(rows, best, ["FILE"]).select("n", "__best.name")
     assert sorted(map(tuple, out.collect())) == [(1, "S01"), (2, "S01"), (3, None), (4, None)]
     assert "xxhash64" in _plan(best)
+
+
+@pytest.mark.parametrize("order", [("FILE",), ("HASHEDFILE",)])
+def test_inventory_digests_are_made_of_the_rows_left(spark, order):
+    files = ["/jobs/p/SH01/a.0001.exr", "/jobs/p/SH01/a.0002.exr", "\\jobs\\p\\SH02\\b.mov", "/jobs/q/SH01/ c.mov ", "/jobs/q/x.tmp", "", None]
+    scan = spark.createDataFrame([(f, 5, "no") for f in files], "FILE string, FILESIZE long, ISLINK string").withColumns(
+        {c: F.lit("2024-01-01").cast("timestamp") for c in ("CREATION_TIME", "MODIFICATION_TIME")}
+    )
+    shots = spark.createDataFrame([("SH01",), ("SH02",), ("p\\SH02",)], "SHOTNAME string")
+    before = session.stored_folders(spark)
+    out = inventory.build_inventory(scan, "c", "p", shots, F.lit("2024-01-02").cast("timestamp"), order)
+
+    def digest(t):
+        return hashlib.sha256(t.strip().encode()).hexdigest()
+
+    first = min(files[:2], key=digest) if order == ("HASHEDFILE",) else files[0]
+    assert sorted((r.FILE, r.SHOTNAME, r.HASHEDFILE) for r in out.collect()) == sorted([
+        ("/jobs/p/SH01/a.%04d.exr", "SH01", digest(first)), ("/jobs/p/SH02/b.mov", "p/SH02", digest(files[2])),
+        ("/jobs/q/SH01/ c.mov ", "", digest(files[3])), ("", "", digest("")), ("", "", "noHash"),
+    ])
+    assert out.columns.index("HASHEDFILE") == out.columns.index("DOTEXTENSION") + 1
+    (stored,) = set(session.stored_folders(spark)) - set(before)
+    kept = {r.HASHEDFILE for r in spark.read.parquet(stored).collect()}
+    assert kept == {""} if order == ("FILE",) else "noHash" in kept
