@@ -157,3 +157,57 @@ def test_inventory_digests_are_made_of_the_rows_left(spark, order):
     (stored,) = set(session.stored_folders(spark)) - set(before)
     kept = {r.HASHEDFILE for r in spark.read.parquet(stored).collect()}
     assert kept == {""} if order == ("FILE",) else "noHash" in kept
+
+
+def _latest_ties(rows):
+    newest = {}
+    for k, t, *_ in rows:
+        if t is not None:
+            newest[k] = max(t, newest.get(k, t))
+    return [r for r in rows if r[1] is not None and r[1] == newest[r[0]]]
+
+
+KEYS = ["ab" * 32, "0b" * 32, "AB" * 32, "ab" * 32 + "\n", "Z", "", "noHash", None]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_latest_ties_move_rows_once_unless_a_key_is_hot(spark, monkeypatch, hot):
+    pick = random.Random(11)
+    rows = [(pick.choice(KEYS), pick.choice([None, 1, 2, 3]), n) for n in range(400)]
+    df = spark.createDataFrame(rows, "HASHEDFILE string, ENTRYTIME int, n int").repartition(5, "n")
+    if hot:
+        monkeypatch.setattr(dedup, "HOT_ROWS", 0)
+        monkeypatch.setattr(dedup, "HOT_TASKS", 0)
+    out = dedup.keep_latest_ties(df)
+    plan = _plan(out)
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, _latest_ties(rows)))
+    assert out.columns == df.columns
+    assert ("Join" in plan) == hot
+    assert hot or plan.count("Exchange hashpartitioning(HASHEDFILE") == plan.count("Exchange hashpartitioning") - 1 == 1
+    assert dedup.keep_latest_ties(df.limit(0)).collect() == []
+
+
+def test_keys_are_hot_by_their_share_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "HOT_ROWS", 100)
+    rows = spark.range(4000)
+    even = rows.select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    assert dedup._key_facts(even, "k") == (False, True)
+    assert dedup._key_facts(even.withColumn("k", F.when(F.rand(1) < 0.01, F.col("k"))), "k") == (False, True)  # as many tasks as 4
+    monkeypatch.setattr(dedup, "HOT_TASKS", 2)
+    assert dedup._key_facts(even.withColumn("k", F.when(F.rand(1) < 0.01, F.col("k"))), "k") == (True, True)
+    assert dedup._key_facts(rows.select((F.col("id") % 7).alias("k")), "k") == (False, False)
+
+
+@pytest.mark.parametrize("keys", [KEYS, [*KEYS[:2], "5" * 64, None]])
+def test_one_row_per_file_of_packed_keys(spark, keys):
+    pick = random.Random(13)
+    rows = [(pick.choice(keys), pick.choice([None, 1, 2]), pick.choice(["a", "b", "", None, *"cdefgh"]), n) for n in range(120)]
+    df = spark.createDataFrame(rows, "HASHEDFILE string, ENTRYTIME int, FILE string, n int")
+    first = {}
+    for r in sorted(_latest_ties(rows), key=lambda r: (-r[1], r[0] is not None, r[0] or "", r[3])):
+        first.setdefault(r[2], r)
+    out = dedup.keep_latest_then_distinct(df, ties=["n"])
+    plan = _plan(out)
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, first.values()))
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert ("hex(" in plan.split("WindowGroupLimit")[0]) == (keys is not KEYS)  # unpacked after the second shuffle
