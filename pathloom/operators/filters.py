@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.names import base_name, split_extension
 from pathloom.functions.paths import glob_to_regex
-from pathloom.operators.grouping import spread_blank
 
 
 def drop_equal(df: DataFrame, column: str, value: object) -> DataFrame:
@@ -111,10 +110,15 @@ def _keys(deletions: DataFrame, column: str) -> DataFrame:
 
 
 def _drop_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Anti join in which the many rows with a blank key do not meet in one task."""
-    marked = keys.select(F.concat(F.lit("="), F.col("__k").cast("string")).alias("__k"))
-    keyed = df.withColumn("__asked", spread_blank(F.col(column)))
-    return keyed.join(marked, F.col("__asked") == F.col("__k"), "left_anti").drop("__asked")
+    """Anti join in which the many rows with a blank key do not meet in one task.
+
+    They are dealt out by a number, which is shuffled in place of a second, marked text.
+    """
+    text = F.col(column).cast("string")
+    blank = F.coalesce(text, F.lit("")) == ""
+    dealt = df.withColumn("__deal", F.when(blank, F.spark_partition_id()).otherwise(F.lit(-1)))
+    known = keys.select(F.col("__k").cast("string").alias("__k"), F.lit(-1).alias("__of"))
+    return dealt.join(known, (text == F.col("__k")) & (F.col("__deal") == F.col("__of")), "left_anti").drop("__deal")
 
 
 def delete_by_keys_fallback(

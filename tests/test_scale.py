@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom import session
 from pathloom.catalog import views
 from pathloom.functions import names, nested, paths
-from pathloom.operators import columns, dedup, frames, matching, templates
+from pathloom.operators import columns, dedup, filters, frames, matching, templates
 from pathloom.plans import inventory
 
 
@@ -211,3 +211,13 @@ def test_one_row_per_file_of_packed_keys(spark, keys):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, first.values()))
     assert plan.count("Exchange hashpartitioning") == 2
     assert ("hex(" in plan.split("WindowGroupLimit")[0]) == (keys is not KEYS)  # unpacked after the second shuffle
+
+
+def test_blank_keys_are_dealt_out_by_a_number(spark):
+    rows = spark.createDataFrame([("a", "s", 1), ("b", "", 2), ("", "s", 3), (None, None, 4), ("", "t", 5), ("c", "!0", 6)], "FILE string, SEQUENCENAME string, n int")
+    gone = spark.createDataFrame([("a", None), ("", ""), (None, "t"), (None, None)], "FILE string, SEQUENCENAME string")
+    out = filters.delete_by_keys(rows, gone)
+    assert "concat" not in _plan(out)
+    assert sorted(r.n for r in out.collect()) == [2, 3, 4, 6] and out.columns == rows.columns
+    numbers = filters.delete_by_keys(rows.withColumn("FILE", F.col("n")), gone.select(F.lit("02").alias("FILE"), F.lit("s").alias("SEQUENCENAME")))
+    assert sorted(r.n for r in numbers.collect()) == [2, 4, 5, 6]
