@@ -12,6 +12,7 @@ from pathloom.catalog import views
 from pathloom.functions import names, nested, paths
 from pathloom.operators import columns, dedup, filters, frames, matching, templates
 from pathloom.plans import inventory
+from pathloom.sources import sinks
 
 
 def _plan(df) -> str:
@@ -213,6 +214,18 @@ def test_one_row_per_file_of_packed_keys(spark, keys):
     assert ("hex(" in plan.split("WindowGroupLimit")[0]) == (keys is not KEYS)  # unpacked after the second shuffle
 
 
+def test_digests_are_rebalanced_as_bytes(spark, tmp_path):
+    rows = spark.createDataFrame([(k, n % 3, n) for n, k in enumerate(KEYS * 3)], "HASHEDFILE string, PART int, n int")
+    plan = sinks._rebalanced(rows, "PART")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RebalancePartitions")
+    assert "unhex" in below and "unhex" not in above
+    (by_part,) = sinks.write_partitioned(rows, "k.parquet", str(tmp_path), ["PART"], ["HASHEDFILE"])
+    back = spark.read.parquet(by_part).select(*rows.columns)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+    by_key = sinks._rebalanced(rows, "HASHEDFILE")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" not in by_key
+
+
 def test_blank_keys_are_dealt_out_by_a_number(spark):
     rows = spark.createDataFrame([("a", "s", 1), ("b", "", 2), ("", "s", 3), (None, None, 4), ("", "t", 5), ("c", "!0", 6)], "FILE string, SEQUENCENAME string, n int")
     gone = spark.createDataFrame([("a", None), ("", ""), (None, "t"), (None, None)], "FILE string, SEQUENCENAME string")
