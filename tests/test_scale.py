@@ -214,6 +214,18 @@ def test_one_row_per_file_of_packed_keys(spark, keys):
     assert ("hex(" in plan.split("WindowGroupLimit")[0]) == (keys is not KEYS)  # unpacked after the second shuffle
 
 
+def test_compacting_moves_packed_rows_twice(spark):
+    rows = [("a", "1" * 64, 1, "p", 5), ("a", "1" * 64, 2, "p", 6), ("a", "2" * 64, 2, "p", 7), ("b", "2" * 64, 1, "q", 8), ("c", None, 1, "q", 9)]
+    df = spark.createDataFrame(rows, "FILE string, HASHEDFILE string, ENTRYTIME int, PROJECT string, FILESIZE long")
+    files = inventory.compact_inventory(df, True, ["FILESIZE"])
+    out = files.groupBy("PROJECT").agg(F.sum("FILESIZE").alias("FILESIZE"))
+    plan = _plan(out)
+    assert sorted(map(tuple, out.collect())) == [("p", 6), ("q", 9)]
+    assert plan.count("Exchange hashpartitioning") == 3 and "Join" not in plan
+    assert plan.count("unhex") == 1 and "hex(" not in plan.split("WindowGroupLimit")[0]
+    assert "unhex" in plan.split("Exchange")[-1]
+
+
 def test_digests_are_rebalanced_as_bytes(spark, tmp_path):
     rows = spark.createDataFrame([(k, n % 3, n) for n, k in enumerate(KEYS * 3)], "HASHEDFILE string, PART int, n int")
     plan = sinks._rebalanced(rows, "PART")._jdf.queryExecution().optimizedPlan().toString()
